@@ -1,8 +1,8 @@
-"""Order lines as additive facts, so that one report definition serves lines and pre-summed cells.
+"""Order lines as additive facts, so that one report definition serves lines and small cubes.
 
 Every measure a report needs is a sum over lines (or a first/last date). Sums of sums are the
-same sums, so a report can run on the lines directly, or on *cells*: the lines grouped once by
-every report dimension. Only distinct orders do not add up; for cells they are counted apart.
+same sums, so a report can run on the lines directly, or on *cubes*: the lines summed once over
+a few sets of dimensions. Only distinct orders do not add up; beside cubes they are counted apart.
 """
 
 from __future__ import annotations
@@ -18,7 +18,16 @@ from ledgerlens.session import durable
 
 SUMS = ("lines", "loss_lines", "sales", "profit", "discount_sales")
 DATES = {"first_date": F.min, "last_date": F.max}
-DIMENSIONS = ("category", "sub_category", "segment", "state", "region", "order_year", "discount")
+
+# Few and narrow on purpose: a task keeps one running sum per member of each set, so sets of
+# small domains shrink to almost nothing before the shuffle. One set over all dimensions would
+# hardly shrink at all.
+CUBES = (
+    ("state", "region", "discount"),
+    ("category", "sub_category", "segment"),
+    ("order_year",),
+)
+DIMENSIONS = tuple(d for cube in CUBES for d in cube)
 
 # The groupings for which a report counts distinct orders.
 ORDER_GROUPINGS = ((), ("order_year",), ("region",))
@@ -26,11 +35,14 @@ ORDER_GROUPINGS = ((), ("order_year",), ("region",))
 
 @dataclass(frozen=True)
 class Facts:
-    """`frame` holds dimensions and measures; `order_counts` only exists beside cells."""
+    """`frame` holds dimensions and measures; `order_counts` only exists beside a cube."""
 
     frame: DataFrame
     order_counts: DataFrame | None = None
 
+    def serving(self, columns: Iterable[str]) -> Facts:
+        return self
+
     def totals(
         self, *keys: str, orders: bool = False, extra: Iterable[Column] = ()
     ) -> DataFrame:
@@ -82,20 +94,42 @@ def line_facts(orders: DataFrame) -> Facts:
     return Facts(orders.withColumns(added))
 
 
-def cells(lines: Facts, order_lines: Facts | None = None) -> Facts:
-    """Group the lines once by every dimension, for running many reports from one pass.
+@dataclass(frozen=True)
+class Cubes:
+    """The lines summed over each set of CUBES, and the distinct orders of ORDER_GROUPINGS."""
+
+    sums: DataFrame
+    order_counts: DataFrame
+
+    def serving(self, columns: Iterable[str]) -> Facts:
+        """The cube that answers a report on these staging columns."""
+        wanted = {"order_year" if c == "order_date" else c for c in columns} & set(DIMENSIONS)
+        for number, cube in enumerate(CUBES):
+            if wanted <= set(cube):
+                frame = self.sums.filter(F.col("cube") == number)
+                others = [d for d in DIMENSIONS if d not in cube]
+                return Facts(frame.drop("cube", *others), self.order_counts)
+        raise ValueError(f"no cube holds {sorted(wanted)} together")
+
 
-    The number of cells is bounded by the product of the dimension domains, not by the number of
-    lines. Distinct orders need one more pass, over three columns; `order_lines` may supply a
-    narrower frame for it.
+def cubes(lines: Facts, order_lines: Facts | None = None) -> Cubes:
+    """Sum the lines once for all reports.
+
+    Distinct orders need one more pass, over three columns; `order_lines` may supply a narrower
+    frame for it.
     """
     summed = [F.sum(m).alias(m) for m in SUMS]
     dated = [f(d).alias(d) for d, f in DATES.items()]
-    frame = lines.frame.groupBy(*DIMENSIONS).agg(*summed, *dated)
+    # Spark numbers a grouping set by the dimensions it leaves out, one bit each.
+    number = F.lit(None).cast("int")
+    for i, cube in enumerate(CUBES):
+        left_out = "".join("0" if d in cube else "1" for d in DIMENSIONS)
+        number = F.when(F.grouping_id() == int(left_out, 2), i).otherwise(number)
+    sums = lines.frame.groupingSets([list(c) for c in CUBES], *DIMENSIONS).agg(
+        number.alias("cube"), *summed, *dated
+    )
 
     narrow = (order_lines or lines).frame.select("order_id", "order_year", "region").distinct()
-    # One row per (order, grouping key): each grouping is a copy of the three narrow columns with
-    # the others blanked, de-duplicated before it is counted.
     copies = F.array(
         *[
             F.struct(
@@ -113,4 +147,4 @@ def cells(lines: Facts, order_lines: Facts | None = None) -> Facts:
         .groupBy("grouping", "order_year", "region")
         .agg(F.count_distinct("order_id").alias("orders"))
     )
-    return Facts(durable(frame), durable(counted))
+    return Cubes(durable(sums, "cubes"), durable(counted, "orders"))

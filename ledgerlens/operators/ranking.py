@@ -107,4 +107,4 @@ def next_value(values: DataFrame, by: str, following: str, ranges: int | None =
 def _in_ranges(df: DataFrame, order: Sequence[Column], ranges: int) -> DataFrame:
     """Sort-order ranges with their number; kept, as the sampled bounds differ from run to run."""
     placed = df.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id())
-    return durable(placed)
+    return durable(placed, "ranges")

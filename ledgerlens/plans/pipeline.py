@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.operators.facts import Facts, cells, line_facts
+from ledgerlens.operators.facts import Cubes, Facts, cubes, line_facts
 from ledgerlens.operators.gates import GateRules, require, run_gates
 from ledgerlens.plans.feeds import feed_discount, feed_growth, feed_subcategory
 from ledgerlens.plans.reports import REPORTS, Report
@@ -22,12 +22,15 @@ from ledgerlens.sources.tables import materialise, publish, read_report, write_r
 
 
 def build_reports(
-    facts: Facts, settings: Settings, registry: Mapping[str, Report] = REPORTS
+    facts: Facts | Cubes, settings: Settings, registry: Mapping[str, Report] = REPORTS
 ) -> dict[str, DataFrame]:
     """Every registered report, in name order."""
     if not registry:
         raise ValueError("no reports registered")
-    return {name: registry[name].build(facts, settings) for name in sorted(registry)}
+    return {
+        name: report.build(facts.serving(report.columns), settings)
+        for name, report in sorted(registry.items())
+    }
 
 
 def run_summary(reports: Mapping[str, DataFrame]) -> DataFrame:
@@ -44,7 +47,8 @@ def run_summary(reports: Mapping[str, DataFrame]) -> DataFrame:
 
 
 def run_reports(
-    facts: Facts,
+    spark: SparkSession,
+    facts: Facts | Cubes,
     settings: Settings,
     folder: str,
     gate_result: DataFrame | None,
@@ -56,7 +60,6 @@ def run_reports(
     """
     if gate_result is not None:
         require(gate_result)
-    spark = facts.frame.sparkSession
     written = {}
     for name, df in build_reports(facts, settings, registry).items():
         write_report(df, f"{folder}/{name}", registry[name].order)
@@ -97,8 +100,8 @@ def run_pipeline(
     staged = to_staging(spark.table(raw_table), contract, date_format)
     staging_rows, gates = publish(staged, staging_table, lambda df: run_gates(df, rules))
 
-    facts = cells(line_facts(spark.table(staging_table)))
-    reports = run_reports(facts, settings, report_folder, gates)
+    facts = cubes(line_facts(spark.table(staging_table)))
+    reports = run_reports(spark, facts, settings, report_folder, gates)
     feeds = {
         "discount": feed_discount(
             reports["02_discount_impact"], settings.band_edges, settings.band_labels, settings.cut

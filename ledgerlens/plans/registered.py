@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.operators.facts import Facts, cells, line_facts
+from ledgerlens.operators.facts import Facts, cubes, line_facts
 from ledgerlens.operators.gates import GateRules, run_gates
 from ledgerlens.plans import findings, reports
 from ledgerlens.plans.feeds import feed_discount, feed_growth, feed_subcategory
@@ -60,7 +60,7 @@ def _all_reports(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
         "sales", "profit",
     )
     narrow = ("order_id", "order_date", "region")
-    shared = cells(_facts(spark, folder, wide), _facts(spark, folder, narrow))
+    shared = cubes(_facts(spark, folder, wide), _facts(spark, folder, narrow))
     return build_reports(shared, SETTINGS)
 
 

@@ -1,4 +1,4 @@
-"""The eight margin reports. Each takes facts (lines or cells) and returns a small DataFrame."""
+"""The eight margin reports. Each takes facts (lines or a cube) and returns a small DataFrame."""
 
 from __future__ import annotations
 

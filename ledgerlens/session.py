@@ -76,12 +76,16 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Compute once and keep the rows in the shared folder, so losing an executor costs nothing."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def new_folder(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def durable(df: DataFrame, name: str) -> DataFrame:
+    """Compute once and keep the result as files in the shared folder.
+
+    Losing an executor then costs nothing, and later queries read only the columns they need.
+    """
+    folder = new_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

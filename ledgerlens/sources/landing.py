@@ -81,4 +81,5 @@ def parse_lines(lines: DataFrame, names: list[str]) -> Landed:
         {k: v for k, v in CSV_OPTIONS.items() if k not in ("columnPruning", "enforceSchema")},
     )
     present = lines.filter(F.trim("value") != "")  # from_csv would pass a blank line as all NULL
-    return _split(present.select(parsed.alias("r")).select("r.*"), names)
+    # As a generator the record is parsed once, not once more for each filter above it.
+    return _split(present.select(F.inline(F.array(parsed))), names)

@@ -92,25 +92,26 @@ def order_lines(
             broadcast_if_small(buyers, inputs), F.col("l_orderkey") == F.col("o_orderkey"), "left"
         )
 
+    amount = price * (F.lit(1) - discount)
     made = {
-        "row_id": F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"),
-        "order_id": F.col("l_orderkey"),
-        "order_date": F.col("o_date") if wanted & FROM_ORDERS else None,
-        "ship_date": F.col("l_shipdate").cast("date"),
-        "ship_mode": F.col("o_orderpriority"),
-        "customer_id": F.col("o_custkey"),
-        "segment": F.col("c_mktsegment"),
-        "state": F.col("n_name"),
-        "region": F.col("r_name"),
-        "product_id": F.col("l_partkey"),
-        "category": F.col("p_type"),
-        "sub_category": F.col("p_brand"),
-        "quantity": F.col("l_quantity").cast("int"),
-        "discount": discount,
-        "sales": price * (F.lit(1) - discount),
-        "profit": (price * (F.lit(1) - discount - part_cost - nation_cost)).cast("decimal(18,6)"),
+        "row_id": lambda: F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"),
+        "order_id": lambda: F.col("l_orderkey"),
+        "order_date": lambda: F.col("o_date"),
+        "ship_date": lambda: F.col("l_shipdate").cast("date"),
+        "ship_mode": lambda: F.col("o_orderpriority"),
+        "customer_id": lambda: F.col("o_custkey"),
+        "segment": lambda: F.col("c_mktsegment"),
+        "state": lambda: F.col("n_name"),
+        "region": lambda: F.col("r_name"),
+        "product_id": lambda: F.col("l_partkey"),
+        "category": lambda: F.col("p_type"),
+        "sub_category": lambda: F.col("p_brand"),
+        "quantity": lambda: F.col("l_quantity").cast("int"),
+        "discount": lambda: discount,
+        "sales": lambda: amount,
+        "profit": lambda: (amount - price * (part_cost + nation_cost)).cast("decimal(18,6)"),
     }
-    return lines.select(*[made[c].alias(c) for c in columns])
+    return lines.select(*[made[c]().alias(c) for c in columns])
 
 
 def _customers(spark: SparkSession, folder: str, wanted: set[str]) -> DataFrame:
