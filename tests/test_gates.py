@@ -1,0 +1,75 @@
+"""One test per gate that makes it fail; all others must stay green."""
+
+import dataclasses
+import datetime as dt
+
+import pytest
+from ledgerlens.operators.gates import GateFailure, require, run_gates
+from ledgerlens.plans.settings import RETAIL_GATES
+from lines import make
+
+GOOD = ({}, {"product_id": "P-2"}, {"order_id": "B", "region": "East", "state": "Ohio"})
+
+
+def results(spark, *changes, expected=None):
+    rules = dataclasses.replace(RETAIL_GATES, expected_rows=expected or len(changes))
+    return run_gates(make(spark, *changes), rules)
+
+
+def failed(df):
+    return {r.check_name: r.failed for r in df.collect() if not r.ok}
+
+
+def test_all_green(spark):
+    rows = results(spark, *GOOD).collect()
+    assert [r.check_name for r in rows] == [
+        "row_count", "pk_unique", "no_null_keys", "no_null_measures", "date_sanity",
+        "value_range", "enum_domain", "order_grain_consistency",
+    ]
+    assert all(r.ok and r.failed == 0 for r in rows)
+    require(results(spark, *GOOD))
+
+
+D = dt.date
+
+
+@pytest.mark.parametrize(
+    "changes, expected, want",
+    [
+        (GOOD, 5, {"row_count": 2}),
+        (GOOD, 1, {"row_count": 2}),
+        ((*GOOD, {"row_id": 1}, {"row_id": 1}), None, {"pk_unique": 2}),
+        ((*GOOD, {"row_id": None}), None, {"pk_unique": 1}),
+        ((*GOOD, {"product_id": None}), None, {"no_null_keys": 1}),
+        ((*GOOD, {"sales": None}, {"discount": None}), None, {"no_null_measures": 2}),
+        ((*GOOD, {"order_id": "C", "ship_date": D(2016, 2, 1)}), None, {"date_sanity": 1}),
+        (
+            (*GOOD, {"order_id": "C", "order_date": D(2014, 12, 31)},
+             {"order_id": "D", "order_date": D(2019, 1, 1), "ship_date": D(2019, 1, 2)}),
+            None, {"date_sanity": 2},
+        ),
+        ((*GOOD, {"order_id": "C", "ship_date": None}), None, {}),
+        ((*GOOD, {"discount": 0.81}, {"discount": -0.1}, {"quantity": 0}, {"sales": 0.0}), None,
+         {"value_range": 4}),
+        ((*GOOD, {"category": "Toys"}, {"order_id": "C", "region": "Mars"}), None,
+         {"enum_domain": 2}),
+        ((*GOOD, {"category": None}, {"order_id": "C", "region": None}), None, {}),
+        ((*GOOD, {"ship_date": D(2016, 3, 9)}, {"segment": "Corporate"}), None,
+         {"order_grain_consistency": 1}),
+        ((*GOOD, {"ship_mode": None}), None, {}),
+    ],
+)
+def test_gate(spark, changes, expected, want):
+    assert failed(results(spark, *changes, expected=expected)) == want
+
+
+def test_abort_names_the_gates(spark):
+    with pytest.raises(GateFailure) as caught:
+        require(results(spark, *GOOD, {"quantity": 0}))
+    assert caught.value.failures == [("value_range", 1)]
+
+
+def test_no_rows(spark):
+    empty = make(spark, {}).filter("false")
+    rules = dataclasses.replace(RETAIL_GATES, expected_rows=3)
+    assert failed(run_gates(empty, rules)) == {"row_count": 3}
