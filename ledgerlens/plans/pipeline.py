@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import dataclasses
 from collections.abc import Mapping
 from dataclasses import dataclass
 from functools import reduce
@@ -17,8 +16,8 @@ from ledgerlens.plans.reports import REPORTS, Report
 from ledgerlens.plans.settings import RETAIL, RETAIL_GATES, Settings
 from ledgerlens.session import configure
 from ledgerlens.sources.contract import RETAIL_CONTRACT, US_DATE, Contract, to_staging
-from ledgerlens.sources.landing import read_raw_csv
-from ledgerlens.sources.tables import materialise, publish, read_report, write_report
+from ledgerlens.sources.landing import land_raw_csv
+from ledgerlens.sources.tables import publish, read_report, write_report
 
 
 def build_reports(
@@ -93,10 +92,8 @@ def run_pipeline(
     The reports share one pass over staging (plus a narrow one for distinct orders).
     """
     configure(spark)
-    kept, rejected = read_raw_csv(spark, csv_path)
     raw_table, staging_table = f"raw.{source}", "staging.stg_orders"
-    raw_rows = materialise(kept, raw_table)
-    rejected_rows = materialise(rejected, f"{raw_table}_rejected")
+    raw_rows, rejected_rows = land_raw_csv(spark, csv_path, raw_table)
     staged = to_staging(spark.table(raw_table), contract, date_format)
     staging_rows, gates = publish(staged, staging_table, lambda df: run_gates(df, rules))
 
@@ -113,6 +110,3 @@ def run_pipeline(
     }
     return Run(raw_rows, rejected_rows, staging_rows, gates, run_summary(reports), feeds)
 
-
-def with_expected_rows(rules: GateRules, rows: int) -> GateRules:
-    return dataclasses.replace(rules, expected_rows=rows)

@@ -14,7 +14,7 @@ from ledgerlens.plans import findings, reports
 from ledgerlens.plans.feeds import feed_discount, feed_growth, feed_subcategory
 from ledgerlens.plans.pipeline import build_reports, run_summary
 from ledgerlens.plans.settings import Settings
-from ledgerlens.session import new_folder
+from ledgerlens.session import new_folder, shuffle_tasks
 from ledgerlens.sources.contract import to_staging
 from ledgerlens.sources.landing import Landed, parse_lines
 from ledgerlens.sources.retail_view import COLUMNS, order_lines, returned_orders, table
@@ -40,9 +40,6 @@ SETTINGS = Settings(
 
 GATE_COLUMNS = tuple(c for c in COLUMNS if c not in ("row_id", "sub_category"))
 
-# How many sort ranges the products are ranked in; tasks side by side, not a limit.
-PRODUCT_RANGES = 32
-
 
 def _facts(spark: SparkSession, folder: str, columns: tuple[str, ...]) -> Facts:
     return line_facts(order_lines(spark, folder, columns))
@@ -103,7 +100,7 @@ def quality_gates(spark: SparkSession, folder: str) -> DataFrame:
 def product_profit_rank(spark: SparkSession, folder: str) -> DataFrame:
     """The profit ranking for an open-ended dimension, sorted in ranges side by side."""
     facts = _facts(spark, folder, ("product_id", "sales", "profit"))
-    return reports.profit_rank(facts, "product_id", ranges=PRODUCT_RANGES)
+    return reports.profit_rank(facts, "product_id", ranges=shuffle_tasks(spark))
 
 
 def category_margin(spark: SparkSession, folder: str) -> DataFrame:

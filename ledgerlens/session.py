@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 # blocks costs more than smaller tasks save.
 BYTES_PER_SHUFFLE_TASK = 256 * 1024 * 1024
 MOST_SHUFFLE_TASKS = 100_000
+START_TASKS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
 
 
 def configure(spark: SparkSession) -> None:
@@ -52,10 +53,15 @@ def size_shuffles(spark: SparkSession, input_bytes: int) -> None:
     started out too large.
     """
     wanted = min(MOST_SHUFFLE_TASKS, math.ceil(input_bytes / BYTES_PER_SHUFFLE_TASK))
-    key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
-    now = int(spark.conf.get(key, None) or spark.conf.get("spark.sql.shuffle.partitions"))
-    if wanted > now:
-        spark.conf.set(key, str(wanted))
+    if wanted > shuffle_tasks(spark):
+        spark.conf.set(START_TASKS, str(wanted))
+
+
+def shuffle_tasks(spark: SparkSession) -> int:
+    """The number of tasks a shuffle starts with."""
+    return int(
+        spark.conf.get(START_TASKS, None) or spark.conf.get("spark.sql.shuffle.partitions")
+    )
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from typing import NamedTuple
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,16 +31,20 @@ def _strings(names: list[str]) -> T.StructType:
     return T.StructType([T.StructField(n, T.StringType()) for n in names])
 
 
-def _split(parsed: DataFrame, names: list[str]) -> Landed:
-    """Rows with as many fields as the header, and the text of all others."""
+def _marked(parsed: DataFrame, names: list[str]) -> DataFrame:
+    """All rows: empty fields as NULL, and the text of a line that does not fit beside them."""
     # Always true. Spark refuses queries that touch nothing but the marker, such as a count of
-    # the rejected lines, so the filters also look at the first column.
+    # the rejected lines, so every query is made to look at the first column too.
     parsed = parsed.filter(F.length(F.concat_ws("", F.col(f"`{names[0]}`"), F.col(BAD))) >= 0)
-    kept = parsed.filter(F.col(BAD).isNull()).select(
-        *[F.nullif(F.col(f"`{n}`"), F.lit("")).alias(n) for n in names]
+    return parsed.select(*[F.nullif(F.col(f"`{n}`"), F.lit("")).alias(n) for n in names], BAD)
+
+
+def split(marked: DataFrame) -> Landed:
+    """Rows with as many fields as the header, and the text of all others."""
+    return Landed(
+        marked.filter(F.col(BAD).isNull()).drop(BAD),
+        marked.filter(F.col(BAD).isNotNull()).select(F.col(BAD).alias("line")),
     )
-    rejected = parsed.filter(F.col(BAD).isNotNull()).select(F.col(BAD).alias("line"))
-    return Landed(kept, rejected)
 
 
 def spans_lines(spark: SparkSession, path: str | list[str]) -> bool:
@@ -49,10 +53,10 @@ def spans_lines(spark: SparkSession, path: str | list[str]) -> bool:
     return not spark.read.text(path).filter(quotes % 2 == 1).isEmpty()
 
 
-def read_raw_csv(
+def read_marked_csv(
     spark: SparkSession, path: str | list[str], line_breaks: bool | None = None
-) -> Landed:
-    """Read a delivery of CSV files with a header row, every field as text.
+) -> DataFrame:
+    """Read a delivery of CSV files with a header row, every field as text, misfits marked.
 
     A field may hold line breaks; Spark then reads each file in one task. Files without any are
     read in splits, however large. `line_breaks=None` looks first; pass True or False to skip
@@ -69,8 +73,49 @@ def read_raw_csv(
         raise
     if not names:
         raise ValueError(f"{path} is empty: no header row")
-    schema = _strings([*names, BAD])
-    return _split(reader.schema(schema).csv(path), names)
+    return _marked(reader.schema(_strings([*names, BAD])).csv(path), names)
+
+
+def read_raw_csv(
+    spark: SparkSession, path: str | list[str], line_breaks: bool | None = None
+) -> Landed:
+    """`read_marked_csv`, split into rows to keep and lines to set aside."""
+    return split(read_marked_csv(spark, path, line_breaks))
+
+
+def land_raw_csv(
+    spark: SparkSession, path: str | list[str], table: str, line_breaks: bool | None = None
+) -> tuple[int, int]:
+    """Parse a delivery once into `<table>_landed`; returns the rows kept and set aside.
+
+    `table` and `<table>_rejected` are views on the two partitions of what was landed, so neither
+    reads the other, and the text is not parsed a second time.
+    """
+    database = table.rpartition(".")[0]
+    if database:
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
+    marked = read_marked_csv(spark, path, line_breaks)
+    names = ", ".join(f"`{n}`" for n in marked.columns if n != BAD)
+    counted = Observation(f"landing of {table}")
+    rejected = F.col(BAD).isNotNull()
+    (
+        marked.withColumn("is_rejected", rejected)
+        .observe(
+            counted,
+            F.count_if(~rejected).alias("kept"),
+            F.count_if(rejected).alias("rejected"),
+        )
+        .write.mode("overwrite")
+        .partitionBy("is_rejected")
+        .format("parquet")
+        .saveAsTable(f"{table}_landed")
+    )
+    source = f"FROM {table}_landed WHERE"
+    spark.sql(f"CREATE OR REPLACE VIEW {table} AS SELECT {names} {source} NOT is_rejected")
+    spark.sql(
+        f"CREATE OR REPLACE VIEW {table}_rejected AS SELECT {BAD} AS line {source} is_rejected"
+    )
+    return counted.get["kept"], counted.get["rejected"]
 
 
 def parse_lines(lines: DataFrame, names: list[str]) -> Landed:
@@ -82,4 +127,4 @@ def parse_lines(lines: DataFrame, names: list[str]) -> Landed:
     )
     present = lines.filter(F.trim("value") != "")  # from_csv would pass a blank line as all NULL
     # As a generator the record is parsed once, not once more for each filter above it.
-    return _split(present.select(F.inline(F.array(parsed))), names)
+    return split(_marked(present.select(F.inline(F.array(parsed))), names))

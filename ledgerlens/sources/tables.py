@@ -34,8 +34,9 @@ def publish(
     spark = df.sparkSession
     candidate, previous = f"{table}__candidate", f"{table}__previous"
     rows = materialise(df, candidate)
-    # A handful of rows, kept so that asking twice does not run the gates twice.
-    results = gates(spark.table(candidate)).cache()
+    # One row per gate, kept on the driver: the candidate is gone once it is renamed.
+    found = gates(spark.table(candidate))
+    results = spark.createDataFrame(found.collect(), found.schema)
     require(results)
     spark.sql(f"DROP TABLE IF EXISTS {previous}")
     if spark.catalog.tableExists(table):

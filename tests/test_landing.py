@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from feed import BASE, HEADER, good_lines, text, write
 from ledgerlens.sources.contract import RETAIL_CONTRACT, to_staging
-from ledgerlens.sources.landing import parse_lines, read_raw_csv, spans_lines
+from ledgerlens.sources.landing import land_raw_csv, parse_lines, read_raw_csv, spans_lines
 from pyspark.errors import AnalysisException, DateTimeException, NumberFormatException
 
 
@@ -46,6 +46,17 @@ def test_too_many_fields_and_empty_last_field(spark, tmp_path):
     assert rejected.first().line == row
 
 
+def test_landing_parses_once_and_serves_two_views(spark, tmp_path):
+    for content, counts in ((text({}, {}), (2, 4)), (text({}), (1, 4))):  # the second replaces
+        path = write(tmp_path, content)
+        assert land_raw_csv(spark, path, "raw.landing_test") == counts
+        kept, rejected = read_raw_csv(spark, path)
+        assert spark.table("raw.landing_test").collect() == kept.collect()
+        assert spark.table("raw.landing_test_rejected").collect() == rejected.collect()
+    plan = spark.table("raw.landing_test")._jdf.queryExecution().executedPlan().toString()
+    assert "is_rejected" in plan.split("PartitionFilters: ")[1].split("]")[0]
+
+
 def test_files_must_agree_on_the_header(spark, tmp_path):
     write(tmp_path, text({}), "a.csv")
     write(tmp_path, text({}).replace("Row ID,Order ID", "Order ID,Row ID"), "b.csv")

@@ -129,7 +129,7 @@ def test_single_task_windows_see_groups_only(spark):
 
 
 def test_shuffles_grow_with_the_input(spark):
-    key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    key = session.START_TASKS
     before = spark.conf.get(key, None)
     try:
         session.size_shuffles(spark, 10)
