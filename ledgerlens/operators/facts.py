@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import exact
-from ledgerlens.session import durable
+from ledgerlens.session import durable, side_by_side
 
 SUMS = ("lines", "loss_lines", "sales", "profit", "discount_sales")
 DATES = {"first_date": F.min, "last_date": F.max}
@@ -147,4 +147,6 @@ def cubes(lines: Facts, order_lines: Facts | None = None) -> Cubes:
         .groupBy("grouping", "order_year", "region")
         .agg(F.count_distinct("order_id").alias("orders"))
     )
-    return Cubes(durable(sums, "cubes"), durable(counted, "orders"))
+    return Cubes(
+        *side_by_side([lambda: durable(sums, "cubes"), lambda: durable(counted, "orders")])
+    )

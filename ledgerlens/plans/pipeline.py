@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +14,7 @@ from ledgerlens.operators.gates import GateRules, require, run_gates
 from ledgerlens.plans.feeds import feed_discount, feed_growth, feed_subcategory
 from ledgerlens.plans.reports import REPORTS, Report
 from ledgerlens.plans.settings import RETAIL, RETAIL_GATES, Settings
-from ledgerlens.session import configure
+from ledgerlens.session import configure, side_by_side
 from ledgerlens.sources.contract import RETAIL_CONTRACT, US_DATE, Contract, to_staging
 from ledgerlens.sources.landing import land_raw_csv
 from ledgerlens.sources.tables import publish, read_report, write_report
@@ -59,11 +59,13 @@ def run_reports(
     """
     if gate_result is not None:
         require(gate_result)
-    written = {}
-    for name, df in build_reports(facts, settings, registry).items():
+
+    def write(name: str, df: DataFrame) -> tuple[str, DataFrame]:
         write_report(df, f"{folder}/{name}", registry[name].order)
-        written[name] = read_report(spark, f"{folder}/{name}", df.schema)
-    return written
+        return name, read_report(spark, f"{folder}/{name}", df.schema)
+
+    reports = build_reports(facts, settings, registry)
+    return dict(side_by_side([partial(write, name, df) for name, df in reports.items()]))
 
 
 @dataclass(frozen=True)

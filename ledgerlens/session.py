@@ -5,10 +5,15 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
+
 # One reduce task should get about this much input; beyond the ceiling, tracking the shuffle
 # blocks costs more than smaller tasks save.
 BYTES_PER_SHUFFLE_TASK = 256 * 1024 * 1024
@@ -95,3 +100,9 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     folder = new_folder(df.sparkSession, name)
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def side_by_side(actions: Iterable[Callable[[], T]]) -> list[T]:
+    """Run independent jobs at the same time, so one fills the cores another leaves idle."""
+    with ThreadPoolExecutor(max_workers=4) as pool:
+        return [f.result() for f in [pool.submit(a) for a in actions]]
