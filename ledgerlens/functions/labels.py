@@ -1,4 +1,4 @@
-"""Numbers as chart text. `format_number` rounds the exact binary value, ties to even."""
+"""Numbers as text. `format_number` rounds the exact binary value, ties to even."""
 
 from __future__ import annotations
 
@@ -14,3 +14,10 @@ def thousands_text(column: Column) -> Column:
 def percent_text(column: Column, digits: int) -> Column:
     """12.34 -> 12.3% (no thousands separators)"""
     return F.concat(F.translate(F.format_number(column, digits), ",", ""), F.lit("%"))
+
+
+def plain_text(column: Column) -> Column:
+    """A report figure without an exponent: Spark would write 12345678.0 as 1.2345678E7."""
+    digits = column.cast("decimal(38,6)").cast("string")
+    written_out = F.regexp_replace(digits, r"(\.\d+?)0+$", "$1")
+    return F.when(F.abs(column) >= 1e7, written_out).otherwise(column.cast("string"))

@@ -5,12 +5,17 @@ from __future__ import annotations
 from typing import NamedTuple
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BAD = "_rejected_line"
 
+# More text than any record with line breaks holds; beyond it a closing quote is missing.
+LONGEST_BROKEN_RECORD = 4 * 1024 * 1024
+
+_FIRST = Window.unboundedPreceding
+
 # columnPruning off: with it, a query on a few columns no longer notices ragged rows.
 # enforceSchema off: files whose header differs fail instead of being read by position.
 CSV_OPTIONS = {
@@ -47,10 +52,92 @@ def split(marked: DataFrame) -> Landed:
     )
 
 
+def _open_quotes() -> Column:
+    """1 for a physical line with an odd number of quotes: a quoted field starts or ends in it."""
+    return (F.length("value") - F.length(F.translate(F.col("value"), '"', ""))) % 2
+
+
 def spans_lines(spark: SparkSession, path: str | list[str]) -> bool:
-    """Whether any physical line leaves a quoted field open (an odd number of quotes)."""
-    quotes = F.length("value") - F.length(F.translate(F.col("value"), '"', ""))
-    return not spark.read.text(path).filter(quotes % 2 == 1).isEmpty()
+    """Whether any field holds a line break."""
+    return not spark.read.text(path).filter(_open_quotes() == 1).isEmpty()
+
+
+def _records(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Physical lines put together to whole CSV records: `value`, and whether it heads its file.
+
+    Spark's multi-line CSV reader takes a file in one task. Here each split of a file is scanned
+    by itself; the number of open quotes before a split follows from sums over the splits before
+    it. Only lines of broken records are brought together.
+    """
+    lines = spark.read.text(path).select(
+        "value",
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"),
+        _open_quotes().alias("odd"),
+    )
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(_FIRST, -1)  # splits
+    inside = Window.partitionBy("file", "block").orderBy("at")
+    above, so_far = inside.rowsBetween(_FIRST, -1), inside.rowsBetween(_FIRST, 0)
+
+    splits = lines.groupBy("file", "block").agg(F.sum("odd").alias("odd"))
+    splits = splits.select(
+        "file", "block", F.coalesce(F.sum("odd").over(earlier), F.lit(0)).alias("before")
+    )
+    nth = F.row_number().over(inside)
+    placed = (
+        lines.join(splits, ["file", "block"])
+        .withColumns(
+            {
+                "nth": nth,
+                "open": (F.col("before") + F.coalesce(F.sum("odd").over(above), F.lit(0))) % 2,
+            }
+        )
+        .withColumn("start", F.when(F.col("open") == 0, F.struct("block", "nth")))
+        .withColumn("start", F.last("start", ignorenulls=True).over(so_far))
+    )
+    whole = placed.filter((F.col("open") == 0) & (F.col("odd") == 0))
+    broken = placed.filter((F.col("open") == 1) | (F.col("odd") == 1))
+
+    # A record that began in an earlier split goes by the last start before this split.
+    last_starts = broken.groupBy("file", "block").agg(F.max("start").alias("start"))
+    carried = last_starts.select(
+        "file", "block", F.last("start", ignorenulls=True).over(earlier).alias("carried")
+    )
+    parts = broken.join(carried, ["file", "block"]).withColumn(
+        "start", F.coalesce("start", "carried")
+    )
+    longest = parts.groupBy("file", "start").agg(F.sum(F.length("value")).alias("n")).agg(F.max("n"))
+    if (longest.first()[0] or 0) > LONGEST_BROKEN_RECORD:
+        raise ValueError(f"{path}: a quoted field is never closed")
+    in_order = F.sort_array(F.collect_list(F.struct("block", "nth", "value")))
+    joined = parts.groupBy("file", "start").agg(
+        F.array_join(F.transform(in_order, lambda p: p["value"]), "\n").alias("value")
+    )
+    heads = (F.col("start.block") == 0) & (F.col("start.nth") == 1)
+    return whole.select("value", heads.alias("heads")).unionByName(
+        joined.select("value", heads.alias("heads"))
+    )
+
+
+def _parse(records: DataFrame, names: list[str], *keep: str) -> DataFrame:
+    """One text record per row into its fields and the marker."""
+    parsed = F.from_csv(
+        "value",
+        F.lit(", ".join(f"`{n}` string" for n in [*names, BAD])),
+        {k: v for k, v in CSV_OPTIONS.items() if k not in ("columnPruning", "enforceSchema")},
+    )
+    present = records.filter(F.trim("value") != "")  # from_csv passes a blank line as all NULL
+    # As a generator the record is parsed once, not once more for each filter above it.
+    return present.select(*keep, F.inline(F.array(parsed)))
+
+
+def _without_headers(parsed: DataFrame, names: list[str]) -> DataFrame:
+    """Drop the first record of each file, which must be the agreed header."""
+    same = F.array(*[F.col(f"`{n}`") for n in names]) == F.array(*[F.lit(n) for n in names])
+    wrong = F.raise_error(F.lit("CSV header does not conform to the first file's"))
+    drop = F.when(~F.col("heads"), F.lit(False)).when(same, F.lit(True)).otherwise(wrong)
+    return parsed.filter(~drop.cast("boolean")).drop("heads")
 
 
 def read_marked_csv(
@@ -58,22 +145,26 @@ def read_marked_csv(
 ) -> DataFrame:
     """Read a delivery of CSV files with a header row, every field as text, misfits marked.
 
-    A field may hold line breaks; Spark then reads each file in one task. Files without any are
-    read in splits, however large. `line_breaks=None` looks first; pass True or False to skip
-    the extra pass over the text. Blank lines are skipped, a byte-order mark is stripped.
+    Files are read in splits, however large. Fields that hold line breaks need more passes over
+    the text; `line_breaks=None` looks whether there are any, True or False skips the look.
+    Blank lines are skipped, a byte-order mark is stripped.
     """
     try:
         if line_breaks is None:
             line_breaks = spans_lines(spark, path)
-        reader = spark.read.options(**CSV_OPTIONS, header="true", multiLine=str(line_breaks))
-        names = reader.csv(path).columns
+        reader = spark.read.options(**CSV_OPTIONS, header="true")
+        names = reader.option("multiLine", line_breaks).csv(path).columns
     except AnalysisException as e:
         if e.getCondition() == "PATH_NOT_FOUND":
             raise FileNotFoundError(f"no input at {path}; deliver the order-line CSV first") from e
         raise
     if not names:
         raise ValueError(f"{path} is empty: no header row")
-    return _marked(reader.schema(_strings([*names, BAD])).csv(path), names)
+    if line_breaks:
+        parsed = _without_headers(_parse(_records(spark, path), names, "heads"), names)
+    else:
+        parsed = reader.option("multiLine", False).schema(_strings([*names, BAD])).csv(path)
+    return _marked(parsed, names)
 
 
 def read_raw_csv(
@@ -120,11 +211,4 @@ def land_raw_csv(
 
 def parse_lines(lines: DataFrame, names: list[str]) -> Landed:
     """The same for a frame whose column `value` holds one CSV record per row, without header."""
-    parsed = F.from_csv(
-        "value",
-        F.lit(", ".join(f"`{n}` string" for n in [*names, BAD])),
-        {k: v for k, v in CSV_OPTIONS.items() if k not in ("columnPruning", "enforceSchema")},
-    )
-    present = lines.filter(F.trim("value") != "")  # from_csv would pass a blank line as all NULL
-    # As a generator the record is parsed once, not once more for each filter above it.
-    return split(_marked(present.select(F.inline(F.array(parsed))), names))
+    return split(_marked(_parse(lines, names), names))

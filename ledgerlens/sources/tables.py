@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerlens.functions import plain_text
 from ledgerlens.operators.gates import require
 
 
@@ -59,7 +60,10 @@ def write_report(df: DataFrame, folder: str, order: Sequence[str] = ()) -> None:
                 for c in order
             ]
         )
-    single.write.mode("overwrite").options(header="true", escape='"').csv(folder)
+    written = single.withColumns(
+        {name: plain_text(F.col(name)) for name, kind in df.dtypes if kind == "double"}
+    )
+    written.write.mode("overwrite").options(header="true", escape='"').csv(folder)
 
 
 def read_report(spark: SparkSession, folder: str, schema: T.StructType | str) -> DataFrame:

@@ -1,7 +1,7 @@
 from decimal import Decimal
 
 import pytest
-from ledgerlens.functions import band, pct, percent_text, ratio, round_n, thousands_text
+from ledgerlens.functions import band, pct, percent_text, plain_text, ratio, round_n, thousands_text
 from pyspark.sql import functions as F
 
 EDGES = (0, 0.10, 0.20)
@@ -59,6 +59,12 @@ def test_thousands_text_is_python_formatting(spark, value):
     assert one(spark, thousands_text(F.lit(value))) == f"{value:,.0f}"
 
 
+@pytest.mark.parametrize("value", [0.0, -10.05, 2297201.0, 12345678.0, -9.87654321025e9, 1e12, None])
+def test_plain_text_is_python_text(spark, value):
+    want = None if value is None else repr(value)
+    assert one(spark, plain_text(F.lit(value).cast("double"))) == want
+
+
 def test_exact_sums_do_not_depend_on_order(spark):
     from ledgerlens.functions import exact
 

@@ -1,7 +1,9 @@
 import datetime as dt
+import random
 
 import pytest
 from feed import BASE, HEADER, good_lines, text, write
+from ledgerlens.sources import landing
 from ledgerlens.sources.contract import RETAIL_CONTRACT, to_staging
 from ledgerlens.sources.landing import land_raw_csv, parse_lines, read_raw_csv, spans_lines
 from pyspark.errors import AnalysisException, DateTimeException, NumberFormatException
@@ -46,6 +48,53 @@ def test_too_many_fields_and_empty_last_field(spark, tmp_path):
     assert rejected.first().line == row
 
 
+@pytest.fixture
+def small_splits(spark):
+    """Files cut into splits of a few lines."""
+    keys = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = {k: spark.conf.get(k) for k in keys}
+    for k in keys:
+        spark.conf.set(k, "700")
+    yield spark
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_broken_records_across_splits(small_splits, tmp_path):
+    """Records of many lines, with quotes and blank lines inside, cut anywhere by the splits."""
+    spark = small_splits
+    rng = random.Random(3)
+    pieces = ["a, b", 'say ""hi""', "", "x" * 40, "two  spaces", '""']
+    for name in ("a.csv", "b.csv"):
+        changes = []
+        for _ in range(60):
+            breaks = rng.choice([0, 0, 1, 3, 30])
+            note = "\n".join(rng.choice(pieces) for _ in range(breaks + 1)).replace('""', '"')
+            changes.append({"Product Name": "n" + note + "n", "City": rng.choice(["A\nB", "C"])})
+        write(tmp_path, text(*changes), name)
+    assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 20
+    got = read_raw_csv(spark, str(tmp_path))
+    whole_files = spark.read.options(header=True, multiLine=True, escape='"').csv(str(tmp_path))
+    want = whole_files.filter("Profit is not null")
+    assert got.kept.count() == 120 and got.rejected.count() == 8
+    key = ["Row ID", "Product Name", "City"]
+    assert got.kept.orderBy(key).collect() == want.orderBy(key).collect()
+
+
+def test_a_quote_never_closed(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(landing, "LONGEST_BROKEN_RECORD", 1000)
+    path = write(tmp_path, text({}, tail='"open\n' + "more\n" * 400))
+    with pytest.raises(ValueError, match="never closed"):
+        read_raw_csv(spark, path)
+
+
+def test_headers_must_agree_with_line_breaks_too(spark, tmp_path):
+    write(tmp_path, text({"City": "A\nB"}), "a.csv")
+    write(tmp_path, text({}).replace("Row ID,Order ID", "Order ID,Row ID"), "b.csv")
+    with pytest.raises(Exception, match="CSV header does not conform"):
+        read_raw_csv(spark, str(tmp_path)).kept.collect()
+
+
 def test_landing_parses_once_and_serves_two_views(spark, tmp_path):
     for content, counts in ((text({}, {}), (2, 4)), (text({}), (1, 4))):  # the second replaces
         path = write(tmp_path, content)
