@@ -14,7 +14,7 @@ from ledgerlens.operators.gates import GateRules, require, run_gates
 from ledgerlens.plans.feeds import feed_discount, feed_growth, feed_subcategory
 from ledgerlens.plans.reports import REPORTS, Report
 from ledgerlens.plans.settings import RETAIL, RETAIL_GATES, Settings
-from ledgerlens.session import configure, side_by_side
+from ledgerlens.session import configure, plan_bytes, side_by_side, size_shuffles
 from ledgerlens.sources.contract import RETAIL_CONTRACT, US_DATE, Contract, to_staging
 from ledgerlens.sources.landing import land_raw_csv
 from ledgerlens.sources.tables import publish, read_report, write_report
@@ -96,7 +96,9 @@ def run_pipeline(
     configure(spark)
     raw_table, staging_table = f"raw.{source}", "staging.stg_orders"
     raw_rows, rejected_rows = land_raw_csv(spark, csv_path, raw_table)
-    staged = to_staging(spark.table(raw_table), contract, date_format)
+    raw = spark.table(raw_table)
+    size_shuffles(spark, plan_bytes(raw))
+    staged = to_staging(raw, contract, date_format)
     staging_rows, gates = publish(staged, staging_table, lambda df: run_gates(df, rules))
 
     facts = cubes(line_facts(spark.table(staging_table)))

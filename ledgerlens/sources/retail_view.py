@@ -92,7 +92,7 @@ def order_lines(
             broadcast_if_small(buyers, inputs), F.col("l_orderkey") == F.col("o_orderkey"), "left"
         )
 
-    amount = price * (F.lit(1) - discount)
+    earned = F.lit(1) - discount  # of each unit of list price
     made = {
         "row_id": lambda: F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"),
         "order_id": lambda: F.col("l_orderkey"),
@@ -108,8 +108,9 @@ def order_lines(
         "sub_category": lambda: F.col("p_brand"),
         "quantity": lambda: F.col("l_quantity").cast("int"),
         "discount": lambda: discount,
-        "sales": lambda: amount,
-        "profit": lambda: (amount - price * (part_cost + nation_cost)).cast("decimal(18,6)"),
+        "sales": lambda: price * earned,
+        # At most 18 digits on the way, which Spark keeps in a long.
+        "profit": lambda: price * (earned - part_cost - nation_cost).cast(RATE),
     }
     return lines.select(*[made[c]().alias(c) for c in columns])
 
