@@ -16,7 +16,7 @@ from ledgerlens.plans.pipeline import build_reports, run_summary
 from ledgerlens.plans.settings import Settings
 from ledgerlens.session import new_folder, shuffle_tasks
 from ledgerlens.sources.contract import to_staging
-from ledgerlens.sources.landing import Landed, parse_lines
+from ledgerlens.sources.landing import Landed, parse_lines, read_raw_csv
 from ledgerlens.sources.retail_view import COLUMNS, order_lines, returned_orders, table
 from ledgerlens.sources.tables import read_report, write_report
 
@@ -170,17 +170,21 @@ CSV_CONTRACT = (
 )
 
 
-def _delivery(spark: SparkSession, folder: str) -> Landed:
-    """Every order as a CSV line, mixed with the lines of two foreign sheets and blank ones.
+CSV_HEADER = [source for source, _, _ in CSV_CONTRACT]
+
 
-    The ship mode is quoted and holds a comma and doubled quotes; the last field is empty.
+def _delivery_lines(spark: SparkSession, folder: str, gap: str) -> DataFrame:
+    """Every order as a CSV record, mixed with the lines of two foreign sheets and blank ones.
+
+    The ship mode is quoted and holds a comma, doubled quotes and the `gap`; the last field is
+    empty.
     """
     order_csv = F.concat_ws(
         ",",
         "o_orderkey",
         "o_custkey",
         F.date_format("o_orderdate", "M/d/yyyy"),
-        F.concat(F.lit('"'), "o_orderpriority", F.lit(', ""'), "o_orderstatus", F.lit('"""')),
+        F.concat(F.lit('"'), "o_orderpriority", F.lit(f',{gap}""'), "o_orderstatus", F.lit('"""')),
         F.col("o_totalprice").cast("decimal(18,2)").cast("string"),
         F.lit(""),
     )
@@ -188,8 +192,26 @@ def _delivery(spark: SparkSession, folder: str) -> Landed:
     people = table(spark, folder, "customer").select(F.concat_ws(",", "c_name", "c_nationkey"))
     returns = returned_orders(spark, folder).select(F.concat_ws(",", F.lit("Yes"), "order_id"))
     blank = table(spark, folder, "nation").select(F.repeat(F.lit(" "), "n_nationkey"))
-    everything = lines.union(people).union(returns).union(blank)
-    return parse_lines(everything, [source for source, _, _ in CSV_CONTRACT])
+    return lines.union(people).union(returns).union(blank)
+
+
+def _delivery(spark: SparkSession, folder: str) -> Landed:
+    return parse_lines(_delivery_lines(spark, folder, " "), CSV_HEADER)
+
+
+def _delivery_files(spark: SparkSession, folder: str) -> Landed:
+    """The same as text files with a header each, and with line breaks inside the ship mode."""
+    files = shuffle_tasks(spark)
+    body = _delivery_lines(spark, folder, "\n").select(
+        F.pmod(F.xxhash64("value"), F.lit(files)).alias("file"), F.lit(1).alias("place"), "value"
+    )
+    heads = spark.range(files).select(
+        F.col("id").alias("file"), F.lit(0).alias("place"), F.lit(",".join(CSV_HEADER)).alias("value")
+    )
+    target = new_folder(spark, "delivery")
+    placed = heads.unionByName(body).repartition("file").sortWithinPartitions("file", "place")
+    placed.drop("place").write.partitionBy("file").text(target)
+    return read_raw_csv(spark, f"{target}/file=*")
 
 
 def csv_contract(spark: SparkSession, folder: str) -> DataFrame:
@@ -202,6 +224,16 @@ def csv_quarantine(spark: SparkSession, folder: str) -> DataFrame:
     return _delivery(spark, folder).rejected
 
 
+def csv_file_contract(spark: SparkSession, folder: str) -> DataFrame:
+    """The typed rows of the delivery read from files."""
+    return to_staging(_delivery_files(spark, folder).kept, CSV_CONTRACT)
+
+
+def csv_file_quarantine(spark: SparkSession, folder: str) -> DataFrame:
+    """The lines of the files set aside, whole."""
+    return _delivery_files(spark, folder).rejected
+
+
 def load_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Rows kept and set aside by the load."""
     kept, rejected = _delivery(spark, folder)
@@ -247,6 +279,8 @@ QUERIES: dict[str, Query] = {
     "returned_order_margin": returned_order_margin,
     "csv_contract": csv_contract,
     "csv_quarantine": csv_quarantine,
+    "csv_file_contract": csv_file_contract,
+    "csv_file_quarantine": csv_file_quarantine,
     "load_counts": load_counts,
     "report_csv_roundtrip": report_csv_roundtrip,
 }

@@ -365,6 +365,8 @@ ORACLES: dict[str, str] = {
     "returned_order_margin": _over(RETURNED),
     "csv_contract": CSV_ROWS,
     "csv_quarantine": FOREIGN_ROWS,
+    "csv_file_contract": CSV_ROWS.replace("', \"'", "',' || chr(10) || '\"'"),
+    "csv_file_quarantine": FOREIGN_ROWS,
     "load_counts": f"SELECT 'kept' AS layer, COUNT(*) AS n_rows FROM orders"
     f" UNION ALL SELECT 'rejected', COUNT(*) FROM ({FOREIGN_ROWS})",
     "report_csv_roundtrip": _over(SUBCATEGORIES),
