@@ -48,11 +48,11 @@ class Settings:
     words: int = 5  # of a shingle
     percent: int = 80  # least similarity
     coordinates: int = 128  # of a sketch
-    trees: int = 14
+    trees: int = 20
     first_level: int = 3  # nodes above this level are not looked at
     deeper: int = 2  # levels that a large node branches at once
     last_level: int = 11
-    node_rows: int = 96  # largest node that is compared exhaustively
+    node_rows: int = 256  # largest node that is compared exhaustively
     margin: float = 0.12  # below the threshold, for similarities estimated from sketches
     block_rows: int = 128  # sets of a family that are compared in one piece
     pairs: int = 1 << 19  # similar pairs that a task holds at once
@@ -358,8 +358,9 @@ def _confirm(sets: DataFrame, s: Settings) -> DataFrame:
     star = near.filter("near AND id <> centre").select(F.col("id").alias("u"), F.col("centre").alias("v"))
 
     # Compare those that are not linked to it with everybody, block by block.
-    count = lambda c: F.count_if(c)
-    parts = near.groupBy("family").agg(count("near").alias("n_near"), count("NOT near").alias("n_far"))
+    parts = near.groupBy("family").agg(
+        F.count_if("near").alias("n_near"), F.count_if(~F.col("near")).alias("n_far")
+    )
     blocks = lambda n: F.ceil(F.col(n) / F.lit(s.block_rows)).cast("long")
     parts = parts.filter("n_far > 0").select(
         "family", blocks("n_near").alias("b_near"), blocks("n_far").alias("b_far")
