@@ -7,12 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import lines, near_dup, packing, quality, sample, toxicity
+from ledgerlens.llm import (
+    chat,
+    embeddings,
+    fingerprints,
+    language,
+    lines,
+    near_dup,
+    packing,
+    pieces,
+    quality,
+    sample,
+    toxicity,
+)
+from ledgerlens.session import durable
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUALITY_LEAST, TOXIC_MOST = 0.3, 0.7
-QUALITY_PARTS, TOXIC_PARTS = (5, 0), (3, 1)  # folds; the one held out
+LANGUAGE_PARTS, QUALITY_PARTS, TOXIC_PARTS = (4, 2), (5, 0), (3, 1)  # folds; the one held out
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -30,6 +43,21 @@ def taught(spark: SparkSession, folder: str, label: str, parts: tuple[int, int])
     return rows.filter(~held_out(parts))
 
 
+def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    model = language.fit(docs.filter(~held_out(LANGUAGE_PARTS)))
+    return language.predict(docs, model).select(
+        "doc_id", held_out(LANGUAGE_PARTS).alias("held_out"), "lang_pred", "score", "rejected"
+    )
+
+
+def op2_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    told = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-7, 0, "user", told), (-7, 1, "assistant", told)], turns.schema)
+    return chat.digests(durable(chat.formatted(turns.union(own)), "conversations"))
+
+
 def op3_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     model = quality.fit(docs, taught(spark, folder, "quality", QUALITY_PARTS))
@@ -45,6 +73,43 @@ def op4_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"))
 
 
+def op5_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    rows = fingerprints.with_neighbours(docs).select(
+        "doc_id",
+        F.length("text").cast("long").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        "fingerprint",
+        fingerprints.sketch(F.col("edited")).alias("edited_fingerprint"),
+        "next_fingerprint",
+    )
+    alike = fingerprints.resemblance
+    return rows.select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        fingerprints.as_text(F.col("fingerprint")).alias("fingerprint"),
+        fingerprints.as_text(F.col("edited_fingerprint")).alias("edited_fingerprint"),
+        alike(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
+        alike(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
+        fingerprints.distinct_count(F.col("fingerprint")).alias("n_shingles"),
+    )
+
+
+def op6_sentencepiece_nbest(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    vocabulary = pieces.Vocabulary.read()
+    done = pieces.decode(pieces.encode(docs, vocabulary), vocabulary)
+    return done.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_pieces"),
+        F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
+        "score",
+        F.transform("alternatives", lambda a: a["score"]).alias("next_scores"),
+        (F.col("decoded").eqNullSafe(F.col("text")) & F.coalesce("agree", F.lit(True))).alias("restored"),
+    )
+
+
 def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "source", "text")
     done = lines.drop_boilerplate(docs, "source", "text")
@@ -68,11 +133,20 @@ def op9_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dup.near_duplicates(docs, near_dup.Settings(words=4))
 
 
+def op10_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, folder, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
+    "op1_language_id": op1_language_id,
+    "op2_chat_formatting": op2_chat_formatting,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_fingerprints": op5_fingerprints,
+    "op6_sentencepiece_nbest": op6_sentencepiece_nbest,
     "op7_line_dedup": op7_line_dedup,
     "op8_toxicity": op8_toxicity,
     "op9_minhash_dedup": op9_minhash_dedup,
+    "op10_embedding_dedup": op10_embedding_dedup,
 }
 ORACLES: dict[str, str] = {}

@@ -1,0 +1,87 @@
+import random
+import re
+
+import pytest
+from odd import documents, strange
+
+from ledgerlens.llm import near_dup, queries
+
+FOLDER = "/root/testdata/sf0.01"
+WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def shingles(text, n):
+    w = WORDS.findall((text or "").translate({c: c + 32 for c in range(65, 91)}))
+    runs = [tuple(w[i : i + n]) for i in range(len(w) - n + 1)] if len(w) >= n else [tuple(w)]
+    return {r for r in runs if r}
+
+
+def brute(rows, n):
+    sets = {i: shingles(t, n) for i, t in rows}
+    parent = {i: i for i in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ids = sorted(sets)
+    for a in ids:
+        for b in ids:
+            if a < b and sets[a] and sets[b]:
+                both = len(sets[a] & sets[b])
+                if 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+                    x, y = find(a), find(b)
+                    parent[max(x, y)] = min(x, y)
+    return {i: (len(sets[i]), find(i), find(i) == i) for i in ids}
+
+
+def got(df):
+    return {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in df.collect()}
+
+
+def test_registered_query_equals_brute_force(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").collect()
+    want = brute([(r["doc_id"], r["text"]) for r in docs], 4)
+    assert got(queries.op9_minhash_dedup(spark, FOLDER)) == want
+
+
+@pytest.mark.parametrize("settings", [
+    near_dup.Settings(words=4),
+    near_dup.Settings(words=4, node_rows=4, block_rows=8, last_level=5, trees=40),
+])
+def test_families_of_edited_copies(spark, settings):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    rows = []
+    for f in range(4):
+        base = [word() for _ in range(90)]
+        for _ in range(30):
+            own = list(base)
+            for _ in range(rng.randint(0, 5)):
+                own[rng.randrange(90)] = word()
+            rows.append((len(rows), " ".join(own)))
+    rows += [(1000 + k, t) for k, (_, t) in enumerate(rows[:10])]
+    docs = documents(spark, [(i, t, "en", "a") for i, t in rows])
+    assert got(near_dup.near_duplicates(docs, settings)) == brute(rows, 4)
+
+
+def test_strange_rows(spark):
+    docs = strange(spark)
+    found = near_dup.near_duplicates(docs).collect()
+    assert len(found) == 10
+    by = {r["doc_id"]: r for r in found}
+    for i in (1, 2, 3):
+        assert (by[i]["n_shingles"], by[i]["component_id"], by[i]["kept"]) == (0, i, True)
+    assert by[6]["component_id"] == 5 and not by[6]["kept"] and by[5]["kept"]
+    assert by[None]["component_id"] is None and not by[None]["kept"]
+    stay = near_dup.first_of_each(docs)
+    assert stay.schema == docs.schema
+    assert sorted(r["doc_id"] or 0 for r in stay.collect()) == [0, 1, 2, 3, 5, 5, 7, 8, 9]
+    assert near_dup.near_duplicates(docs.limit(0)).collect() == []
+
+
+def test_an_id_with_two_texts_links_them(spark):
+    rows = [(1, "a b c d e f"), (2, "a b c d e f"), (2, "u v w x y z"), (3, "u v w x y z")]
+    docs = documents(spark, [(i, t, "en", "a") for i, t in rows])
+    assert {r["component_id"] for r in near_dup.near_duplicates(docs).collect()} == {1}

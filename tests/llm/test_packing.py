@@ -1,0 +1,88 @@
+import random
+from collections import defaultdict
+
+import pandas as pd
+from odd import documents, strange
+
+from ledgerlens.llm import packing, queries
+
+FOLDER = "/root/testdata/sf0.01"
+
+
+def test_a_shard_equals_plain_best_fit():
+    rng = random.Random(5)
+    for _ in range(30):
+        n = rng.randint(1, 60)
+        rows = pd.DataFrame({
+            "length": sorted((rng.randint(1, 20) for _ in range(n)), reverse=True),
+            "source": pd.array([rng.choice([None, 1, 2, 3, 4]) for _ in range(n)], dtype="Int64"),
+            "cluster": [rng.randint(0, 25) for _ in range(n)],
+        })
+        bins = []  # [residual, sources, clusters]
+        want = []
+        for length, s, c in zip(rows["length"], rows["source"], rows["cluster"]):
+            s = None if s is pd.NA else s
+            fits = [(b[0], k) for k, b in enumerate(bins)
+                    if b[0] >= length and (s is None or s not in b[1]) and c not in b[2]]
+            if fits:
+                k = min(fits)[1]
+            else:
+                k = len(bins)
+                bins.append([20, set(), set()])
+            want.append((k, 20 - bins[k][0]))
+            bins[k][0] -= length
+            bins[k][1].add(s)
+            bins[k][2].add(c)
+        assert list(zip(*packing.pack_shard(rows, 20))) == want
+
+
+def check(pieces, docs, capacity):
+    text = defaultdict(list)
+    for r in docs:
+        text[r["doc_id"]].append(r)
+    by_bin = defaultdict(list)
+    lengths = defaultdict(int)
+    for p in pieces:
+        lengths[p["doc_id"]] += p["length"]
+        if p["bin"] is None:
+            assert p["length"] == 0
+        else:
+            by_bin[p["bin"]].append(p)
+    assert lengths == {i: sum(len(r["text"] or "") for r in own) for i, own in text.items()}
+    for own in by_bin.values():
+        at = 0
+        for p in sorted(own, key=lambda p: p["bin_start"]):
+            assert p["bin_start"] == at and p["length"] > 0
+            at += p["length"]
+        assert at <= capacity
+        docs_of = [text[p["doc_id"]][0] for p in own]
+        sources = [d["source"] for d in docs_of if d["source"] is not None]
+        assert len(sources) == len(set(sources))
+        assert len({d["text"] for d in docs_of}) == len(own)
+    return by_bin
+
+
+def test_registered_query_holds_all_rules(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").collect()
+    pieces = queries.op4_best_fit_packing(spark, FOLDER).collect()
+    by_bin = check(pieces, docs, 8192)
+    assert sum(p["length"] for p in pieces) > 0.9 * 8192 * len(by_bin)
+
+
+def test_strange_rows_shards_and_sequences(spark):
+    docs = strange(spark).filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    for rows in (3, 100):
+        pieces = packing.pack(docs, capacity=100, shard_rows=rows)
+        check(pieces.collect(), docs.collect(), 100)
+        texts = packing.sequences(pieces, docs).collect()
+        assert sum(len(r["text"]) for r in texts) == sum(len(r["text"] or "") for r in docs.collect())
+    assert packing.pack(strange(spark), capacity=50).filter("doc_id IS NULL").count() == 1
+    assert packing.pack(strange(spark)).filter("doc_id = 5").count() == 2
+    assert packing.pack(docs.limit(0)).collect() == []
+
+
+def test_a_third_of_copies_spreads(spark):
+    rows = [(k, "copy", "en", "hot") if k % 3 == 0 else (k, f"t {k} " * 3, "en", f"s{k % 5}") for k in range(300)]
+    docs = documents(spark, rows)
+    pieces = packing.pack(docs, capacity=60, shard_rows=64)
+    check(pieces.collect(), docs.collect(), 60)

@@ -1,0 +1,32 @@
+import importlib
+
+from ledgerlens.llm import queries
+
+FOLDER = "/root/testdata/sf0.01"
+
+
+def test_stages_keep_columns_and_take_effect(spark, tmp_path):
+    pipeline = importlib.import_module("corpus_pipeline")
+    first = docs = queries.table(spark, FOLDER, "documents")
+    sizes = [docs.count()]
+    for name, stage in pipeline.STAGES:
+        done = stage(spark, docs, FOLDER)
+        done.write.parquet(f"{tmp_path}/{name}")
+        before, docs = docs, spark.read.parquet(f"{tmp_path}/{name}")
+        if name != "packing":
+            assert docs.schema == first.schema
+            assert docs.join(before, "doc_id", "left_anti").count() == 0
+            sizes.append(docs.count())
+    quality, toxic, _, near, start = sizes[1], sizes[2], sizes[3], sizes[4], sizes[0]
+    assert 0.7 * start < quality < start and toxic < quality and near < toxic == sizes[3]
+    last = spark.read.parquet(f"{tmp_path}/near_dedup")
+    assert docs.select("doc_id").distinct().count() == last.count()
+    assert sorted(pipeline.run(spark, FOLDER).columns) == sorted(docs.columns)
+
+
+def test_every_operator_is_registered():
+    entry = importlib.import_module("__spark_entry__")
+    names = list(entry.queries())
+    for n in range(1, 11):
+        assert sum(x.startswith(f"op{n}_") for x in names) == 1
+    assert "pipeline" in names

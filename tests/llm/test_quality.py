@@ -1,0 +1,64 @@
+import zlib
+
+import pyarrow as pa
+from odd import LONG, documents, strange
+
+from ledgerlens.llm import quality, queries
+
+FOLDER = "/root/testdata/sf0.01"
+
+
+def test_held_out_accuracy_and_digest(spark):
+    rows = {r["doc_id"]: r for r in queries.op3_quality_classifier(spark, FOLDER).collect()}
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    assert len(rows) == docs.count()
+    labels = spark.read.parquet(f"{FOLDER}/labels.parquet").collect()
+    kept = [r for r in labels if zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0]
+    assert sum(rows[r["doc_id"]]["predicted"] == r["quality"] for r in kept) >= 0.97 * len(kept)
+    for i, r in rows.items():
+        assert r["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0)
+        assert 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3)
+
+
+def taught(spark):
+    rows = [(k, "plain good words here " * 3 + str(k), "en", "a") for k in range(40)]
+    rows += [(k, f"bad!! BAD!! {k} !! worse!!", "en", "a") for k in range(40, 80)]
+    labels = [(k, int(k < 40)) for k in range(80)] + [(0, 1), (1, None), (None, 0), (999, 1)]
+    return documents(spark, rows), spark.createDataFrame(labels, "doc_id long, label int")
+
+
+def test_strange_rows(spark):
+    docs, labels = taught(spark)
+    model = quality.fit(docs, labels)
+    scores = quality.score(strange(spark), model).collect()
+    by = {r["doc_id"]: r["score"] for r in scores}
+    assert len(scores) == 10 and all(0 <= r["score"] <= 1 for r in scores)
+    assert by[1] == by[2] == by[3]  # nothing but the bias
+    assert by[5] == by[6]
+    kept = quality.accepted(strange(spark), model, 0.0)
+    assert kept.schema == strange(spark).schema and kept.count() == 10
+    assert quality.accepted(docs, model, 0.5).count() == 40
+
+
+def test_nothing_to_learn_from(spark):
+    docs, labels = taught(spark)
+    model = quality.fit(docs, labels.limit(0))
+    assert {r["score"] for r in quality.score(docs, model).collect()} == {0.5}
+    assert quality.score(docs.limit(0), model).collect() == []
+    assert quality.fit(docs.limit(0), labels).scores(pa.array(["a"])).tolist() == [0.5]
+
+
+def test_the_sample_is_bounded_and_takes_all_of_a_small_class(spark):
+    from ledgerlens.llm import sample
+
+    rows = spark.range(20000).selectExpr("id AS doc_id", "int(id % 1000 = 0) AS label")
+    found = {r["label"]: r["count"] for r in sample.per_class(rows, "label", 500, "doc_id").groupBy("label").count().collect()}
+    assert found[1] == 20 and 400 < found[0] < 600
+
+
+def test_repetition_is_one_feature():
+    s = quality.Settings()
+    _, a, _ = quality.features(pa.array(["ab ab ab"]), s)
+    _, b, _ = quality.features(pa.array(["cd cd cd"]), s)
+    assert set(a) & set(b)
+    assert quality.features(pa.array([LONG]), s)[0].shape[0] > 10000
