@@ -74,7 +74,7 @@ def test_strange_rows(spark):
     assert by[5]["next_fingerprint"] == by[6]["fingerprint"]
     assert by[9]["next_fingerprint"] == []  # the first text is null
     assert by[6]["edited"] == "same text tw" + by[7]["text"][:11]
-    assert by[None]["edited"] == "a row wit" and by[None]["next_fingerprint"] == []
+    assert by[None]["edited"] == "a row with" and by[None]["next_fingerprint"] == []
     assert fp.with_neighbours(strange(spark).limit(0)).collect() == []
     alone = fp.with_neighbours(documents(spark, [(4, "one two", "en", "a")])).collect()
     assert alone[0]["edited"] == "one one"

@@ -27,16 +27,18 @@ def test_held_out_accuracy_and_digest(spark):
 
 
 def taught():
-    good = [f"some plain words and more of them {k} é." for k in range(60)]
-    bad = [f"you are ein glorpish{k % 7} person number {k}. fine" for k in range(60)]
-    return pa.array(good + bad), np.array([0] * 60 + [1] * 60)
+    rng = np.random.default_rng(3)
+    pool = ["".join(rng.choice(list("abcdefgh"), 4)) for _ in range(150)]
+    plain = [" ".join(rng.choice(pool, 12)) + " é." for _ in range(120)]
+    bad = [f"{t[:30]} glorpish{k % 7} {t[30:]}" for k, t in enumerate(plain[60:])]
+    return pa.array(plain[:60] + bad), np.array([0] * 60 + [1] * 60)
 
 
 def test_spans_name_the_offending_words():
     model = toxicity.train(*taught(), toxicity.Settings())
-    texts = ["é é a glorpish99 thing. and glorpishly", "nothing here", None, ""]
+    texts = ["é é abcd glorpish5 efgh. abcd glorpishly", "nothing here", None, ""]
     scores, spans = model.scores_and_spans(pa.array(texts))
-    assert [texts[0][a:b] for a, b in spans[0]] == ["glorpish99", "glorpishly"]
+    assert [texts[0][a:b] for a, b in spans[0]] == ["glorpish5", "glorpishly"]
     assert spans[1:] == [[], [], []]
     assert scores[0] > 0.7 > 0.3 > scores[1] and scores[2] == scores[3]
 
