@@ -272,7 +272,9 @@ def _branched(large: DataFrame, level: int, s: Settings) -> DataFrame:
 
 def _sets(documents: DataFrame, families: DataFrame, s: Settings) -> DataFrame:
     """(id, family, members, items) with the whole shingle set of each class in a family."""
-    rows = documents.select(F.col("doc_id").cast("long").alias("id"), "text").join(families, "id")
+    texts = documents.select(F.col("doc_id").cast("long").alias("id"), "text")
+    # One plan at every size: the texts move once, by id.
+    rows = texts.join(families.hint("merge"), "id")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
