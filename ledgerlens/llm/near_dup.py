@@ -426,7 +426,7 @@ def near_duplicates(documents: DataFrame, settings: Settings = Settings()) -> Da
     heads = filled.join(
         classes.select(*key, F.col("id").alias("doc_id")), [*key, "doc_id"], "left_semi"
     )
-    heads = heads.select(F.col("doc_id").alias("id"), "sketch", "marks", "paths")
+    heads = durable(heads.select(F.col("doc_id").alias("id"), "sketch", "marks", "paths"), "heads")
     families = durable(_families(heads, s), "families")
     members = families.groupBy("family").agg(F.count(F.lit(1)).alias("members"))
     sets = durable(_sets(documents, families.join(members, "family"), s), "sets")
