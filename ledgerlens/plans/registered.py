@@ -16,7 +16,7 @@ from ledgerlens.plans.pipeline import build_reports, run_summary
 from ledgerlens.plans.settings import Settings
 from ledgerlens.session import new_folder, shuffle_tasks
 from ledgerlens.sources.contract import to_staging
-from ledgerlens.sources.landing import Landed, parse_lines, read_raw_csv
+from ledgerlens.sources.landing import BAD, Landed, mark_lines, parse_lines, read_raw_csv
 from ledgerlens.sources.retail_view import COLUMNS, order_lines, returned_orders, table
 from ledgerlens.sources.tables import read_report, write_report
 
@@ -201,17 +201,48 @@ def _delivery(spark: SparkSession, folder: str) -> Landed:
 
 def _delivery_files(spark: SparkSession, folder: str) -> Landed:
     """The same as text files with a header each, and with line breaks inside the ship mode."""
+    body = _delivery_lines(spark, folder, "\n")
+    return read_raw_csv(spark, _written(spark, "delivery", [",".join(CSV_HEADER)], body))
+
+
+MESSY_CONTRACT = (("Order ID", "order_id", "bigint"), ("Size", "size_text", "string"), ("Note", "note", "string"))
+MESSY_HEADER = [source for source, _, _ in MESSY_CONTRACT]
+
+
+def _written(spark: SparkSession, name: str, heads: list[str], body: DataFrame) -> str:
+    """Files of the lines in `body`, each beginning with the lines in `heads`."""
     files = shuffle_tasks(spark)
-    body = _delivery_lines(spark, folder, "\n").select(
-        F.pmod(F.xxhash64("value"), F.lit(files)).alias("file"), F.lit(1).alias("place"), "value"
-    )
-    heads = spark.range(files).select(
-        F.col("id").alias("file"), F.lit(0).alias("place"), F.lit(",".join(CSV_HEADER)).alias("value")
+    placed = body.select(
+        F.pmod(F.xxhash64("value"), F.lit(files)).alias("file"), F.lit(len(heads)).alias("place"), "value"
     )
-    target = new_folder(spark, "delivery")
-    placed = heads.unionByName(body).repartition("file").sortWithinPartitions("file", "place")
+    for place, line in enumerate(heads):
+        head = spark.range(files).select(
+            F.col("id").alias("file"), F.lit(place).alias("place"), F.lit(line).alias("value")
+        )
+        placed = placed.unionByName(head)
+    placed = placed.repartition("file").sortWithinPartitions("file", "place")
+    target = new_folder(spark, name)
     placed.drop("place").write.partitionBy("file").text(target)
-    return read_raw_csv(spark, f"{target}/file=*")
+    return f"{target}/file=*"
+
+
+def csv_messy_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Files as spreadsheets leave them: CR LF line ends, also inside fields, inch marks in plain
+    fields, a blank first line and one closed field of several megabytes."""
+    note = F.concat(F.lit('"x\r\n""'), "o_orderstatus", F.lit('"",\n"\r'))
+    pipe = F.concat("o_orderpriority", F.lit(' 5" pipe'))
+    lines = table(spark, folder, "orders").select(
+        F.concat_ws(",", "o_orderkey", pipe, note).alias("value")
+    )
+    region = table(spark, folder, "region").filter("r_regionkey = 0")
+    long = F.repeat(F.concat("r_name", F.lit(", line\r\n ")), F.lit(300_000))
+    lines = lines.union(region.select(F.concat(F.lit("-1,"), "r_name", F.lit(',"'), long, F.lit('"\r'))))
+    path = _written(spark, "messy", ["\r", ",".join(MESSY_HEADER) + "\r"], lines)
+    staged = to_staging(read_raw_csv(spark, path).kept, MESSY_CONTRACT)
+    return staged.select(
+        "order_id", "size_text", F.length("note").cast("long").alias("note_chars"),
+        F.substring("note", 1, 20).alias("note_head"),
+    )
 
 
 def csv_contract(spark: SparkSession, folder: str) -> DataFrame:
@@ -236,12 +267,13 @@ def csv_file_quarantine(spark: SparkSession, folder: str) -> DataFrame:
 
 def load_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Rows kept and set aside by the load."""
-    kept, rejected = _delivery(spark, folder)
-    counted = [
-        df.agg(F.lit(layer).alias("layer"), F.count(F.lit(1)).alias("n_rows"))
-        for layer, df in (("kept", kept), ("rejected", rejected))
+    marked = mark_lines(_delivery_lines(spark, folder, " "), CSV_HEADER)
+    good = F.col(BAD).isNull()
+    layers = [
+        F.struct(F.lit(layer).alias("layer"), F.count_if(condition).alias("n_rows"))
+        for layer, condition in (("kept", good), ("rejected", ~good))
     ]
-    return counted[0].unionByName(counted[1])
+    return marked.agg(F.array(*layers).alias("layers")).select(F.inline("layers"))
 
 
 def report_csv_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
@@ -281,6 +313,7 @@ QUERIES: dict[str, Query] = {
     "csv_quarantine": csv_quarantine,
     "csv_file_contract": csv_file_contract,
     "csv_file_quarantine": csv_file_quarantine,
+    "csv_messy_files": csv_messy_files,
     "load_counts": load_counts,
     "report_csv_roundtrip": report_csv_roundtrip,
 }

@@ -2,29 +2,25 @@
 
 from __future__ import annotations
 
+import csv
+import io
 from typing import NamedTuple
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from ledgerlens.session import durable
 
 BAD = "_rejected_line"
 
-# More text than any record with line breaks holds; beyond it a closing quote is missing.
-LONGEST_BROKEN_RECORD = 4 * 1024 * 1024
+CSV_OPTIONS = {"escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD}
 
-_FIRST = Window.unboundedPreceding
+# Where the quotes of a line leave a reader: in text, inside a quoted field, just behind a quote
+# that may have closed one, at the beginning of a record.
+TEXT, QUOTED, CLOSED, BEGINNING = 0, 1, 2, 3
 
-# columnPruning off: with it, a query on a few columns no longer notices ragged rows.
-# enforceSchema off: files whose header differs fail instead of being read by position.
-CSV_OPTIONS = {
-    "escape": '"',
-    "mode": "PERMISSIVE",
-    "columnNameOfCorruptRecord": BAD,
-    "columnPruning": "false",
-    "enforceSchema": "false",
-}
+_FIRST = Window.unboundedPreceding
 
 
 class Landed(NamedTuple):
@@ -32,10 +28,6 @@ class Landed(NamedTuple):
     rejected: DataFrame
 
 
-def _strings(names: list[str]) -> T.StructType:
-    return T.StructType([T.StructField(n, T.StringType()) for n in names])
-
-
 def _marked(parsed: DataFrame, names: list[str]) -> DataFrame:
     """All rows: empty fields as NULL, and the text of a line that does not fit beside them."""
     # Always true. Spark refuses queries that touch nothing but the marker, such as a count of
@@ -52,84 +44,209 @@ def split(marked: DataFrame) -> Landed:
     )
 
 
-def _open_quotes() -> Column:
-    """1 for a physical line with an odd number of quotes: a quoted field starts or ends in it."""
-    return (F.length("value") - F.length(F.translate(F.col("value"), '"', ""))) % 2
+def _ends_quoted(value: Column, start: int) -> Column:
+    """Whether a quoted field is open at the end of a line that begins in state `start`.
+
+    A quote opens a field only at the field's beginning, and closes it unless a second one follows.
+    Any other quote is text.
+    """
+    before = F.split(value, '"', -1)  # the text before each quote, and what follows the last one
+
+    def step(state: Column, text: Column) -> Column:
+        reopens = (text == "") & state.isin(CLOSED, BEGINNING)
+        return (
+            F.when(state == QUOTED, CLOSED)
+            .when(reopens | F.endswith(text, F.lit(",")), QUOTED)
+            .otherwise(TEXT)
+        )
+
+    return F.aggregate(F.slice(before, F.lit(1), F.size(before) - 1), F.lit(start), step) == QUOTED
 
 
-def spans_lines(spark: SparkSession, path: str | list[str]) -> bool:
-    """Whether any field holds a line break."""
-    return not spark.read.text(path).filter(_open_quotes() == 1).isEmpty()
+def _blank(value: Column) -> Column:
+    return F.length(F.translate(value, " \t\r", "")) == 0
 
 
-def _records(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Physical lines put together to whole CSV records: `value`, and whether it heads its file.
+def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Physical lines with file, split and a number that rises within a split.
 
-    Spark's multi-line CSV reader takes a file in one task. Here each split of a file is scanned
-    by itself; the number of open quotes before a split follows from sums over the splits before
-    it. Only lines of broken records are brought together.
+    Line feeds end lines; a carriage return before one stays, as it may belong to a field. Byte-order
+    marks at the beginning of lines go.
     """
-    lines = spark.read.text(path).select(
-        "value",
+    read = spark.read.option("lineSep", "\n").text(path)
+    return read.select(
+        F.regexp_replace("value", "^\ufeff", "").alias("value"),
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("at"),
-        _open_quotes().alias("odd"),
     )
-    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(_FIRST, -1)  # splits
+
+
+def _pin_splits(spark: SparkSession) -> None:
+    """Make every scan of a path cut it into the same splits, however many executors there are.
+
+    Left to itself, Spark cuts small inputs by the cores at hand, which may change between scans.
+    """
+    key = "spark.sql.files.minPartitionNum"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(spark.sparkContext.defaultParallelism))
+
+
+def _after(state: Column, constant: Column, swaps: Column) -> Column:
+    """The state behind a run of lines: of its last constant line if any, then the swaps since."""
+    since = F.coalesce(swaps - constant["swaps"], swaps)
+    return F.coalesce(constant["to"], state) != (since % 2 == 1)
+
+
+def _split_table(lines: DataFrame) -> DataFrame:
+    """One row for each split: its first and last line, and its first line that is not blank."""
+    at = F.col("at")
+    return durable(
+        lines.groupBy("file", "block").agg(
+            F.min("at").alias("low"),
+            F.max("at").alias("high"),
+            F.min(F.when(~_blank(F.col("value")), at)).alias("head"),
+        ),
+        "splits",
+    )
+
+
+def _broken(lines: DataFrame, splits: DataFrame) -> DataFrame:
+    """Runs of lines that belong to records of several lines: (file, block, low, high, start).
+
+    A line leads from one state to another: in a quoted field or not, at its beginning and its end.
+    Lines without quotes lead nowhere and are left out from the first scan on. The others either
+    end in the same state whatever came before, or swap the states, so the state before a line
+    follows from the last constant line and the parity of the swaps since: once inside every split,
+    then over the splits of a file.
+    """
+    quoted = lines.filter(F.contains("value", F.lit('"'))).select(
+        "file", "block", "at",
+        _ends_quoted(F.col("value"), BEGINNING).alias("from_text"),
+        _ends_quoted(F.col("value"), QUOTED).alias("from_field"),
+    )
+    moves = durable(quoted.filter("from_text OR NOT from_field"), "quotes")
+
     inside = Window.partitionBy("file", "block").orderBy("at")
-    above, so_far = inside.rowsBetween(_FIRST, -1), inside.rowsBetween(_FIRST, 0)
+    so_far, above = inside.rowsBetween(_FIRST, 0), inside.rowsBetween(_FIRST, -1)
 
-    splits = lines.groupBy("file", "block").agg(F.sum("odd").alias("odd"))
-    splits = splits.select(
-        "file", "block", F.coalesce(F.sum("odd").over(earlier), F.lit(0)).alias("before")
+    def running(window) -> dict[str, Column]:
+        constant = F.when(F.col("constant"), F.struct(F.col("to"), F.col("swaps")))
+        return {"last": F.last(constant, ignorenulls=True).over(window)}
+
+    swaps = F.sum(F.when(F.col("constant"), 0).otherwise(1)).over(so_far)
+    moves = moves.withColumns({"constant": F.col("from_text") == F.col("from_field"), "to": F.col("from_text")})
+    moves = moves.withColumn("swaps", swaps).withColumns(
+        running(so_far) | {"last_above": running(above)["last"], "next": F.lead("at").over(inside)}
     )
-    nth = F.row_number().over(inside)
-    placed = (
-        lines.join(splits, ["file", "block"])
-        .withColumns(
-            {
-                "nth": nth,
-                "open": (F.col("before") + F.coalesce(F.sum("odd").over(above), F.lit(0))) % 2,
-            }
-        )
-        .withColumn("start", F.when(F.col("open") == 0, F.struct("block", "nth")))
-        .withColumn("start", F.last("start", ignorenulls=True).over(so_far))
+    ends = moves.filter("next IS NULL").select("file", "block", "last", F.col("swaps").alias("own"))
+
+    # The state before each split. A split leads somewhere itself, as its lines do.
+    ordered = Window.partitionBy("file").orderBy("block")
+    earlier = ordered.rowsBetween(_FIRST, -1)
+    whole = splits.join(ends, ["file", "block"], "left").withColumns(
+        {
+            "constant": F.col("last").isNotNull(),
+            "to": F.coalesce(_after(F.lit(False), F.col("last"), F.col("own")), F.lit(False)),
+            "odd": F.when(F.col("last").isNull(), F.coalesce("own", F.lit(0)) % 2).otherwise(0),
+        }
     )
-    whole = placed.filter((F.col("open") == 0) & (F.col("odd") == 0))
-    broken = placed.filter((F.col("open") == 1) | (F.col("odd") == 1))
-
-    # A record that began in an earlier split goes by the last start before this split.
-    last_starts = broken.groupBy("file", "block").agg(F.max("start").alias("start"))
-    carried = last_starts.select(
-        "file", "block", F.last("start", ignorenulls=True).over(earlier).alias("carried")
+    whole = whole.withColumn("swaps", F.sum("odd").over(ordered.rowsBetween(_FIRST, 0)))
+    whole = whole.withColumns(
+        {
+            "open": _after(
+                F.lit(False), running(earlier)["last"], F.coalesce(F.sum("odd").over(earlier), F.lit(0))
+            ),
+            "left_open": _after(
+                F.lit(False), running(ordered.rowsBetween(_FIRST, 0))["last"], F.col("swaps")
+            ),
+            "later": F.lead("block").over(ordered),
+        }
+    )
+    whole = durable(whole.select("file", "block", "low", "high", "open", "left_open", "later"), "states")
+    if not whole.filter("later IS NULL AND left_open").isEmpty():
+        raise ValueError("a quoted field is never closed")
+
+    # Lines where a record of several lines begins or ends take turns within a split.
+    placed = moves.join(whole.select("file", "block", "high", "open"), ["file", "block"])
+    before = _after(
+        F.col("open"), F.col("last_above"), F.col("swaps") - F.when(F.col("constant"), 0).otherwise(1)
+    )
+    after = F.when(before, F.col("from_field")).otherwise(F.col("from_text"))
+    turns = placed.withColumns({"before": before, "after": after}).filter("before <> after")
+    turns = turns.select("file", "block", "at", "high", "before").withColumn(
+        "next", F.lead("at").over(inside)
+    )
+    turns = durable(turns, "turns")
+    starts = turns.filter("NOT before").select(
+        "file", "block", F.col("at").alias("low"), F.coalesce("next", "high").alias("high"),
+        F.struct("block", "at").alias("start"),
+    )
+
+    # A split that begins inside a record goes on with the one that an earlier split left open.
+    first_end = turns.groupBy("file", "block").agg(
+        F.min(F.when(F.col("before"), F.col("at"))).alias("end"),
+        F.max(F.when(~F.col("before"), F.col("at"))).alias("opened"),
     )
-    parts = broken.join(carried, ["file", "block"]).withColumn(
-        "start", F.coalesce("start", "carried")
+    runs = whole.join(first_end, ["file", "block"], "left").withColumn(
+        "start",
+        F.last(
+            F.when(F.col("left_open") & F.col("opened").isNotNull(),
+                   F.struct(F.col("block"), F.col("opened").alias("at"))),
+            ignorenulls=True,
+        ).over(earlier),
+    )
+    carried = runs.filter("open").select(
+        "file", "block", "low", F.coalesce("end", "high").alias("high"), "start"
     )
-    longest = parts.groupBy("file", "start").agg(F.sum(F.length("value")).alias("n")).agg(F.max("n"))
-    if (longest.first()[0] or 0) > LONGEST_BROKEN_RECORD:
-        raise ValueError(f"{path}: a quoted field is never closed")
-    in_order = F.sort_array(F.collect_list(F.struct("block", "nth", "value")))
-    joined = parts.groupBy("file", "start").agg(
-        F.array_join(F.transform(in_order, lambda p: p["value"]), "\n").alias("value")
+    return starts.unionByName(carried)
+
+
+def _records(spark: SparkSession, path: str | list[str], line_breaks: bool) -> DataFrame:
+    """CSV records: `value`, and whether it heads its file.
+
+    Each split of a file is scanned by itself. Lines that are records of their own stay where they
+    are read; only headers and the lines of broken records are brought together, once, in the
+    shared folder.
+    """
+    _pin_splits(spark)
+    lines = _lines(spark, path)
+    splits = _split_table(lines)
+    first = splits.filter("head IS NOT NULL").groupBy("file").agg(
+        F.min(F.struct("block", "head")).alias("first")
     )
-    heads = (F.col("start.block") == 0) & (F.col("start.nth") == 1)
-    return whole.select("value", heads.alias("heads")).unionByName(
-        joined.select("value", heads.alias("heads"))
+    heads = first.select(
+        "file",
+        F.col("first.block").alias("block"),
+        F.col("first.head").alias("low"),
+        F.col("first.head").alias("high"),
+        F.struct(F.col("first.block"), F.col("first.head").alias("at")).alias("start"),
     )
+    runs = heads.unionByName(_broken(lines, splits)) if line_breaks else heads
+    taken = runs.select("start", F.explode(F.sequence("low", "high")).alias("at")).distinct()
+    taken = durable(taken, "taken")
+
+    in_order = F.sort_array(F.collect_list(F.struct("block", "at", "value")))
+    joined = (
+        lines.join(taken, "at").groupBy("file", "start")
+        .agg(F.array_join(F.transform(in_order, lambda p: p["value"]), "\n").alias("value"))
+        .join(heads.select("file", F.col("start").alias("head")), "file", "left")
+    )
+    joined = durable(joined.select("value", (F.col("start") == F.col("head")).alias("heads")), "joined")
+    whole = lines.join(taken, "at", "left_anti").select("value", F.lit(False).alias("heads"))
+    ended = F.when(F.endswith("value", F.lit("\r")), F.expr("left(value, length(value) - 1)"))
+    return whole.unionByName(joined).select(F.coalesce(ended, "value").alias("value"), "heads")
 
 
 def _parse(records: DataFrame, names: list[str], *keep: str) -> DataFrame:
-    """One text record per row into its fields and the marker."""
+    """One text record per row into its fields and the marker; a blank record is a misfit."""
     parsed = F.from_csv(
-        "value",
-        F.lit(", ".join(f"`{n}` string" for n in [*names, BAD])),
-        {k: v for k, v in CSV_OPTIONS.items() if k not in ("columnPruning", "enforceSchema")},
+        "value", F.lit(", ".join(f"`{n}` string" for n in [*names, BAD])), CSV_OPTIONS
     )
-    present = records.filter(F.trim("value") != "")  # from_csv passes a blank line as all NULL
     # As a generator the record is parsed once, not once more for each filter above it.
-    return present.select(*keep, F.inline(F.array(parsed)))
+    blank = F.when(_blank(F.col("value")), F.col("value")).alias("_blank_line")
+    rows = records.select(*keep, blank, F.inline(F.array(parsed)))
+    return rows.withColumn(BAD, F.coalesce("_blank_line", BAD)).drop("_blank_line")
 
 
 def _without_headers(parsed: DataFrame, names: list[str]) -> DataFrame:
@@ -140,35 +257,39 @@ def _without_headers(parsed: DataFrame, names: list[str]) -> DataFrame:
     return parsed.filter(~drop.cast("boolean")).drop("heads")
 
 
+def _header(records: DataFrame) -> list[str]:
+    """The field names of one file's header."""
+    found = records.filter("heads").agg(F.min("value").alias("value")).first()["value"]
+    if found is None:
+        return []
+    return next(csv.reader(io.StringIO(found, newline="")))
+
+
 def read_marked_csv(
-    spark: SparkSession, path: str | list[str], line_breaks: bool | None = None
+    spark: SparkSession, path: str | list[str], line_breaks: bool = True
 ) -> DataFrame:
     """Read a delivery of CSV files with a header row, every field as text, misfits marked.
 
-    Files are read in splits, however large. Fields that hold line breaks need more passes over
-    the text; `line_breaks=None` looks whether there are any, True or False skips the look.
-    Blank lines are skipped, a byte-order mark is stripped.
+    Files are read in splits, however large. The first record of a file that is not blank is its
+    header. `line_breaks=False` promises that no field holds a line break and saves the scan for
+    records of several lines; on such a delivery both give the same rows. Blank lines are misfits.
     """
     try:
-        if line_breaks is None:
-            line_breaks = spans_lines(spark, path)
-        reader = spark.read.options(**CSV_OPTIONS, header="true")
-        names = reader.option("multiLine", line_breaks).csv(path).columns
+        records = _records(spark, path, line_breaks is not False)
     except AnalysisException as e:
         if e.getCondition() == "PATH_NOT_FOUND":
             raise FileNotFoundError(f"no input at {path}; deliver the order-line CSV first") from e
         raise
+    except ValueError as e:
+        raise ValueError(f"{path}: {e}") from e
+    names = _header(records)
     if not names:
         raise ValueError(f"{path} is empty: no header row")
-    if line_breaks:
-        parsed = _without_headers(_parse(_records(spark, path), names, "heads"), names)
-    else:
-        parsed = reader.option("multiLine", False).schema(_strings([*names, BAD])).csv(path)
-    return _marked(parsed, names)
+    return _marked(_without_headers(_parse(records, names, "heads"), names), names)
 
 
 def read_raw_csv(
-    spark: SparkSession, path: str | list[str], line_breaks: bool | None = None
+    spark: SparkSession, path: str | list[str], line_breaks: bool = True
 ) -> Landed:
     """`read_marked_csv`, split into rows to keep and lines to set aside."""
     return split(read_marked_csv(spark, path, line_breaks))
@@ -209,6 +330,11 @@ def land_raw_csv(
     return counted.get["kept"], counted.get["rejected"]
 
 
+def mark_lines(lines: DataFrame, names: list[str]) -> DataFrame:
+    """A frame whose column `value` holds one CSV record per row, without header, misfits marked."""
+    return _marked(_parse(lines, names), names)
+
+
 def parse_lines(lines: DataFrame, names: list[str]) -> Landed:
-    """The same for a frame whose column `value` holds one CSV record per row, without header."""
-    return split(_marked(_parse(lines, names), names))
+    """The same, split into rows to keep and lines to set aside."""
+    return split(mark_lines(lines, names))

@@ -329,7 +329,19 @@ FROM orders"""
 FOREIGN_ROWS = """
 SELECT c_name || ',' || c_nationkey AS line FROM customer
 UNION ALL SELECT 'Yes,' || l_orderkey FROM
-  (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_returnflag = 'R')"""
+  (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_returnflag = 'R')
+UNION ALL SELECT repeat(' ', n_nationkey) FROM nation"""
+
+# The long note is one record of the first region, of about 5 MB.
+MESSY_ROWS = """
+SELECT o_orderkey AS order_id, o_orderpriority || ' 5" pipe' AS size_text,
+       CAST(length(o_orderstatus) + 7 AS BIGINT) AS note_chars,
+       'x' || chr(13) || chr(10) || '"' || o_orderstatus || '",' || chr(10) AS note_head
+FROM orders
+UNION ALL
+SELECT -1, r_name, CAST(300000 * (length(r_name) + 9) AS BIGINT),
+       substr(repeat(r_name || ', line' || chr(13) || chr(10) || ' ', 5), 1, 20)
+FROM region WHERE r_regionkey = 0"""
 
 
 def _over(body: str, *ctes: str) -> str:
@@ -367,6 +379,7 @@ ORACLES: dict[str, str] = {
     "csv_quarantine": FOREIGN_ROWS,
     "csv_file_contract": CSV_ROWS.replace("', \"'", "',' || chr(10) || '\"'"),
     "csv_file_quarantine": FOREIGN_ROWS,
+    "csv_messy_files": MESSY_ROWS,
     "load_counts": f"SELECT 'kept' AS layer, COUNT(*) AS n_rows FROM orders"
     f" UNION ALL SELECT 'rejected', COUNT(*) FROM ({FOREIGN_ROWS})",
     "report_csv_roundtrip": _over(SUBCATEGORIES),
