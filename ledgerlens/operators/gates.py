@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 class GateFailure(RuntimeError):
     """Raised when a load may not be published; carries the result rows."""
 
+    version: str | None = None  # the table that failed, when a load was to be published
+
     def __init__(self, failures: list[tuple[str, int]]) -> None:
         self.failures = failures
         super().__init__("; ".join(f"{name}: {n} failed" for name, n in failures))

@@ -105,18 +105,23 @@ def growth_first_last(trend: DataFrame) -> DataFrame:
 
 
 def sweep_stability(sweep: DataFrame) -> DataFrame:
-    """Which thresholds give the same figures as the threshold before."""
-    before = Window.orderBy("threshold_pct")
-    metrics = [c for c in sweep.columns if c != "threshold_pct"]
+    """Which thresholds give the same figures as the threshold before.
+
+    `sweep` must be numbered: rounded labels can collide and tell no order.
+    """
+    before = Window.orderBy("step")
+    metrics = [c for c in sweep.columns if c not in ("step", "threshold_pct")]
     same = reduce(
         lambda a, b: a & b, [F.col(m).eqNullSafe(F.lag(m).over(before)) for m in metrics]
     )
     previous = F.lag("threshold_pct").over(before)
-    return sweep.select(
+    compared = sweep.select(
+        "step",
         "threshold_pct",
         previous.alias("previous_threshold_pct"),
         F.when(previous.isNotNull(), same).alias("same_as_previous"),
-    ).orderBy("threshold_pct")
+    )
+    return compared.orderBy("step").drop("step")
 
 
 # What each report hands to the conservation check: its columns for lines, orders, sales, profit.

@@ -87,15 +87,16 @@ def run_pipeline(
     date_format: str = US_DATE,
     rules: GateRules = RETAIL_GATES,
     settings: Settings = RETAIL,
+    line_breaks: bool = True,
 ) -> Run:
-    """CSV -> raw -> staging candidate -> gates -> staging -> reports -> feeds.
+    """CSV -> raw -> new staging version -> gates -> staging -> reports -> feeds.
 
     A gate that fails raises GateFailure before staging is replaced or any report is written.
     The reports share one pass over staging (plus a narrow one for distinct orders).
     """
     configure(spark)
-    raw_table, staging_table = f"raw.{source}", "staging.stg_orders"
-    raw_rows, rejected_rows = land_raw_csv(spark, csv_path, raw_table)
+    raw_table, staging_table = f"raw.{source}", f"staging.stg_{source}"
+    raw_rows, rejected_rows = land_raw_csv(spark, csv_path, raw_table, line_breaks)
     raw = spark.table(raw_table)
     size_shuffles(spark, plan_bytes(raw))
     staged = to_staging(raw, contract, date_format)

@@ -127,7 +127,7 @@ def growth_first_last(spark: SparkSession, folder: str) -> DataFrame:
 def threshold_stability(spark: SparkSession, folder: str) -> DataFrame:
     """A finer sweep whose in-between thresholds change nothing."""
     facts = _facts(spark, folder, ("discount", "sales", "profit"))
-    sweep = reports.threshold_sweep(facts, (0.02, 0.03, 0.035, 0.04, 0.045, 0.05))
+    sweep = reports.threshold_sweep(facts, (0.02, 0.03, 0.035, 0.04, 0.045, 0.05), numbered=True)
     return findings.sweep_stability(sweep)
 
 

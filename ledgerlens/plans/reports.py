@@ -189,8 +189,12 @@ def loss_split(facts: Facts, key: str, cut: float, ranges: int | None = None) ->
     )
 
 
-def threshold_sweep(facts: Facts, thresholds: Sequence[float]) -> DataFrame:
-    """Margin below and above each threshold.
+def threshold_sweep(
+    facts: Facts, thresholds: Sequence[float], numbered: bool = False
+) -> DataFrame:
+    """Margin below and above each threshold; `numbered` adds its place among them as `step`.
+
+    Percent labels are whole numbers, so close thresholds may share one; the step never does.
 
     Lines are first summed by the interval between thresholds they fall in (one more interval
     than thresholds, whatever the number of discounts). Only those few sums meet the thresholds,
@@ -222,6 +226,7 @@ def threshold_sweep(facts: Facts, thresholds: Sequence[float]) -> DataFrame:
         )
     )
     return swept.orderBy("_step").select(
+        *([F.col("_step").alias("step")] if numbered else []),
         "threshold_pct",
         pct(F.col("low_profit"), F.col("low_sales"), 2).alias("low_margin_pct"),
         pct(F.col("high_profit"), F.col("high_sales"), 2).alias("high_margin_pct"),

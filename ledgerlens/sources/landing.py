@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.session import durable
+from ledgerlens.sources.tables import new_version, switch
 
 BAD = "_rejected_line"
 
@@ -296,13 +297,15 @@ def read_raw_csv(
 
 
 def land_raw_csv(
-    spark: SparkSession, path: str | list[str], table: str, line_breaks: bool | None = None
+    spark: SparkSession, path: str | list[str], table: str, line_breaks: bool = True
 ) -> tuple[int, int]:
-    """Parse a delivery once into `<table>_landed`; returns the rows kept and set aside.
+    """Parse a delivery once into a new version of `<table>_landed`; returns rows kept, set aside.
 
-    `table` and `<table>_rejected` are views on the two partitions of what was landed, so neither
-    reads the other, and the text is not parsed a second time.
+    `table` and `<table>_rejected` are views on the two partitions of `<table>_landed`, itself a view
+    on the version, so one statement switches both, after the whole text has parsed. A delivery
+    that fails changes nothing.
     """
+    landed = f"{table}_landed"
     database = table.rpartition(".")[0]
     if database:
         spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
@@ -310,6 +313,7 @@ def land_raw_csv(
     names = ", ".join(f"`{n}`" for n in marked.columns if n != BAD)
     counted = Observation(f"landing of {table}")
     rejected = F.col(BAD).isNotNull()
+    version = new_version(spark, landed)
     (
         marked.withColumn("is_rejected", rejected)
         .observe(
@@ -317,12 +321,12 @@ def land_raw_csv(
             F.count_if(~rejected).alias("kept"),
             F.count_if(rejected).alias("rejected"),
         )
-        .write.mode("overwrite")
-        .partitionBy("is_rejected")
+        .write.partitionBy("is_rejected")
         .format("parquet")
-        .saveAsTable(f"{table}_landed")
+        .saveAsTable(version)
     )
-    source = f"FROM {table}_landed WHERE"
+    switch(spark, landed, version)
+    source = f"FROM {landed} WHERE"
     spark.sql(f"CREATE OR REPLACE VIEW {table} AS SELECT {names} {source} NOT is_rejected")
     spark.sql(
         f"CREATE OR REPLACE VIEW {table}_rejected AS SELECT {BAD} AS line {source} is_rejected"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlens.functions import plain_text
-from ledgerlens.operators.gates import require
+from ledgerlens.operators.gates import GateFailure, require
 
 
 def materialise(df: DataFrame, table: str) -> int:
@@ -24,26 +25,60 @@ def materialise(df: DataFrame, table: str) -> int:
     return written.get["rows"]
 
 
+def new_version(spark: SparkSession, table: str) -> str:
+    """A fresh name for the next version of `table`; names sort in the order they were made."""
+    return f"{table}__v{time.time_ns():020d}"
+
+
+def switch(spark: SparkSession, table: str, version: str) -> None:
+    """Let `table`, a view, show `version`, and drop all older versions but the one shown before.
+
+    The switch is one statement, so readers see either version whole. A run that stops anywhere
+    leaves the last good version in view; what it wrote is dropped by the next successful one.
+    """
+    database, _, name = table.rpartition(".")
+    kept = {version, *_shown(spark, table)}
+    if spark.catalog.tableExists(table) and spark.catalog.getTable(table).tableType != "VIEW":
+        first = f"{table}__v{0:020d}"  # a plain table from elsewhere becomes the first version
+        spark.sql(f"ALTER TABLE {table} RENAME TO {first}")
+        kept.add(first)
+    spark.sql(f"CREATE OR REPLACE VIEW {table} AS SELECT * FROM {version}")
+    prefix = f"{database}." if database else ""
+    for t in spark.catalog.listTables(database or None, f"{name}__v*"):
+        if f"{prefix}{t.name}" not in kept and f"{prefix}{t.name}" < version:
+            spark.sql(f"DROP TABLE IF EXISTS {prefix}{t.name}")
+
+
+def _shown(spark: SparkSession, table: str) -> list[str]:
+    """The version that the view shows, if there is one."""
+    if not spark.catalog.tableExists(table):
+        return []
+    described = {r.col_name: r.data_type for r in spark.sql(f"DESCRIBE EXTENDED {table}").collect()}
+    text = described.get("View Text")
+    return [] if text is None else [text.rpartition(" FROM ")[2]]
+
+
 def publish(
     df: DataFrame, table: str, gates: Callable[[DataFrame], DataFrame]
 ) -> tuple[int, DataFrame]:
-    """Write a candidate, gate it, and only then put it in place of the table.
+    """Write a new version, gate it, and only then let the view `table` show it.
 
-    A failing load raises GateFailure; the candidate stays for inspection and readers keep the
-    last good table. Returns the number of rows and the gate results.
+    A failing load raises GateFailure, which names the version: it stays for inspection until the
+    next good load, and readers keep the last good one. Returns the number of rows and the gate
+    results.
     """
     spark = df.sparkSession
-    candidate, previous = f"{table}__candidate", f"{table}__previous"
-    rows = materialise(df, candidate)
-    # One row per gate, kept on the driver: the candidate is gone once it is renamed.
-    found = gates(spark.table(candidate))
+    version = new_version(spark, table)
+    rows = materialise(df, version)
+    found = gates(spark.table(version))
+    # One row per gate, so that a good run does not read the version again to show them.
     results = spark.createDataFrame(found.collect(), found.schema)
-    require(results)
-    spark.sql(f"DROP TABLE IF EXISTS {previous}")
-    if spark.catalog.tableExists(table):
-        spark.sql(f"ALTER TABLE {table} RENAME TO {previous}")
-    spark.sql(f"ALTER TABLE {candidate} RENAME TO {table}")
-    spark.sql(f"DROP TABLE IF EXISTS {previous}")
+    try:
+        require(results)
+    except GateFailure as failure:
+        failure.version = version
+        raise
+    switch(spark, table, version)
     return rows, results
 
 

@@ -7,7 +7,8 @@ from ledgerlens.operators.gates import GateFailure, run_gates
 from ledgerlens.plans.pipeline import run_pipeline, run_reports
 from ledgerlens.plans.reports import REPORTS
 from ledgerlens.plans.settings import RETAIL, RETAIL_GATES
-from ledgerlens.sources.tables import materialise, read_report
+from ledgerlens.sources.landing import land_raw_csv
+from ledgerlens.sources.tables import materialise, publish, read_report
 from lines import make
 
 RULES = dataclasses.replace(RETAIL_GATES, expected_rows=8)
@@ -17,14 +18,14 @@ def test_whole_run_and_rerun(spark, tmp_path):
     path = write(tmp_path, text(*good_lines()))
     for _ in range(2):  # a second run replaces everything
         run = run_pipeline(spark, path, str(tmp_path / "reports"), rules=RULES)
-        assert (run.raw_rows, run.rejected_rows, run.staging_rows) == (8, 4, 8)
+        assert (run.raw_rows, run.rejected_rows, run.staging_rows) == (8, 5, 8)
         assert all(r.ok for r in run.gates.collect())
         sizes = {r.report: (r.n_rows, r.n_cols) for r in run.summary.collect()}
         assert list(sizes) == sorted(REPORTS)
         assert sizes["01_overview"] == (1, 9) and sizes["08_threshold_sensitivity"] == (6, 5)
         assert spark.table("staging.stg_orders").count() == 8
-        assert spark.table("raw.orders_rejected").count() == 4
-        assert not spark.catalog.tableExists("staging.stg_orders__candidate")
+        assert spark.table("raw.orders_rejected").count() == 5
+    assert len(spark.catalog.listTables("staging", "stg_orders__v*")) <= 2  # and the one before
     bands = run.feeds["discount"].collect()
     assert [(b.sign, b.label, b.split_at) for b in bands] == [
         ("profit", "30.0%", 0.5), ("loss", "-20.1%", 0.5),
@@ -52,14 +53,63 @@ def test_failing_load_keeps_the_last_good_table(spark, tmp_path):
     lines = good_lines()
     lines[0]["Discount"] = "0.95"
     bad = write(tmp_path, text(*lines), "bad.csv")
-    with pytest.raises(GateFailure, match="value_range: 1 failed"):
+    with pytest.raises(GateFailure, match="value_range: 1 failed") as failure:
         run_pipeline(spark, bad, str(tmp_path / "other"), rules=RULES)
     assert not (tmp_path / "other").exists()  # no report from a bad load
     assert spark.table("staging.stg_orders").agg({"discount": "max"}).first()[0] == 0.45
-    assert spark.table("staging.stg_orders__candidate").agg({"discount": "max"}).first()[0] == 0.95
+    version = failure.value.version
+    assert spark.table(version).agg({"discount": "max"}).first()[0] == 0.95
     run_pipeline(spark, good, str(tmp_path / "reports"), rules=RULES)
+    assert not spark.catalog.tableExists(version)
 
 
+def test_two_sources_do_not_meet(spark, tmp_path):
+    for source, n in (("east", 8), ("west", 4)):
+        path = write(tmp_path, text(*good_lines()[:n]), f"{source}.csv")
+        rules = dataclasses.replace(RULES, expected_rows=n)
+        run_pipeline(spark, path, str(tmp_path / source), source=source, rules=rules)
+    assert spark.table("staging.stg_east").count() == 8
+    assert spark.table("staging.stg_west").count() == 4
+
+
+class Stop(Exception):
+    pass
+
+
+def test_a_stop_at_any_step_leaves_the_last_good_table(spark, tmp_path, monkeypatch):
+    """Every statement and every write of a load fails once; readers see old rows or all new ones."""
+    load = lambda n: (
+        land_raw_csv(spark, write(tmp_path, text(*good_lines()[:n]), f"{n}.csv"), "raw.stops"),
+        publish(spark.range(n).toDF("x"), "staging.stops", lambda df: spark.createDataFrame(
+            [("g", 0, True)], "check_name string, failed long, ok boolean")),
+    )
+    load(3)
+    kind = type(spark)
+    plain, calls, stop_at = kind.sql, [0], [10**9]
+
+    def sql(self, *a, **k):
+        calls[0] += 1
+        if calls[0] == stop_at[0]:
+            raise Stop
+        return plain(self, *a, **k)
+
+    monkeypatch.setattr(kind, "sql", sql)
+    load(3)
+    steps = calls[0]
+    for step in range(1, steps + 1):
+        calls[0], stop_at[0] = 0, step
+        with pytest.raises(Stop):
+            load(5)
+        stop_at[0] = 10**9
+        assert spark.table("raw.stops").count() in (3, 5)
+        assert spark.table("raw.stops_rejected").count() == 5
+        assert spark.table("staging.stops").count() in (3, 5)
+        load(3)
+    bad = write(tmp_path, "no,such,header\n1,2\n" + '"open', "bad.csv")
+    with pytest.raises(ValueError, match="never closed"):
+        land_raw_csv(spark, bad, "raw.stops")
+    assert spark.table("raw.stops").count() == 3
+
 def test_reports_refuse_a_failed_gate(spark, tmp_path):
     lines = make(spark, {})
     red = run_gates(lines, RULES)  # one row, eight expected

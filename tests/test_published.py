@@ -77,7 +77,7 @@ def test_sweep(spark):
     inside = [a - b for a, b in zip([286397, *above], [*above, 0])]
     at = [0.0, 0.15, 0.20, 0.25, 0.30, 0.32, 0.80]
     lines = make(spark, *[{"discount": d, "profit": float(p)} for d, p in zip(at, inside) if p])
-    sweep = reports.threshold_sweep(line_facts(lines), [t / 100 for t, _, _ in SWEEP])
+    sweep = reports.threshold_sweep(line_facts(lines), [t / 100 for t, _, _ in SWEEP], numbered=True)
     rows = sweep.collect()
     assert [(r.threshold_pct, r.high_band_profit) for r in rows] == [
         (t, float(p)) for t, p, _ in SWEEP

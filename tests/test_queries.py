@@ -5,9 +5,8 @@ import importlib
 import pytest
 from compare import differences, duck
 from conftest import TESTDATA
-
-entry = importlib.import_module("__spark_entry__")
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+from ledgerlens.plans.registered import QUERIES
+from oracles import ORACLES
 
 
 @pytest.fixture(scope="module", params=["sf0.001", "sf0.01"])
@@ -27,4 +26,6 @@ def test_query_matches_sql(spark, data, name):
 
 
 def test_entry_runs(spark):
+    entry = importlib.import_module("__spark_entry__")
     assert entry.entry(spark).count() == 6
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())

@@ -1,6 +1,7 @@
 """Edge rows through the reports, and lines against cubes."""
 
 import datetime as dt
+import random
 
 import pytest
 from conftest import TESTDATA
@@ -80,7 +81,9 @@ def test_sweep_with_missing_discount_and_empty_sides(spark):
     assert [r.threshold_pct for r in rows] == [10, 20, 30]
     assert [r.high_band_profit for r in rows] == [-20.0, -20.0, None]
     assert rows[0].high_loss_pct_of_total_profit == -50.0  # of 40, the missing discount included
-    stable = findings.sweep_stability(reports.threshold_sweep(f, (0.1, 0.2, 0.3))).collect()
+    stable = findings.sweep_stability(
+        reports.threshold_sweep(f, (0.1, 0.2, 0.3), numbered=True)
+    ).collect()
     assert [r.same_as_previous for r in stable] == [None, True, False]
 
 
@@ -147,3 +150,17 @@ def test_no_cube_for_unknown_combination(spark):
 def test_no_reports_registered(spark):
     with pytest.raises(ValueError):
         build_reports(facts(spark, {}), RETAIL, {})
+
+
+def test_stability_does_not_depend_on_row_order(spark):
+    """0.035 and 0.04 share the label 4; shuffled rows must still be compared in sweep order."""
+    f = line_facts(make(spark, {"discount": 0.03}, {"discount": 0.038}, {"discount": 0.045}))
+    sweep = reports.threshold_sweep(f, (0.02, 0.035, 0.04, 0.042), numbered=True)
+    rows = sweep.collect()
+    assert [r.threshold_pct for r in rows] == [2, 4, 4, 4]
+    want = findings.sweep_stability(sweep).collect()
+    assert [r.same_as_previous for r in want] == [None, False, False, True]
+    for seed in range(4):
+        mixed = random.Random(seed).sample(rows, len(rows))
+        shuffled = spark.createDataFrame(mixed, sweep.schema).coalesce(1)
+        assert findings.sweep_stability(shuffled).collect() == want

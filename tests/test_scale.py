@@ -1,6 +1,5 @@
 """Hot keys, joins too large to broadcast, and the plans that must come out."""
 
-import importlib
 import os
 
 import pytest
@@ -10,13 +9,11 @@ from ledgerlens import session
 from ledgerlens.operators.facts import line_facts
 from ledgerlens.operators.gates import run_gates
 from ledgerlens.plans import reports
-from ledgerlens.plans.registered import gate_rules
+from ledgerlens.plans.registered import QUERIES, gate_rules
 from ledgerlens.sources.retail_view import order_lines
+from oracles import ORACLES
 from pyspark.sql import functions as F
 
-entry = importlib.import_module("__spark_entry__")
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
-
 # As on a cluster: many scan tasks, nothing fits a broadcast, skew counts from a few kilobytes on.
 LARGE = {
     "spark.sql.files.maxPartitionBytes": "64KB",
