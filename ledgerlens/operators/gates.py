@@ -92,27 +92,43 @@ def _row_rules(rules: GateRules) -> list[tuple[str, str, Column]]:
     ]
 
 
-def run_gates(orders: DataFrame, rules: GateRules, key_rows: DataFrame | None = None) -> DataFrame:
+def _mixed_orders(orders: DataFrame, rules: GateRules) -> DataFrame:
+    """One row: how many orders hold two values of a column that should be one per order.
+
+    min <> max finds a second value in constant state; like COUNT(DISTINCT) it ignores NULL. Values
+    are compared by 64-bit hash, because buffers of longs can be updated in place: the aggregate
+    stays a hash aggregate on both sides of the shuffle, and wide lines are never sorted.
+    """
+    coded = orders.select(
+        rules.grain_key,
+        *[
+            F.when(F.col(c).isNotNull(), F.xxhash64(c)).alias(f"_{i}")
+            for i, c in enumerate(rules.grain_columns)
+        ],
+    )
+    mixed = _any([F.min(f"_{i}") != F.max(f"_{i}") for i in range(len(rules.grain_columns))])
+    per_order = coded.groupBy(rules.grain_key).agg(F.coalesce(mixed, F.lit(False)).alias("mixed"))
+    return per_order.agg(F.count_if("mixed").alias("mixed"))
+
+
+def run_gates(
+    orders: DataFrame,
+    rules: GateRules,
+    key_rows: DataFrame | None = None,
+    grain_rows: DataFrame | None = None,
+) -> DataFrame:
     """Result rows (check_name, description, failed, ok).
 
-    Two passes instead of one per gate. The line rules and the order grain are counted in one
-    aggregate per order, which collapses on the map side, so a hot order is one row per task.
-    Uniqueness needs every key once, so it is a pass of its own over the key column;
-    `key_rows` may supply a narrower frame with the same rows.
+    Three passes instead of one per gate. All line rules are counted side by side without a shuffle;
+    the order grain takes one aggregate per order; uniqueness needs every key once. `key_rows` and
+    `grain_rows` may supply narrower frames with the same rows for the last two.
     """
     row_rules = _row_rules(rules)
-    # min <> max finds a second value in constant state; like COUNT(DISTINCT) it ignores NULL.
-    mixed = _any([F.min(c) != F.max(c) for c in rules.grain_columns])
-    per_order = orders.groupBy(rules.grain_key).agg(
+    counted = orders.agg(
         F.count(F.lit(1)).alias("n"),
-        F.coalesce(mixed.cast("long"), F.lit(0)).alias("mixed"),
         *[F.count_if(condition).alias(name) for name, _, condition in row_rules],
     )
-    total = {
-        c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
-        for c in ["n", "mixed", *[name for name, _, _ in row_rules]]
-    }
-    missing_rows = F.abs(total["n"] - F.lit(rules.expected_rows))
+    missing_rows = F.abs(F.col("n") - F.lit(rules.expected_rows))
 
     def entry(position: int, name: str, text: str, failed: Column) -> Column:
         return F.struct(
@@ -124,19 +140,21 @@ def run_gates(orders: DataFrame, rules: GateRules, key_rows: DataFrame | None =
 
     entries = [
         entry(1, "row_count", f"{rules.expected_rows} rows expected", missing_rows),
-        *[entry(3 + i, name, text, total[name]) for i, (name, text, _) in enumerate(row_rules)],
-        entry(
-            3 + len(row_rules),
-            "order_grain_consistency",
-            f"one value per {rules.grain_key} of " + ", ".join(rules.grain_columns),
-            total["mixed"],
-        ),
+        *[entry(3 + i, name, text, F.col(name)) for i, (name, text, _) in enumerate(row_rules)],
     ]
-    fused = per_order.agg(F.array(*entries).alias("entries")).select(F.inline("entries"))
+    line_gates = counted.select(F.inline(F.array(*entries)))
+    grain = entry(
+        3 + len(row_rules),
+        "order_grain_consistency",
+        f"one value per {rules.grain_key} of " + ", ".join(rules.grain_columns),
+        F.col("mixed"),
+    )
+    mixed = _mixed_orders(orders if grain_rows is None else grain_rows, rules)
     surplus = F.count(F.lit(1)) - F.count_distinct(rules.key)  # repeated and missing keys
-    unique = (key_rows if key_rows is not None else orders).agg(
+    unique = (orders if key_rows is None else key_rows).agg(
         F.array(entry(2, "pk_unique", f"{rules.key} is present and unique", surplus)).alias("e")
     )
+    fused = line_gates.unionByName(mixed.select(F.inline(F.array(grain))))
     rows = fused.unionByName(unique.select(F.inline("e")))
     return rows.orderBy("position").select(
         "check_name", "description", "failed", (F.col("failed") == 0).alias("ok")

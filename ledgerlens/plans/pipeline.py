@@ -96,6 +96,7 @@ def run_pipeline(
     """
     configure(spark)
     raw_table, staging_table = f"raw.{source}", f"staging.stg_{source}"
+    size_shuffles(spark, plan_bytes(spark.read.text(csv_path)))
     raw_rows, rejected_rows = land_raw_csv(spark, csv_path, raw_table, line_breaks)
     raw = spark.table(raw_table)
     size_shuffles(spark, plan_bytes(raw))

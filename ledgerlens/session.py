@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-import tempfile
+import re
 import uuid
 from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
@@ -14,10 +14,8 @@ from pyspark.sql import functions as F
 
 T = TypeVar("T")
 
-# One reduce task should get about this much input; beyond the ceiling, tracking the shuffle
-# blocks costs more than smaller tasks save.
+# One reduce task should get about this much input.
 BYTES_PER_SHUFFLE_TASK = 256 * 1024 * 1024
-MOST_SHUFFLE_TASKS = 100_000
 START_TASKS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
 
 
@@ -36,30 +34,48 @@ def configure(spark: SparkSession) -> None:
 
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate after pruning; for a plain scan this is the size of its files."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    name = f"sized_{uuid.uuid4().hex}"
+    df.createOrReplaceTempView(name)
+    try:
+        plan = df.sparkSession.sql(f"EXPLAIN COST SELECT * FROM {name}").first()[0]
+    finally:
+        df.sparkSession.catalog.dropTempView(name)
+    number, unit = re.search(r"sizeInBytes=([\d.]+(?:E[+-]?\d+)?) (\w*?)i?B", plan).groups()
+    return int(float(number) * 1024 ** " KMGTPE".index(unit or " "))
 
 
-def broadcast_if_small(side: DataFrame, inputs: list[DataFrame]) -> DataFrame:
-    """Mark a joined side for broadcast when all the scans behind it fit under Spark's own limit.
+def _bytes(setting: str) -> int:
+    """A size as Spark's settings give it, such as 10485760b, 256k or 10MB."""
+    number, unit = re.fullmatch(r"(-?\d+)\s*([a-z]?)b?", setting.strip().lower()).groups()
+    return int(number) * 1024 ** " kmgtp".index({"b": " ", "": " "}.get(unit, unit))
+
+
+def broadcast_if_small(side: DataFrame, rows: DataFrame) -> DataFrame:
+    """Mark a joined side with as many rows as `rows` for broadcast if it fits under Spark's limit.
 
     Catalyst multiplies the sizes of a join's inputs, so it would shuffle the big table for a
-    side of a few megabytes. Above the limit the side is returned as it is and Catalyst shuffles.
+    side of a few megabytes. The estimate is rows times the width of the joined rows, twenty bytes
+    for a text. Above the limit the side is returned as it is and Catalyst shuffles.
     """
-    conf = side.sparkSession._jsparkSession.sessionState().conf()
-    if sum(plan_bytes(i) for i in inputs) <= conf.autoBroadcastJoinThreshold():
-        return F.broadcast(side)
-    return side
+    limit = _bytes(side.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold"))
+    if limit <= 0:
+        return side
+    width = 8 + sum(20 if kind == "string" else 8 for _, kind in side.dtypes)
+    return F.broadcast(side) if rows.count() * width <= limit else side
 
 
 def size_shuffles(spark: SparkSession, input_bytes: int) -> None:
-    """Raise (never lower) the starting number of shuffle tasks to suit the input.
+    """Set the starting number of shuffle tasks to suit the input of the next job.
 
     Adaptive execution merges small shuffle tasks by itself, but it cannot split ones that
-    started out too large.
+    started out too large. Every input sets its own number: a small one after a large one goes back
+    to the session's.
     """
-    wanted = min(MOST_SHUFFLE_TASKS, math.ceil(input_bytes / BYTES_PER_SHUFFLE_TASK))
-    if wanted > shuffle_tasks(spark):
+    wanted = math.ceil(input_bytes / BYTES_PER_SHUFFLE_TASK)
+    if wanted > int(spark.conf.get("spark.sql.shuffle.partitions")):
         spark.conf.set(START_TASKS, str(wanted))
+    else:
+        spark.conf.unset(START_TASKS)
 
 
 def shuffle_tasks(spark: SparkSession) -> int:
@@ -72,16 +88,15 @@ def shuffle_tasks(spark: SparkSession) -> int:
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors see: the cluster's `spark.checkpoint.dir`.
 
-    Only a local session without that setting gets a temporary folder of its own.
+    A session without that setting gets one beside its warehouse tables, which all executors reach
+    as well.
     """
     sc = spark.sparkContext
     folder = sc.getCheckpointDir()
     if folder is None:
         configured = spark.conf.get("spark.checkpoint.dir", None)
         if configured is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-            configured = tempfile.mkdtemp(prefix="ledgerlens-")
+            configured = f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared"
         sc.setCheckpointDir(configured)
         folder = sc.getCheckpointDir()
     return folder
@@ -102,7 +117,7 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
-def side_by_side(actions: Iterable[Callable[[], T]]) -> list[T]:
+def side_by_side(actions: Iterable[Callable[[], T]], at_once: int = 4) -> list[T]:
     """Run independent jobs at the same time, so one fills the cores another leaves idle."""
-    with ThreadPoolExecutor(max_workers=4) as pool:
+    with ThreadPoolExecutor(max_workers=at_once) as pool:
         return [f.result() for f in [pool.submit(a) for a in actions]]

@@ -82,15 +82,11 @@ def order_lines(
             "o_orderkey", "o_custkey", F.col("o_orderdate").cast("date").alias("o_date"),
             "o_orderpriority",
         )
-        inputs, buyers = [orders], orders
+        buyers = orders
         if wanted & FROM_CUSTOMER:
-            customers = _customers(spark, folder, wanted)
-            inputs.append(table(spark, folder, "customer"))
-            buyers = orders.join(customers, F.col("o_custkey") == F.col("c_custkey"), "left")
+            buyers = broadcast_if_small(_with_customers(spark, folder, orders, wanted), orders)
             nation_cost = F.col("nation_cost")
-        lines = lines.join(
-            broadcast_if_small(buyers, inputs), F.col("l_orderkey") == F.col("o_orderkey"), "left"
-        )
+        lines = lines.join(buyers, F.col("l_orderkey") == F.col("o_orderkey"), "left")
 
     earned = F.lit(1) - discount  # of each unit of list price
     made = {
@@ -115,7 +111,11 @@ def order_lines(
     return lines.select(*[made[c]().alias(c) for c in columns])
 
 
-def _customers(spark: SparkSession, folder: str, wanted: set[str]) -> DataFrame:
+def _with_customers(
+    spark: SparkSession, folder: str, orders: DataFrame, wanted: set[str]
+) -> DataFrame:
+    """Orders beside their customers, and only then the two tiny tables, each joined by itself:
+    Catalyst's estimate of a single table is right, that of a join is not."""
     step = (F.col("c_nationkey") % 10).cast("int")
     customers = table(spark, folder, "customer").select(
         "c_custkey",
@@ -123,13 +123,14 @@ def _customers(spark: SparkSession, folder: str, wanted: set[str]) -> DataFrame:
         "c_nationkey",
         (F.lit(Decimal("0.006")) * step).cast(RATE).alias("nation_cost"),
     )
+    buyers = orders.join(customers, F.col("o_custkey") == F.col("c_custkey"), "left")
     if wanted & {"state", "region"}:
         nations = table(spark, folder, "nation")
+        buyers = buyers.join(nations, F.col("c_nationkey") == F.col("n_nationkey"), "left")
         if "region" in wanted:
             regions = table(spark, folder, "region")
-            nations = nations.join(regions, F.col("n_regionkey") == F.col("r_regionkey"), "left")
-        customers = customers.join(nations, F.col("c_nationkey") == F.col("n_nationkey"), "left")
-    return customers
+            buyers = buyers.join(regions, F.col("n_regionkey") == F.col("r_regionkey"), "left")
+    return buyers
 
 
 def returned_orders(spark: SparkSession, folder: str) -> DataFrame:

@@ -79,6 +79,12 @@ def test_hot_order_is_split_below_the_per_order_aggregate(large, hot):
     assert plan.count("skew=true") >= 2
 
 
+def test_gates_sort_no_lines(spark):
+    """Hash aggregates only, and no shuffle of lines for the line rules."""
+    plan = final_plan(QUERIES["quality_gates"](spark, f"{TESTDATA}/sf0.01"))
+    assert "SortAggregate" not in plan and "ObjectHashAggregate" not in plan
+
+
 def initial_plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
@@ -130,20 +136,29 @@ def test_shuffles_grow_with_the_input(spark):
     before = spark.conf.get(key, None)
     try:
         session.size_shuffles(spark, 10)
-        assert spark.conf.get(key, None) == before
+        assert spark.conf.get(key, None) is None
         session.size_shuffles(spark, 10 * 1024**4)
         assert int(spark.conf.get(key)) == 40960
         session.size_shuffles(spark, 10**15)
-        assert int(spark.conf.get(key)) == session.MOST_SHUFFLE_TASKS
-        session.size_shuffles(spark, 10)
-        assert int(spark.conf.get(key)) == session.MOST_SHUFFLE_TASKS
+        assert int(spark.conf.get(key)) == -(-(10**15) // session.BYTES_PER_SHUFFLE_TASK)
+        QUERIES["measure_domain_gaps"](spark, f"{TESTDATA}/sf0.001")  # a small query starts small
+        assert session.shuffle_tasks(spark) == int(spark.conf.get("spark.sql.shuffle.partitions"))
     finally:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
 def test_broadcast_only_below_the_limit(large):
     side = large.range(10).withColumn("x", F.col("id"))
-    assert session.broadcast_if_small(side, [side]) is side
+    assert session.broadcast_if_small(side, side) is side
+
+
+def test_sizes_come_from_public_places(spark):
+    files = [os.path.getsize(f"{TESTDATA}/sf0.01/{t}.parquet") for t in ("orders", "lineitem")]
+    for size, name in zip(files, ("orders", "lineitem")):
+        got = session.plan_bytes(spark.read.parquet(f"{TESTDATA}/sf0.01/{name}.parquet"))
+        assert abs(got / size - 1) < 0.1
+    sizes = [session._bytes(x) for x in ("10485760b", "256k", "10MB", "-1", "1g")]
+    assert sizes == [10485760, 262144, 10485760, -1, 1 << 30]
 
 
 def test_shared_folder_comes_from_the_session(spark):
