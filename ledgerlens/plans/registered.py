@@ -3,22 +3,31 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.operators.facts import Facts, cubes, line_facts
-from ledgerlens.operators.gates import GateRules, run_gates
+from ledgerlens.operators.gates import GateFailure, GateRules, run_gates
 from ledgerlens.plans import findings, reports
 from ledgerlens.plans.feeds import feed_discount, feed_growth, feed_subcategory
-from ledgerlens.plans.pipeline import build_reports, run_summary
+from ledgerlens.plans.pipeline import build_reports, run_pipeline, run_summary
 from ledgerlens.plans.settings import Settings
-from ledgerlens.session import new_folder, shuffle_tasks
-from ledgerlens.sources.contract import to_staging
-from ledgerlens.sources.landing import BAD, Landed, mark_lines, parse_lines, read_raw_csv
+from ledgerlens.session import durable, new_folder, shuffle_tasks
+from ledgerlens.sources.contract import US_DATE, to_staging
+from ledgerlens.sources.landing import (
+    BAD,
+    Landed,
+    land_raw_csv,
+    mark_lines,
+    parse_lines,
+    read_raw_csv,
+)
 from ledgerlens.sources.retail_view import COLUMNS, order_lines, returned_orders, table
-from ledgerlens.sources.tables import read_report, write_report
+from ledgerlens.sources.tables import publish, read_report, write_report
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -261,6 +270,103 @@ def csv_messy_files(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _dropped(spark: SparkSession, *databases: str) -> None:
+    for name in databases:
+        spark.sql(f"DROP DATABASE IF EXISTS {name} CASCADE")
+
+
+def raw_landing(spark: SparkSession, folder: str) -> DataFrame:
+    """A delivery landed twice, the second time for good: rows of both views beside the counts that
+    were taken while landing."""
+    database = f"raw_{uuid.uuid4().hex}"
+    body = _delivery_lines(spark, folder, "\n")
+    path = _written(spark, "delivery", [",".join(CSV_HEADER)], body)
+    land_raw_csv(spark, path, f"{database}.orders")
+    kept, rejected = land_raw_csv(spark, path, f"{database}.orders")
+    rows = spark.table(f"{database}.orders").select(
+        F.lit("kept").alias("layer"),
+        F.lit(kept).cast("long").alias("counted"),
+        F.concat_ws("|", *[F.col(f"`{n}`") for n in CSV_HEADER]).alias("line"),
+    )
+    others = spark.table(f"{database}.orders_rejected").select(
+        F.lit("rejected").alias("layer"), F.lit(rejected).cast("long").alias("counted"), "line"
+    )
+    landed = durable(rows.unionByName(others), "landed")
+    _dropped(spark, database)
+    return landed
+
+
+def staging_publish(spark: SparkSession, folder: str) -> DataFrame:
+    """What readers see after a good load and a bad one: the good one."""
+    database = f"staging_{uuid.uuid4().hex}"
+    table_name = f"{database}.lines"
+    lines = order_lines(spark, folder, ("order_id", "product_id", "discount", "sales"))
+
+    def gates(df: DataFrame) -> DataFrame:
+        bad = F.count_if(F.col("discount") > 0.1).alias("failed")
+        return df.agg(bad).select(
+            F.lit("value_range").alias("check_name"), "failed", (F.col("failed") == 0).alias("ok")
+        )
+
+    publish(lines, table_name, gates)
+    try:
+        publish(lines.withColumn("discount", F.col("discount") + 1), table_name, gates)
+    except GateFailure:
+        pass  # as it should
+    seen = durable(spark.table(table_name), "published")
+    _dropped(spark, database)
+    return seen
+
+
+def pipeline_reports(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole run, from CSV files to reports: sizes of the reports, rows of the layers.
+
+    Ship dates are moved behind the order dates, one for each order, so that the gates let the
+    lines through.
+    """
+    lines = order_lines(spark, folder).withColumns(
+        {
+            "row_id": F.monotonically_increasing_id().cast("string"),
+            "ship_date": F.date_add("order_date", (F.col("order_id") % 7).cast("int")),
+        }
+    )
+    kinds = dict(lines.dtypes)
+    contract = [(c, c, kinds[c]) for c in lines.columns]
+    body = lines.select(F.concat_ws(",", *[
+        F.date_format(c, US_DATE) if kinds[c] == "date" else F.col(c).cast("string")
+        for c in lines.columns
+    ]).alias("value"))
+    foreign = table(spark, folder, "region").select(F.concat_ws(",", "r_name", "r_regionkey"))
+    path = _written(spark, "lines", [",".join(lines.columns)], body.union(foreign))
+    rules = replace(
+        gate_rules(table(spark, folder, "lineitem").count()),
+        first_day=dt.date(1990, 1, 1),
+        last_day=dt.date(2010, 12, 31),
+        ranges={"discount": (0, 0.1, True), "quantity": (0, None, False)},
+        domains={"category": tuple(SETTINGS.categories.values())},
+    )
+    source = f"lines_{uuid.uuid4().hex}"
+    run = run_pipeline(
+        spark, path, new_folder(spark, "reports"), source, contract, US_DATE, rules, SETTINGS,
+        line_breaks=False,
+    )
+    summary = durable(
+        run.summary.select(
+            "*",
+            F.lit(run.raw_rows).cast("long").alias("raw_rows"),
+            F.lit(run.rejected_rows).cast("long").alias("rejected_rows"),
+            F.lit(run.staging_rows).cast("long").alias("staging_rows"),
+        ),
+        "summary",
+    )
+    for view in (f"raw.{source}", f"raw.{source}_rejected", f"raw.{source}_landed", f"staging.stg_{source}"):
+        spark.sql(f"DROP VIEW IF EXISTS {view}")
+    for database, name in (("raw", f"{source}_landed__v*"), ("staging", f"stg_{source}__v*")):
+        for t in spark.catalog.listTables(database, name):
+            spark.sql(f"DROP TABLE IF EXISTS {database}.{t.name}")
+    return summary
+
+
 def csv_contract(spark: SparkSession, folder: str) -> DataFrame:
     """The typed staging rows that come out of the delivery."""
     return to_staging(_delivery(spark, folder).kept, CSV_CONTRACT)
@@ -330,6 +436,9 @@ QUERIES: dict[str, Query] = {
     "csv_file_contract": csv_file_contract,
     "csv_file_quarantine": csv_file_quarantine,
     "csv_messy_files": csv_messy_files,
+    "raw_landing": raw_landing,
+    "staging_publish": staging_publish,
+    "pipeline_reports": pipeline_reports,
     "load_counts": load_counts,
     "report_csv_roundtrip": report_csv_roundtrip,
 }

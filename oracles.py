@@ -381,6 +381,18 @@ ORACLES: dict[str, str] = {
     "csv_file_contract": CSV_ROWS.replace("', \"'", "',' || chr(10) || '\"'"),
     "csv_file_quarantine": FOREIGN_ROWS,
     "csv_messy_files": MESSY_ROWS,
+    "raw_landing": f"""SELECT 'kept' AS layer, (SELECT COUNT(*) FROM orders) AS counted,
+       concat_ws('|', o_orderkey, o_custkey, strftime(o_orderdate, '%-m/%-d/%Y'),
+                 o_orderpriority || ',' || chr(10) || '"' || o_orderstatus || '"',
+                 CAST(o_totalprice AS DECIMAL(18,2))) AS line FROM orders
+UNION ALL SELECT 'rejected', (SELECT COUNT(*) FROM ({FOREIGN_ROWS})), line FROM ({FOREIGN_ROWS})""",
+    "staging_publish": _over("SELECT order_id, product_id, discount, sales FROM lines"),
+    "pipeline_reports": _over(
+        "SELECT *, (SELECT COUNT(*) FROM lines) AS raw_rows,"
+        " (SELECT COUNT(*) FROM region) AS rejected_rows,"
+        f" (SELECT COUNT(*) FROM lines) AS staging_rows FROM ({RUN_SUMMARY})",
+        *REPORT_CTES,
+    ),
     "load_counts": f"SELECT 'kept' AS layer, COUNT(*) AS n_rows FROM orders"
     f" UNION ALL SELECT 'rejected', COUNT(*) FROM ({FOREIGN_ROWS})",
     "report_csv_roundtrip": _over(SUBCATEGORIES),
