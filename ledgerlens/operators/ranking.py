@@ -41,14 +41,22 @@ def rank_and_run(
             ),
         }
     )
-    # One row per range: what it holds and how it begins and ends.
+    # One row per range: what it holds and how it begins and ends. Plain sums over the written
+    # ranges, so that the windows above run once, for the result only.
     value = F.struct(F.col(by).isNull().alias("none"), F.col(by).alias("v"))
-    edges = local.groupBy("_range").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(by).alias("total"),
-        F.min(value).alias("first"),
-        F.max(value).alias("last"),
-        F.max("_rank").alias("last_rank"),
+    edges = (
+        placed.groupBy("_range", by)
+        .agg(F.count(F.lit(1)).alias("n"), F.sum(by).alias("total"))
+        .withColumn("value", value)
+        .groupBy("_range")
+        .agg(
+            F.sum("n").alias("n"),
+            F.sum("total").alias("total"),
+            F.min("value").alias("first"),
+            F.max("value").alias("last"),
+            F.max_by("n", "value").alias("n_last"),
+        )
+        .withColumn("last_rank", F.col("n") - F.col("n_last") + 1)
     )
     in_order = Window.orderBy("_range")
     before = in_order.rowsBetween(Window.unboundedPreceding, -1)

@@ -14,6 +14,12 @@ def _whole() -> WindowSpec:
     return Window.partitionBy()  # over the rows of one report
 
 
+# Where the published charts put labels and axis ends.
+BAND_LABEL_ABOVE, BAND_LABEL_BELOW = 1.6, -3.4  # margin points from a bar's end
+PROFIT_AXIS_PAD, PROFIT_LABEL_GAP = 0.16, 0.06  # shares of the span, of the pad
+GROWTH_LABEL_ABOVE, GROWTH_AXIS_ROOM = 0.55, 3.0  # margin points
+
+
 def _sign(value: Column) -> Column:
     return F.when(value < 0, "loss").otherwise("profit")
 
@@ -30,7 +36,7 @@ def feed_discount(
         "margin_pct",
         _sign(margin).alias("sign"),
         percent_text(margin, 1).alias("label"),
-        (margin + F.when(margin >= 0, 1.6).otherwise(-3.4)).alias("label_y"),
+        (margin + F.when(margin >= 0, BAND_LABEL_ABOVE).otherwise(BAND_LABEL_BELOW)).alias("label_y"),
         (shown_below - F.lit(0.5)).cast("double").alias("split_at"),
     ).orderBy("discount_band")
 
@@ -39,7 +45,7 @@ def feed_subcategory(report: DataFrame, *keys: str) -> DataFrame:
     """Bars of profit per sub-category, worst first, with room for labels on both sides."""
     profit = F.col("profit")
     low, high = F.min("profit").over(_whole()), F.max("profit").over(_whole())
-    pad = (high - low) * 0.16
+    pad = (high - low) * PROFIT_AXIS_PAD
     return (
         report.withColumns({"_low": low - pad, "_high": high + pad, "_pad": pad})
         .select(
@@ -47,7 +53,10 @@ def feed_subcategory(report: DataFrame, *keys: str) -> DataFrame:
             "profit",
             _sign(profit).alias("sign"),
             thousands_text(profit).alias("label"),
-            (profit + F.when(profit < 0, -0.06).otherwise(0.06) * F.col("_pad")).alias("label_x"),
+            (
+                profit
+                + F.when(profit < 0, -PROFIT_LABEL_GAP).otherwise(PROFIT_LABEL_GAP) * F.col("_pad")
+            ).alias("label_x"),
             F.col("_low").alias("axis_low"),
             F.col("_high").alias("axis_high"),
         )
@@ -63,7 +72,7 @@ def feed_growth(report: DataFrame) -> DataFrame:
         "sales",
         "margin_pct",
         percent_text(margin, 2).alias("label"),
-        (margin + 0.55).alias("label_y"),
-        (F.min(margin).over(_whole()) - 3.0).alias("axis_low"),
-        (F.max(margin).over(_whole()) + 3.0).alias("axis_high"),
+        (margin + GROWTH_LABEL_ABOVE).alias("label_y"),
+        (F.min(margin).over(_whole()) - GROWTH_AXIS_ROOM).alias("axis_low"),
+        (F.max(margin).over(_whole()) + GROWTH_AXIS_ROOM).alias("axis_high"),
     ).orderBy("order_year")
