@@ -26,7 +26,6 @@ import re
 import string
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -44,18 +43,20 @@ def _parts(pairs: set[tuple[str, str]]) -> str:
     """A pattern of parts that no piece spans, given the neighbours inside pieces.
 
     Parts begin before runs of spaces, at line ends, and before punctuation that follows a
-    letter or digit, as far as no piece has such neighbours.
+    letter, as far as no piece has such neighbours.
     """
     if any(b == SPACE != a for a, b in pairs):
         return "[^▁]+"
     if any("\n" in pair for pair in pairs):
         return " *[^ ▁]+| +"
-    letters = re.compile(r"[^\W_]")
-    marks = set(string.punctuation) - {b for a, b in pairs if letters.match(a)}
+    # A word character for regular expressions, without digits and signs such as a raised two.
+    word = re.compile(r"[^\W\d_]")
+    signs = "".join(sorted({a for a, _ in pairs if word.match(a) and not a.isalpha()}))
+    marks = set(string.punctuation) - {b for a, b in pairs if a.isalpha()}
     if not marks:
         return " *[^ \n▁]+| +|\n"
     held = re.escape("".join(sorted(marks)))
-    return rf" *(?:[^ \n▁]*?[^\W_](?=[{held}])|[^ \n▁]+)| +|\n"
+    return rf" *(?:[^ \n▁]*?[^\W\d_{signs}](?=[{held}])|[^ \n▁]+)| +|\n"
 
 
 def _forward(edges) -> list[float]:
@@ -105,6 +106,9 @@ class Vocabulary:
     byte_ids: list[int]
     byte_score: float
     parts: str  # pattern of the parts that no piece spans
+    # Made and kept by each worker for itself.
+    grown: dict | None = None
+    longest: int = 1
     young: dict = field(default_factory=dict)
     old: dict = field(default_factory=dict)
 
@@ -160,8 +164,11 @@ class Vocabulary:
             out.append(own)
         return out
 
-    def best(self, part: str) -> tuple[tuple[int, ...], float, float]:
-        """(ids, score, what the second best segmentation loses; infinite without one)."""
+    def best(self, part: str) -> tuple[bytes, float, float]:
+        """(ids, score, what the second best segmentation loses; infinite without one).
+
+        Ids are kept as the bytes of 32-bit numbers, which takes little room and joins fast.
+        """
         kept = self.young.get(part)
         if kept is None:
             kept = self.old.get(part) or self._solve(part)
@@ -171,47 +178,59 @@ class Vocabulary:
                 self.young[part] = kept
         return kept
 
-    def _solve(self, part: str):
+    def _solve(self, part: str) -> tuple[bytes, float, float]:
+        """The forward pass, keeping the two best scores of each place and the best way there."""
         if part == SPACE:
-            return *self._own_space(), np.inf
-        text, found = part.replace(" ", SPACE), self.found
+            ids, score = self._own_space()
+            return np.array(ids, dtype=np.int32).tobytes(), score, np.inf
+        text, trie = part.replace(" ", SPACE), self.trie
         size = len(text)
-        forward, back = [0.0] + [-np.inf] * size, [None] * (size + 1)
-        edges = []
+        best, second = [0.0] + [-np.inf] * size, [-np.inf] * (size + 1)
+        back: list = [None] * (size + 1)
         for i in range(size):
-            at, j, hit, single = forward[i], i + 1, None, False
-            while j <= size:
-                hit = found.get(text[i:j], 0)
-                if hit == 0:
+            at, next_at, children, j, single = best[i], second[i], trie, i, False
+            for char in text[i:] if size - i <= self.longest else text[i : i + self.longest]:
+                node = children.get(char)
+                if node is None:
                     break
-                if hit is not None:
-                    single = single or j == i + 1
-                    score = hit[1]
-                    edges.append((i, j, score))
-                    if at + score > forward[j]:
-                        forward[j], back[j] = at + score, (i, hit[0])
                 j += 1
+                ids, score, children = node
+                if ids is not None:
+                    single = single or j == i + 1
+                    t = at + score
+                    if t > best[j]:
+                        second[j] = max(best[j], next_at + score)
+                        best[j], back[j] = t, (i, ids)
+                    elif t > second[j]:
+                        second[j] = t
             if not single:
-                _, ids, score = self._as_bytes(text, i)
-                edges.append((i, i + 1, score))
-                if at + score > forward[i + 1]:
-                    forward[i + 1], back[i + 1] = at + score, (i, ids)
-        backward = [-np.inf] * size + [0.0]
-        for i, j, score in reversed(edges):
-            if score + backward[j] > backward[i]:
-                backward[i] = score + backward[j]
-        ids, at, path = [], size, set()
+                j, ids, score = self._as_bytes(text, i)
+                t = at + score
+                if t > best[j]:
+                    second[j] = max(best[j], next_at + score)
+                    best[j], back[j] = t, (i, np.array(ids, dtype=np.int32).tobytes())
+                elif t > second[j]:
+                    second[j] = t
+        ids, at = [], size
         while at:
-            i, own = back[at]
-            path.add((i, at))
-            ids.extend(own[::-1] if isinstance(own, tuple) else (own,))
-            at = i
-        # Every other segmentation has an edge off the best path.
-        second = -np.inf
-        for i, j, score in edges:
-            if (i, j) not in path and forward[i] + score + backward[j] > second:
-                second = forward[i] + score + backward[j]
-        return tuple(ids[::-1]), forward[size], max(0.0, forward[size] - second)
+            at, own = back[at]
+            ids.append(own)
+        return b"".join(ids[::-1]), best[size], best[size] - second[size]
+
+    @property
+    def trie(self) -> dict:
+        """Pieces letter by letter: character -> (ids as bytes, score, next characters)."""
+        if self.grown is None:
+            root: dict = {}
+            for name, hit in self.found.items():
+                if hit is not None:
+                    node = root
+                    for char in name[:-1]:
+                        node = node.setdefault(char, [None, 0.0, {}])[2]
+                    last = node.setdefault(name[-1], [None, 0.0, {}])
+                    last[0], last[1] = np.array([hit[0]], dtype=np.int32).tobytes(), hit[1]
+            self.grown, self.longest = root, max(map(len, self.found), default=1)
+        return self.grown
 
     def _as_bytes(self, text: str, i: int) -> tuple[int, tuple[int, ...], float]:
         ids = tuple(self.byte_ids[b] for b in text[i].replace(SPACE, " ").encode())
@@ -241,25 +260,27 @@ class Vocabulary:
         parts = re.findall(self.parts, " " + text) if text else []
         young, best = self.young, self.best
         kept = [young.get(p) or best(p) for p in parts]
-        ids = np.fromiter(chain.from_iterable(k[0] for k in kept), dtype=np.int32)
-        score = float(sum(k[1] for k in kept))
-        if n <= 1 or not kept:
+        if not kept:
+            return np.zeros(0, dtype=np.int32), 0.0, []
+        own, scores, losses = zip(*kept)
+        ids, score = np.frombuffer(b"".join(own), dtype=np.int32), float(sum(scores))
+        if n <= 1:
             return ids, score, []
-        loss = np.fromiter((k[2] for k in kept), dtype=np.float64, count=len(kept))
-        order = np.lexsort((np.arange(len(loss)), loss))[: n - 1] if len(loss) < 4 * n else None
-        if order is None:
-            near = np.argpartition(loss, n - 2)
-            bar = loss[near[n - 2]]
-            order = np.concatenate([np.flatnonzero(loss < bar), np.flatnonzero(loss == bar)])[: n - 1]
+        loss = np.array(losses)
+        if len(loss) < n:
+            few = np.arange(len(loss))
+        else:
+            bar = np.partition(loss, n - 2)[n - 2]
+            few = np.concatenate([np.flatnonzero(loss < bar), np.flatnonzero(loss == bar)])[: n - 1]
         found: list[tuple[float, list[tuple[int, int, tuple[int, ...]]]]] = [(0.0, [])]
-        sizes = np.cumsum([0, *(len(k[0]) for k in kept)])
-        for at in sorted(int(k) for k in order if np.isfinite(loss[k])):
-            first, count, own = int(sizes[at]), len(kept[at][0]), kept[at][1]
+        for at in sorted(int(k) for k in few if np.isfinite(loss[k])):
+            first, count = sum(map(len, own[:at])) // 4, len(own[at]) // 4
             others = []
             for s, other in self.n_best(parts[at]):
                 if len(others) == n:
                     break
-                others.append((own - s, [] if other == kept[at][0] else [(first, count, other)]))
+                same = np.array(other, dtype=np.int32).tobytes() == own[at]
+                others.append((scores[at] - s, [] if same else [(first, count, other)]))
             both = [(a + b, x + y) for a, x in found for b, y in others]
             found = sorted(both, key=lambda t: (t[0], t[1]))[:n]
         rest = [(lost, changes) for lost, changes in found if changes][: n - 1]
@@ -270,6 +291,38 @@ class Vocabulary:
         return b"".join(map(self.text.__getitem__, ids))[1:].decode()
 
 
+@dataclass
+class Spelling:
+    """All pieces' bytes in one run, to spell whole columns of ids at once."""
+
+    run: np.ndarray
+    start: np.ndarray
+    size: np.ndarray
+
+    @classmethod
+    def of(cls, text: list[bytes]) -> Spelling:
+        size = np.array([len(t) for t in text], dtype=np.int64)
+        return cls(np.frombuffer(b"".join(text), dtype=np.uint8), np.cumsum(size) - size, size)
+
+    def texts(self, ids: pa.ListArray) -> pa.Array:
+        """The text of each list of ids, without the space put before it; null for null."""
+        offsets = ids.offsets.to_numpy().astype(np.int64)
+        flat = ids.values.to_numpy()[offsets[0] : offsets[-1]]
+        size = self.size[flat]
+        ends = np.cumsum(size)
+        place = np.repeat(self.start[flat] - (ends - size), size) + np.arange(int(size.sum()))
+        out = self.run[place]
+        row_ends = np.concatenate([[0], ends])[offsets - offsets[0]]
+        filled = np.flatnonzero(np.diff(row_ends))
+        out = np.delete(out, row_ends[:-1][filled])
+        taken = np.concatenate([[0], np.cumsum(np.diff(row_ends) > 0)])
+        bounds = pa.py_buffer((row_ends - taken).astype(np.int64))
+        valid = ids.is_valid().to_numpy(zero_copy_only=False)
+        mask = pa.py_buffer(np.packbits(valid, bitorder="little"))
+        held = pa.LargeStringArray.from_buffers(len(ids), bounds, pa.py_buffer(out), mask)
+        return held.cast(pa.string())
+
+
 CHANGE = pa.struct([("first", pa.int32()), ("dropped", pa.int32()), ("ids", pa.list_(pa.int32()))])
 ALTERNATIVE = pa.struct([("score", pa.float64()), ("changes", pa.list_(CHANGE))])
 ENCODED = (
@@ -323,7 +376,8 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     sent = encoded.sparkSession.sparkContext.broadcast(vocabulary)
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = sent.value.text
+        v = sent.value
+        table, spelled = v.text, Spelling.of(v.text)
 
         def joined(ids) -> bytes:
             return b"".join(map(table.__getitem__, ids))
@@ -331,22 +385,18 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                texts, agree = [], []
                 ids = batch.column(batch.schema.get_field_index("ids"))
+                texts, agree = spelled.texts(ids), []
                 others = batch.column(batch.schema.get_field_index("alternatives")).to_pylist()
-                for own, more in zip(ids, others):
-                    if not own.is_valid:
-                        texts.append(None)
-                        agree.append(None)
-                        continue
-                    own = own.values.to_numpy()
-                    texts.append(joined(own.tolist())[1:].decode())
-                    agree.append(all(
-                        joined(own[c["first"] : c["first"] + c["dropped"]].tolist()) == joined(c["ids"])
+                flat, offsets = ids.values.to_numpy(), ids.offsets.to_numpy()
+                for first, more in zip(offsets.tolist(), others):
+                    agree.append(None if more is None else all(
+                        joined(flat[first + c["first"] : first + c["first"] + c["dropped"]].tolist())
+                        == joined(c["ids"])
                         for m in more for c in m["changes"]
                     ))
                 yield pa.RecordBatch.from_arrays(
-                    [*batch.columns, pa.array(texts, type=pa.string()), pa.array(agree, type=pa.bool_())],
+                    [*batch.columns, texts, pa.array(agree, type=pa.bool_())],
                     names=[*batch.schema.names, "decoded", "agree"],
                 )
 
