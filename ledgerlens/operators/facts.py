@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import exact
@@ -130,6 +130,17 @@ def cubes(lines: Facts, order_lines: Facts | None = None) -> Cubes:
     )
 
     narrow = (order_lines or lines).frame.select("order_id", "order_year", "region").distinct()
+    narrow = narrow.filter("order_id IS NOT NULL")
+
+    def first_of(keys: tuple[str, ...]) -> Column:
+        """1 for one row of each order and member, so that sums of it count distinct orders."""
+        rows = Window.partitionBy("order_id", *keys).orderBy("order_year", "region")
+        return (F.row_number().over(rows) == 1).cast("long")
+
+    flagged = narrow.repartition("order_id").select(
+        "order_year", "region", *[first_of(g).alias("/".join(("first", *g))) for g in ORDER_GROUPINGS]
+    )
+    # One copy of a row for each grouping; they are summed before anything is shuffled.
     copies = F.array(
         *[
             F.struct(
@@ -138,14 +149,15 @@ def cubes(lines: Facts, order_lines: Facts | None = None) -> Cubes:
                     (F.col(c) if c in g else F.lit(None).cast(t)).alias(c)
                     for c, t in (("order_year", "long"), ("region", "string"))
                 ],
+                F.col("/".join(("first", *g))).alias("orders"),
             )
             for g in ORDER_GROUPINGS
         ]
     )
     counted = (
-        narrow.select("order_id", F.inline(copies))
+        flagged.select(F.inline(copies))
         .groupBy("grouping", "order_year", "region")
-        .agg(F.count_distinct("order_id").alias("orders"))
+        .agg(F.sum("orders").alias("orders"))
     )
     return Cubes(
         *side_by_side([lambda: durable(sums, "cubes"), lambda: durable(counted, "orders")])

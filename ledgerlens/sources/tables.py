@@ -83,19 +83,21 @@ def publish(
 
 
 def write_report(df: DataFrame, folder: str, order: Sequence[str] = ()) -> None:
-    """One CSV file with a header, in report order, for a report of a bounded number of rows.
+    """CSV files with a header, in report order from file to file; a small report is one file.
 
-    A leading minus in `order` means descending.
+    A leading minus in `order` means descending. Sort ranges are written side by side, and adaptive
+    execution joins small ones, so a report of any size is written by as many tasks as it needs.
     """
-    single = df.repartition(1)
     if order:
-        single = single.sortWithinPartitions(
+        placed = df.orderBy(
             *[
                 F.col(c[1:]).desc_nulls_last() if c.startswith("-") else F.col(c).asc_nulls_last()
                 for c in order
             ]
         )
-    written = single.withColumns(
+    else:
+        placed = df.hint("rebalance")
+    written = placed.withColumns(
         {name: plain_text(F.col(name)) for name, kind in df.dtypes if kind == "double"}
     )
     written.write.mode("overwrite").options(header="true", escape='"').csv(folder)
