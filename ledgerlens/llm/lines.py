@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.session import durable
+
 def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
@@ -55,7 +57,9 @@ def drop_boilerplate(
 ) -> DataFrame:
     """(row, text, dropped): each page's row as a struct, its remaining text, lines dropped."""
     rows = pages.select(F.struct("*").alias("row"), F.col(host).alias("host"), F.col(text).alias("text"))
-    found = boilerplate(pages, host, text, ratio, least_pages)
+    # Written first: a small table is then known to be small and goes to the pages, and a large
+    # one is joined by a plain shuffle, whose hot hosts can be split.
+    found = durable(boilerplate(pages, host, text, ratio, least_pages), "boilerplate")
     joined = rows.join(found, "host", "left")
     parts = _lines(F.col("text"))
     # array_except and array_intersect look hashes up in a set, once for a page.
