@@ -18,6 +18,7 @@ from ledgerlens.llm.queries import (
     table,
     taught,
 )
+from ledgerlens.llm.ship import ship
 from ledgerlens.session import durable
 
 
@@ -40,11 +41,13 @@ def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest id."""
+    ship(spark)
     return near_dup.first_of_each(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each piece of each document lies in the training sequences."""
+    ship(spark)
     return packing.pack(docs)
 
 

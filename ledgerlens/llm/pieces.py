@@ -26,17 +26,20 @@ import re
 import string
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql.types import BooleanType, StringType, StructType
 
 from ledgerlens.llm.text import chunks
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 UNKNOWN_BYTE = 10.0  # a byte piece scores this much below the worst ordinary piece
-REMEMBERED = 300_000  # parts, of at most 40 characters, in each of two generations
+REMEMBERED = 250_000  # parts, of at most 40 characters, in each of two generations
 
 
 def _parts(pairs: set[tuple[str, str]]) -> str:
@@ -111,6 +114,7 @@ class Vocabulary:
     longest: int = 1
     young: dict = field(default_factory=dict)
     old: dict = field(default_factory=dict)
+    others: dict = field(default_factory=dict)
 
     @classmethod
     def read(cls, path: str = MODEL) -> Vocabulary:
@@ -236,6 +240,24 @@ class Vocabulary:
         ids = tuple(self.byte_ids[b] for b in text[i].replace(SPACE, " ").encode())
         return i + 1, ids, len(ids) * self.byte_score
 
+    def _losses(self, part: str, n: int) -> list[tuple[float, bool, tuple[int, ...]]]:
+        """(loss against the best, whether it is the best, ids) of a part's n best segmentations.
+
+        The parts with the smallest losses are common words, so their lists are remembered.
+        """
+        kept = self.others.get((part, n))
+        if kept is None:
+            own, score, _ = self.best(part)
+            kept = [
+                (score - s, np.array(ids, dtype=np.int32).tobytes() == own, ids)
+                for s, ids in islice(self.n_best(part), n)
+            ]
+            if len(part) <= 40:
+                if len(self.others) >= REMEMBERED // 16:
+                    self.others = {}
+                self.others[part, n] = kept
+        return kept
+
     def _own_space(self) -> tuple[tuple[int, ...], float]:
         """A text's own sign for spaces is no space, so it is written as bytes."""
         ids = tuple(self.byte_ids[b] for b in SPACE.encode())
@@ -275,12 +297,10 @@ class Vocabulary:
         found: list[tuple[float, list[tuple[int, int, tuple[int, ...]]]]] = [(0.0, [])]
         for at in sorted(int(k) for k in few if np.isfinite(loss[k])):
             first, count = sum(map(len, own[:at])) // 4, len(own[at]) // 4
-            others = []
-            for s, other in self.n_best(parts[at]):
-                if len(others) == n:
-                    break
-                same = np.array(other, dtype=np.int32).tobytes() == own[at]
-                others.append((scores[at] - s, [] if same else [(first, count, other)]))
+            others = [
+                (lost, [] if same else [(first, count, other)])
+                for lost, same, other in self._losses(parts[at], n)
+            ]
             both = [(a + b, x + y) for a, x in found for b, y in others]
             found = sorted(both, key=lambda t: (t[0], t[1]))[:n]
         rest = [(lost, changes) for lost, changes in found if changes][: n - 1]
@@ -368,36 +388,60 @@ def encode(documents: DataFrame, vocabulary: Vocabulary, n: int = 4) -> DataFram
     return documents.select("doc_id", "text").mapInArrow(encoded, f"doc_id {kind}, text string, {ENCODED}")
 
 
-def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """`encoded` with `decoded` (text of the best) and `agree` (alternatives give the same text)."""
-    from pyspark.sql.types import BooleanType, StringType, StructType
+def _spelled(batch: pa.RecordBatch, spelling: Spelling, table: list[bytes]) -> tuple[pa.Array, pa.Array]:
+    """(text of the best, whether the alternatives give the same text), from ids, alternatives."""
+    ids = batch.column(batch.schema.get_field_index("ids"))
+    others = batch.column(batch.schema.get_field_index("alternatives")).to_pylist()
+    flat, offsets, agree = ids.values.to_numpy(), ids.offsets.to_numpy(), []
 
-    schema = StructType([*encoded.schema.fields]).add("decoded", StringType()).add("agree", BooleanType())
-    sent = encoded.sparkSession.sparkContext.broadcast(vocabulary)
+    def joined(own) -> bytes:
+        return b"".join(map(table.__getitem__, own))
 
-    def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = sent.value
-        table, spelled = v.text, Spelling.of(v.text)
+    for first, more in zip(offsets.tolist(), others):
+        agree.append(None if more is None else all(
+            joined(flat[first + c["first"] : first + c["first"] + c["dropped"]].tolist())
+            == joined(c["ids"])
+            for m in more for c in m["changes"]
+        ))
+    return spelling.texts(ids), pa.array(agree, type=pa.bool_())
 
-        def joined(ids) -> bytes:
-            return b"".join(map(table.__getitem__, ids))
 
+def _each_spelled(encoded: DataFrame, vocabulary: Vocabulary, keep: list[str], schema, finish) -> DataFrame:
+    """The kept columns of `encoded`, and what `finish` makes of each batch and its spelling."""
+    sent = encoded.sparkSession.sparkContext.broadcast(vocabulary.text)
+
+    def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spelling = Spelling.of(sent.value)
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                ids = batch.column(batch.schema.get_field_index("ids"))
-                texts, agree = spelled.texts(ids), []
-                others = batch.column(batch.schema.get_field_index("alternatives")).to_pylist()
-                flat, offsets = ids.values.to_numpy(), ids.offsets.to_numpy()
-                for first, more in zip(offsets.tolist(), others):
-                    agree.append(None if more is None else all(
-                        joined(flat[first + c["first"] : first + c["first"] + c["dropped"]].tolist())
-                        == joined(c["ids"])
-                        for m in more for c in m["changes"]
-                    ))
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.columns, texts, pa.array(agree, type=pa.bool_())],
-                    names=[*batch.schema.names, "decoded", "agree"],
-                )
+                own = [batch.column(batch.schema.get_field_index(k)) for k in keep]
+                more = finish(batch, *_spelled(batch, spelling, sent.value))
+                yield pa.RecordBatch.from_arrays([*own, *more.values()], names=[*keep, *more])
+
+    return encoded.mapInArrow(spelled, schema)
+
+
+def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """`encoded` with `decoded`, the text that the ids spell."""
+    schema = StructType([*encoded.schema.fields]).add("decoded", StringType())
+    return _each_spelled(
+        encoded, vocabulary, encoded.columns, schema, lambda batch, text, agree: {"decoded": text}
+    )
+
+
+def restored(encoded: DataFrame, vocabulary: Vocabulary, keep: list[str]) -> DataFrame:
+    """The `keep` columns of `encoded` and `restored`: whether every segmentation spells the text.
+
+    Texts and ids go to the workers and do not come back.
+    """
+    fields = [encoded.schema[k] for k in keep]
+
+    def finish(batch: pa.RecordBatch, text: pa.Array, agree: pa.Array) -> dict[str, pa.Array]:
+        told = batch.column(batch.schema.get_field_index("text")).cast(pa.string())
+        missing = pc.and_(pc.is_null(told), pc.is_null(text))
+        same = pc.and_(pc.fill_null(pc.equal(told, text), False), pc.fill_null(agree, False))
+        return {"restored": pc.or_(missing, same)}
 
-    return encoded.mapInArrow(decoded, schema)
+    schema = StructType(fields).add("restored", BooleanType())
+    return _each_spelled(encoded, vocabulary, keep, schema, finish)

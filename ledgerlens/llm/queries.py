@@ -20,6 +20,7 @@ from ledgerlens.llm import (
     sample,
     toxicity,
 )
+from ledgerlens.llm.ship import ship
 from ledgerlens.session import durable
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +30,7 @@ LANGUAGE_PARTS, QUALITY_PARTS, TOXIC_PARTS = (4, 2), (5, 0), (3, 1)  # folds; th
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
@@ -99,15 +101,18 @@ def op5_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
 def op6_sentencepiece_nbest(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     vocabulary = pieces.Vocabulary.read()
-    done = pieces.decode(pieces.encode(docs, vocabulary), vocabulary)
-    return done.select(
+    encoded = pieces.encode(docs, vocabulary).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_pieces"),
         F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
         "score",
         F.transform("alternatives", lambda a: a["score"]).alias("next_scores"),
-        (F.col("decoded").eqNullSafe(F.col("text")) & F.coalesce("agree", F.lit(True))).alias("restored"),
+        "text",
+        "ids",
+        "alternatives",
     )
+    kept = ["doc_id", "n_pieces", "ids_sha256", "score", "next_scores"]
+    return pieces.restored(encoded, vocabulary, kept)
 
 
 def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:

@@ -88,7 +88,10 @@ def test_strange_rows(spark):
     rows = pieces.decode(pieces.encode(docs, v), v).collect()
     assert len(rows) == 10
     for r in rows:
-        assert r["decoded"] == r["text"] and (r["text"] is None or r["agree"])
+        assert r["decoded"] == r["text"]
+    assert pieces.restored(pieces.encode(docs, v), v, ["doc_id"]).filter("restored").count() == 10
+    other = pieces.encode(docs, v).withColumn("text", F.concat("text", F.lit("x")))
+    assert pieces.restored(other, v, ["doc_id"]).filter("restored").count() == 1  # the null text
     by = {r["doc_id"]: r for r in rows}
     assert by[1]["ids"] is None and by[2]["ids"] == [] and by[2]["alternatives"] == []
     assert pieces.encode(docs.limit(0), v).collect() == []
