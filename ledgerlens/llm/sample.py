@@ -13,8 +13,8 @@ def fold(doc_id: Column, parts: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % parts
 
 
-def per_class(rows: DataFrame, label: str, most: int, *key: str) -> DataFrame:
-    """About `most` rows of each label at most, chosen by a hash of `key`.
+def per_class(rows: DataFrame, label: str, most: int | dict, *key: str) -> DataFrame:
+    """About `most` rows of each label at most (or of those it names), chosen by a hash of `key`.
 
     The share taken of each label follows from its count, so the choice covers the whole table,
     does not depend on partitions, and takes everything where a label has fewer rows. Labels
@@ -25,7 +25,8 @@ def per_class(rows: DataFrame, label: str, most: int, *key: str) -> DataFrame:
     limit = F.lit(0)
     for r in counts:
         if r[label] is not None:
-            share = min(SLOTS, int(SLOTS * most / r["count"]))
+            bound = most.get(r[label], 0) if isinstance(most, dict) else most
+            share = min(SLOTS, int(SLOTS * bound / r["count"]))
             limit = F.when(F.col(label) == F.lit(r[label]), F.lit(share)).otherwise(limit)
     return rows.filter(slot < limit)
 

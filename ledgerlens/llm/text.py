@@ -134,8 +134,11 @@ def _piece(data, offsets, classes, at: int) -> Tokens:
     start, end = start[real], end[real]
     sums = np.zeros(size + 1, dtype=np.uint64)
     np.cumsum(VALUES[low] * up[:size], dtype=np.uint64, out=sums[1:])
+    # The documents that the piece touches, each as often as it has tokens here.
+    rows = np.searchsorted(offsets, at, side="right") - 1, np.searchsorted(offsets, at + size)
+    bounds = np.searchsorted(start, offsets[rows[0] : rows[1] + 1] - at)
     out = Tokens(
-        doc=np.searchsorted(offsets, start + at, side="right") - 1,
+        doc=np.repeat(np.arange(*rows), np.diff(bounds)),
         hash=start, kind=kind[start], start=start, end=end, low=low, sums=sums, base=at,
     )
     out.hash = out.part(start, end)
@@ -181,3 +184,9 @@ def shingles(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
     for k in range(words):
         total = np.where(left > k, mix(total * np.uint64(BASE) + padded[at + k]), total)
     return owner, total
+
+
+def and_end(batches: Iterator) -> Iterator:
+    """The batches, and None behind the last one."""
+    yield from batches
+    yield None

@@ -21,6 +21,7 @@ score is the share of toxic rows seen (0 without any). Extra columns are ignored
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -42,11 +43,12 @@ FLOOR = 0.01  # added to the expected number of toxic tokens before its logarith
 @dataclass(frozen=True)
 class Settings:
     bits: int = 18  # slots of the hashed features
-    most_per_class: int = 3000  # bound of the training sample, for each label
+    most_toxic: int = 3000  # bounds of the training sample
+    most_clean: int = 12_000
     longest: int = 64  # tokens of a sequence
-    support: int = 3  # toxic documents that a marker occurs in, at least,
-    support_share: float = 0.004  # also as a share of the sample's toxic documents
-    purity: float = 0.97  # share of toxic documents among those with the marker
+    support: int = 3  # toxic documents that a marker occurs in, at least
+    purity: float = 0.97  # share of toxic documents among those with the marker, both kinds even
+    chance: float = 0.01  # markers expected by mere chance among all words looked at
     epochs: int = 8
     least_steps: int = 600  # a small sample is read more often
     rate: float = 0.3
@@ -199,29 +201,63 @@ def _thinned(docs: list[np.ndarray]) -> np.ndarray:
     return keep
 
 
-def _markers(column: pa.Array, labels: np.ndarray, s: Settings) -> np.ndarray:
-    """Hashes of words and word beginnings that mark toxic documents."""
-    doc, mark, words = [], [], [[] for _ in range(len(column))]
+def _document_words(column: pa.Array) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """For each piece: the document of each mark, the marks: words and their beginnings."""
     for t in _words(column):
         size = t.end - t.start
-        doc += [t.doc, *(t.doc[real] for kind, _, real in _parts(t, size) if 13 < kind < 20)]
-        mark += [t.hash, *(x[real] for kind, x, real in _parts(t, size) if 13 < kind < 20)]
-        cuts = np.searchsorted(t.doc, np.unique(t.doc))
-        for row, own in zip(np.unique(t.doc), np.split(t.hash, cuts[1:])):
+        parts = [(x[real], t.doc[real]) for kind, x, real in _parts(t, size) if 13 < kind < 20]
+        yield np.concatenate([t.doc, *(d for _, d in parts)]), [t.hash, *(x for x, _ in parts)]
+
+
+def _counts(column: pa.Array, keep: np.ndarray, among: np.ndarray | None = None):
+    """(marks, documents with each): over the kept documents, of all marks or those in `among`."""
+    found = []
+    for doc, marks in _document_words(column):
+        mark = np.concatenate(marks)
+        at = keep[doc]
+        if among is not None:
+            place = np.searchsorted(among, mark).clip(max=max(0, len(among) - 1))
+            at &= (among[place] == mark) if len(among) else False
+        mark, doc = mark[at], doc[at].astype(np.uint64)
+        # A document counts once for a mark; (mark, document) goes by its hash. A document that
+        # is longer than a piece counts once for each.
+        _, first = np.unique(mix(mark + doc * np.uint64(0x9E3779B97F4A7C15)), return_index=True)
+        found.append(mark[first])
+    if not found:
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+    return np.unique(np.concatenate(found), return_counts=True)
+
+
+def _spread(column: pa.Array) -> np.ndarray:
+    """Which documents are not near copies of an earlier one."""
+    words: list[list[np.ndarray]] = [[] for _ in range(len(column))]
+    for t in _words(column):
+        rows = np.unique(t.doc)
+        for row, own in zip(rows, np.split(t.hash, np.searchsorted(t.doc, rows)[1:])):
             words[row].append(own)
-    if not doc:
-        return np.zeros(0, dtype=np.uint64)
-    keep = _thinned([np.concatenate(w) if w else np.zeros(0, dtype=np.uint64) for w in words])
-    doc, mark = np.concatenate(doc), np.concatenate(mark)
-    at = keep[doc]
-    pairs = np.unique(np.stack([mark[at], doc[at].astype(np.uint64)], axis=1), axis=0)
-    marks, where = np.unique(pairs[:, 0], return_inverse=True)
-    toxic = labels[pairs[:, 1].astype(np.int64)] == 1
-    bad = np.bincount(where[toxic], minlength=len(marks))
-    good = np.bincount(where[~toxic], minlength=len(marks))
-    weight = max(1, (labels[keep] == 1).sum()) / max(1, (labels[keep] == 0).sum())
-    support = max(s.support, s.support_share * (labels[keep] == 1).sum())
-    return marks[(bad >= support) & (bad >= s.purity * (bad + good * weight))]
+    return _thinned([np.concatenate(w) if w else np.zeros(0, dtype=np.uint64) for w in words])
+
+
+def _markers(column: pa.Array, labels: np.ndarray, s: Settings) -> np.ndarray:
+    """Hashes of words and word beginnings that mark toxic documents.
+
+    A mark must be purely toxic, and more often so than chance explains: so many words are looked
+    at that some occur in a few toxic documents only, without meaning anything.
+    """
+    toxic, clean = (column.filter(pa.array(labels == k)) for k in (1, 0))
+    spread = _spread(toxic)
+    marks, bad = _counts(toxic, spread)
+    looked_at = max(1, len(marks))
+    marks, bad = marks[bad >= s.support], bad[bad >= s.support]
+    held, count = _counts(clean, np.ones(len(clean), dtype=bool), marks)
+    good = np.zeros(len(marks), dtype=np.int64)
+    good[np.searchsorted(marks, held)] = count
+    share = spread.sum() / max(1, spread.sum() + len(clean))
+    odds = share / max(1e-9, 1 - share)
+    pure = bad >= s.purity * (bad + good * odds)
+    orders = np.array([math.lgamma(b + g + 1) - math.lgamma(b + 1) - math.lgamma(g + 1) for b, g in zip(bad, good)])
+    surprise = -bad * np.log(share) - orders if share > 0 else np.zeros(len(bad))
+    return marks[pure & (surprise >= np.log(looked_at / s.chance))]
 
 
 def train(column: pa.Array, labels: np.ndarray, s: Settings) -> Model:
@@ -246,7 +282,7 @@ def train(column: pa.Array, labels: np.ndarray, s: Settings) -> Model:
         hit &= labels[t.doc] == 1
         sequence, place = _sequences(t, s.longest)
         marked = np.bincount(sequence, weights=hit) > 0
-        chosen = marked | (rng.random(len(marked)) < max(0.05, 3 * marked.mean()))
+        chosen = marked | (rng.random(len(marked)) < max(0.01, 3 * marked.mean()))
         at = chosen[sequence]
         slots = np.stack([f[at] for f in _features(t, sequence, s.bits)], axis=1)
         batches.append((slots, hit[at].astype(float), sequence[at], place[at]))
@@ -307,7 +343,8 @@ def fit(documents: DataFrame, labels: DataFrame, settings: Settings = Settings()
     vector of fixed length reaches the driver.
     """
     known = labels.select("doc_id", F.col("label").cast("int")).dropna()
-    chosen = sample.per_class(known, "label", settings.most_per_class, "doc_id")
+    bounds = {0: settings.most_clean, 1: settings.most_toxic}
+    chosen = sample.per_class(known, "label", bounds, "doc_id")
     rows = sample.labelled(documents, chosen, ["doc_id", "text"])
 
     def learn(group: pd.DataFrame) -> pd.DataFrame:
