@@ -31,10 +31,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.graph import components
-from ledgerlens.llm.near_dup import _linked_rows
+from ledgerlens.llm.graph import components, connecting
 from ledgerlens.llm.sample import SLOTS
-from ledgerlens.llm.text import mix
+from ledgerlens.llm.text import and_end, mix
 from ledgerlens.session import durable
 
 BITS, TABLES = 64, 4
@@ -145,7 +144,7 @@ def _compared(buckets: DataFrame, s: Settings) -> DataFrame:
         ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
         number = np.zeros(len(ids), dtype=np.int64)
         np.add.at(number, at, np.concatenate([nv, nu]))
-        joined = _linked_rows(u, v)
+        joined = connecting(u, v)
         return pd.DataFrame({
             "what": np.concatenate([np.zeros(len(ids)), np.ones(len(joined))]).astype(np.int32),
             "a": np.concatenate([ids, joined["u"].to_numpy()]),
@@ -154,13 +153,15 @@ def _compared(buckets: DataFrame, s: Settings) -> DataFrame:
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, count, rest = [], 0, None
-        for part in _and_end(batches):
+        for part in and_end(batches):
             if part is None:
                 if rest is None or not len(rest):
                     continue
                 rows, whole = rest, len(rest)
             else:
-                rows = part if rest is None or not len(rest) else pd.concat([rest, part], ignore_index=True)
+                rows = part
+                if rest is not None and len(rest):
+                    rows = pd.concat([rest, part], ignore_index=True)
                 key = rows[["bucket", "i", "j"]].to_numpy()
                 change = np.flatnonzero((key[1:] != key[:-1]).any(axis=1))
                 whole = int(change[-1]) + 1 if len(change) else 0
@@ -178,15 +179,16 @@ def _compared(buckets: DataFrame, s: Settings) -> DataFrame:
                 lag += 1
                 at = at[at + lag < whole]
                 to = at + lag
-                at = at[(bucket[at] == bucket[to]) & (first[at] == first[to]) & (second[at] == second[to])]
+                same = (bucket[at] == bucket[to]) & (first[at] == first[to])
+                at = at[same & (second[at] == second[to])]
                 to = at + lag
                 meet = (block[at] != block[to]) | (first[at] == second[at])
                 meet &= _first_meeting(code[at], code[to], place[at])
                 near = at[meet]
                 for k in range(0, len(near), 1 << 13):
                     x = near[k : k + (1 << 13)]
-                    a, b = (unit(np.stack([vectors[i] for i in z]).astype(np.float64)) for z in (x, x + lag))
-                    hit = x[(a * b).sum(axis=1) >= s.cosine]
+                    a, b = (np.stack([vectors[i] for i in z]).astype(float) for z in (x, x + lag))
+                    hit = x[(unit(a) * unit(b)).sum(axis=1) >= s.cosine]
                     if len(hit):
                         held.append((cid[hit], cid[hit + lag], copies[hit], copies[hit + lag]))
                         count += len(hit)
@@ -199,11 +201,6 @@ def _compared(buckets: DataFrame, s: Settings) -> DataFrame:
     return buckets.mapInPandas(compare, "what int, a long, b long")
 
 
-def _and_end(batches):
-    yield from batches
-    yield None
-
-
 def near_duplicates(embeddings: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of (vec_id, label, embedding)."""
     s = settings

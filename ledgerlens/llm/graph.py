@@ -1,7 +1,9 @@
-"""Connected components of an edge table."""
+"""Connected components: of an edge table, and of the pairs that one task has found."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,3 +51,22 @@ def _small_star(edges: DataFrame) -> DataFrame:
     moved = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     kept = least.select("u", F.col("m").alias("v"))
     return moved.filter("u <> v").union(kept).distinct()
+
+
+def connecting(a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
+    """What connects the ends of the pairs (a, b): one row (u, v) for each but the smallest."""
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = ends[: len(a)], ends[len(a) :]
+    least = np.arange(len(nodes))
+    while True:
+        before = least.copy()
+        low = np.minimum(least[x], least[y])
+        np.minimum.at(least, x, low)
+        np.minimum.at(least, y, low)
+        np.minimum.at(least, before[x], low)
+        np.minimum.at(least, before[y], low)
+        least = least[least]
+        if (least == before).all():
+            break
+    moved = least != np.arange(len(nodes))
+    return pd.DataFrame({"u": nodes[moved], "v": nodes[least[moved]]})

@@ -38,8 +38,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.graph import components
-from ledgerlens.llm.text import BASE, chunks, mix, shingles
+from ledgerlens.llm.graph import components, connecting
+from ledgerlens.llm.text import BASE, and_end, chunks, mix, shingles
 from ledgerlens.session import durable
 
 
@@ -55,7 +55,7 @@ class Settings:
     node_rows: int = 256  # largest node that is compared exhaustively
     margin: float = 0.12  # below the threshold, for similarities estimated from sketches
     block_rows: int = 128  # sets of a family that are compared in one piece
-    pairs: int = 1 << 19  # similar pairs that a task holds at once
+    pairs: int = 1 << 18  # similar pairs that a task holds at once
 
 
 LEVEL_SEEDS = mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(BASE))
@@ -99,8 +99,8 @@ def _branch(
     coordinates = np.arange(s.coordinates, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
     for k in range(level, level + levels):
         rows, paths = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.uint64)]
-        for at in range(0, len(row), 1 << 14):
-            r, p = row[at : at + (1 << 14)], path[at : at + (1 << 14)]
+        for at in range(0, len(row), 1 << 13):
+            r, p = row[at : at + (1 << 13)], path[at : at + (1 << 13)]
             draw = mix((p ^ LEVEL_SEEDS[k])[:, None] + coordinates[None, :])
             who, which = np.nonzero((draw & np.uint64(0xFFFFFFFF)) < chance)
             value = sketch[r[who], which].astype(np.uint64)
@@ -143,7 +143,7 @@ def _read(batch: pa.RecordBatch, s: Settings) -> pa.RecordBatch:
 def _documents_read(documents: DataFrame, s: Settings) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in chunks(whole, "text", 1 << 22):
+            for batch in chunks(whole, "text", 1 << 21):
                 yield _read(batch, s)
 
     schema = (
@@ -156,25 +156,6 @@ def _documents_read(documents: DataFrame, s: Settings) -> DataFrame:
 # -- 3: nodes and families
 
 
-def _linked_rows(a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
-    """What connects the ends of the pairs (a, b): one row (u, v) for each but the smallest."""
-    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x, y = ends[: len(a)], ends[len(a) :]
-    least = np.arange(len(nodes))
-    while True:
-        before = least.copy()
-        low = np.minimum(least[x], least[y])
-        np.minimum.at(least, x, low)
-        np.minimum.at(least, y, low)
-        np.minimum.at(least, before[x], low)
-        np.minimum.at(least, before[y], low)
-        least = least[least]
-        if (least == before).all():
-            break
-    moved = least != np.arange(len(nodes))
-    return pd.DataFrame({"u": nodes[moved], "v": nodes[least[moved]]})
-
-
 def _similar(marks: np.ndarray, a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
     out = np.empty(len(a), dtype=bool)
     for k in range(0, len(a), 1 << 15):
@@ -189,7 +170,7 @@ def _compare_nodes(nodes: DataFrame, s: Settings) -> DataFrame:
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest, held, count = None, [], 0
-        for part in _with_end(batches):
+        for part in and_end(batches):
             rows = part if rest is None else pd.concat([rest, part], ignore_index=True)
             if part is None:
                 rows = rest
@@ -213,21 +194,16 @@ def _compare_nodes(nodes: DataFrame, s: Settings) -> DataFrame:
                 held.append((ids[near], ids[near + lag]))
                 count += len(near)
                 if count > s.pairs:
-                    found = _linked_rows(*map(np.concatenate, zip(*held)))
+                    found = connecting(*map(np.concatenate, zip(*held)))
                     yield found
                     # What is already connected stays, so that later pairs do not repeat it.
                     held, count = [], 0
         if count:
-            yield _linked_rows(*map(np.concatenate, zip(*held)))
+            yield connecting(*map(np.concatenate, zip(*held)))
 
     return nodes.mapInPandas(compare, "u long, v long")
 
 
-def _with_end(batches):
-    yield from batches
-    yield None
-
-
 def _families(classes: DataFrame, s: Settings) -> DataFrame:
     """(id, family) of classes that may have links; from (id, sketch, marks, paths)."""
     rows = classes.select(F.explode("paths").alias("path"), "id")
@@ -236,8 +212,9 @@ def _families(classes: DataFrame, s: Settings) -> DataFrame:
         sizes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("members"))
         shared = durable(rows.join(sizes.filter("members > 1"), "path"), "nodes")
         small = shared.filter(F.col("members") <= s.node_rows).drop("members")
-        ready = small.join(classes.select("id", "marks"), "id").repartition("path").sortWithinPartitions("path", "id")
-        edges.append(durable(_compare_nodes(ready.select("path", "id", "marks"), s), "similar"))
+        ready = small.join(classes.select("id", "marks"), "id").select("path", "id", "marks")
+        ready = ready.repartition("path").sortWithinPartitions("path", "id")
+        edges.append(durable(_compare_nodes(ready, s), "similar"))
         large = shared.filter(F.col("members") > s.node_rows).drop("members")
         if large.isEmpty():
             break
@@ -278,7 +255,7 @@ def _sets(documents: DataFrame, families: DataFrame, s: Settings) -> DataFrame:
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in chunks(whole, "text", 1 << 22):
+            for batch in chunks(whole, "text", 1 << 21):
                 owner, shingle = _distinct(*shingles(batch.column(1), s.words))
                 cuts = np.searchsorted(owner, np.arange(batch.num_rows + 1))
                 items = pa.LargeListArray.from_arrays(
@@ -289,7 +266,7 @@ def _sets(documents: DataFrame, families: DataFrame, s: Settings) -> DataFrame:
                     names=["id", "family", "members", "items"],
                 )
 
-    ordered = rows.select("id", "text", "family", "members")
+    ordered = rows.select("id", "text", "family", "members").distinct()  # repeated rows: once
     return ordered.mapInArrow(build, "id long, family long, members long, items array<long>")
 
 
@@ -329,7 +306,7 @@ def _confirm(sets: DataFrame, s: Settings) -> DataFrame:
     def within(group: pd.DataFrame) -> pd.DataFrame:
         every = np.arange(len(group))
         items = [np.asarray(x, dtype=np.int64) for x in group["items"]]
-        return _linked_rows(*_links(group["id"].to_numpy(), items, every, every, s.percent))
+        return connecting(*_links(group["id"].to_numpy(), items, every, every, s.percent))
 
     def between(group: pd.DataFrame) -> pd.DataFrame:
         left = np.flatnonzero(group["left"].to_numpy())
@@ -339,7 +316,7 @@ def _confirm(sets: DataFrame, s: Settings) -> DataFrame:
         if not len(right):  # a block with itself
             right = left
         items = [np.asarray(x, dtype=np.int64) for x in group["items"]]
-        return _linked_rows(*_links(group["id"].to_numpy(), items, left, right, s.percent))
+        return connecting(*_links(group["id"].to_numpy(), items, left, right, s.percent))
 
     small = sets.filter(F.col("members") <= s.block_rows)
     links = small.groupBy("family").applyInPandas(within, schema)
@@ -357,30 +334,35 @@ def _confirm(sets: DataFrame, s: Settings) -> DataFrame:
         ),
         "near",
     )
-    star = near.filter("near AND id <> centre").select(F.col("id").alias("u"), F.col("centre").alias("v"))
+    star = near.filter("near AND id <> centre")
+    star = star.select(F.col("id").alias("u"), F.col("centre").alias("v"))
 
     # Compare those that are not linked to it with everybody, block by block.
     parts = near.groupBy("family").agg(
         F.count_if("near").alias("n_near"), F.count_if(~F.col("near")).alias("n_far")
     )
-    blocks = lambda n: F.ceil(F.col(n) / F.lit(s.block_rows)).cast("long")
     parts = parts.filter("n_far > 0").select(
-        "family", blocks("n_near").alias("b_near"), blocks("n_far").alias("b_far")
+        "family",
+        *[F.ceil(F.col(f"n_{k}") / s.block_rows).cast("long").alias(f"b_{k}") for k in ("near", "far")],
     )
     rows = large.join(near.select("id", "near"), "id").join(parts, "family")
     far_block = F.pmod(F.xxhash64("id"), F.col("b_far"))
     near_block = F.pmod(F.xxhash64("id"), F.greatest("b_near", F.lit(1)))
+
+    def pair(i: Column, j: Column, left: bool) -> Column:
+        return F.struct(i.alias("i"), j.alias("j"), F.lit(left).alias("left"))
+
     # A far block i meets near blocks as (i, j), far blocks j >= i as (i, b_near + j).
-    pair = lambda i, j, left: F.struct(i.alias("i"), j.alias("j"), F.lit(left).alias("left"))
-    far = F.col("b_far")
-    all_far = F.sequence(F.lit(0).cast("long"), far - 1)
+    zero, b_near, b_far = F.lit(0).cast("long"), F.col("b_near"), F.col("b_far")
+    all_far = F.sequence(zero, b_far - 1)
     to_near = F.when(
-        F.col("b_near") > 0,
-        F.transform(F.sequence(F.lit(0).cast("long"), F.col("b_near") - 1), lambda j: pair(far_block, j, True)),
+        b_near > 0, F.transform(F.sequence(zero, b_near - 1), lambda j: pair(far_block, j, True))
     ).otherwise(F.array().cast("array<struct<i: bigint, j: bigint, left: boolean>>"))
-    as_left = F.transform(F.sequence(far_block, far - 1), lambda j: pair(far_block, F.col("b_near") + j, True))
+    as_left = F.transform(
+        F.sequence(far_block, b_far - 1), lambda j: pair(far_block, b_near + j, True)
+    )
     as_right = F.transform(
-        F.filter(all_far, lambda i: i < far_block), lambda i: pair(i, F.col("b_near") + far_block, False)
+        F.filter(all_far, lambda i: i < far_block), lambda i: pair(i, b_near + far_block, False)
     )
     from_near = F.transform(all_far, lambda i: pair(i, near_block, False))
     meets = F.when(F.col("near"), from_near).otherwise(F.concat(to_near, as_left, as_right))
@@ -423,7 +405,7 @@ def near_duplicates(documents: DataFrame, settings: Settings = Settings()) -> Da
         filled.join(twice.select("doc_id"), "doc_id", "left_semi").join(classes, key)
         .select(F.col("doc_id").alias("u"), F.col("id").alias("v"))
     )
-    heads = filled.join(
+    heads = filled.dropDuplicates([*key, "doc_id"]).join(
         classes.select(*key, F.col("id").alias("doc_id")), [*key, "doc_id"], "left_semi"
     )
     heads = durable(heads.select(F.col("doc_id").alias("id"), "sketch", "marks", "paths"), "heads")

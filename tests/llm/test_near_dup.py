@@ -85,3 +85,10 @@ def test_an_id_with_two_texts_links_them(spark):
     rows = [(1, "a b c d e f"), (2, "a b c d e f"), (2, "u v w x y z"), (3, "u v w x y z")]
     docs = documents(spark, [(i, t, "en", "a") for i, t in rows])
     assert {r["component_id"] for r in near_dup.near_duplicates(docs).collect()} == {1}
+
+
+def test_many_repeats_of_a_row_are_one_set(spark):
+    rows = [(1, "a b c d e f g h")] * 400 + [(2, "a b c d e f g h")] * 400 + [(3, "a b c d e f g h i")]
+    docs = documents(spark, [(i, t, "en", "a") for i, t in rows])
+    found = near_dup.near_duplicates(docs).collect()
+    assert len(found) == 801 and {r["component_id"] for r in found} == {1}
