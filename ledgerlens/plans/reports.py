@@ -12,6 +12,7 @@ from ledgerlens.functions import band, literal, pct, ratio, round_n
 from ledgerlens.operators.facts import Facts
 from ledgerlens.operators.ranking import rank_and_run
 from ledgerlens.plans.settings import Settings
+from ledgerlens.session import durable
 
 
 def _money(name: str, alias: str | None = None) -> Column:
@@ -109,12 +110,23 @@ def yearly_trend(facts: Facts) -> DataFrame:
     )
 
 
-def dimension_performance(facts: Facts, key: str, cut: float) -> DataFrame:
-    """Members of one dimension: size, margin, sales-weighted discount, share of high discounts."""
+def dimension_performance(
+    facts: Facts, key: str, cut: float, open_ended: bool = False
+) -> DataFrame:
+    """Members of one dimension: size, margin, sales-weighted discount, share of high discounts.
+
+    The total over all members is a window in one task, right for a few thousand members. For an
+    `open_ended` dimension (products, customers) the members are written once and summed apart.
+    """
     high = F.sum(F.when(F.col("discount") > literal(cut), F.col("lines")).otherwise(0))
     totals = facts.totals(key, orders=True, extra=[high.alias("high_lines")])
+    if open_ended:
+        totals = durable(totals, "members")
+        all_sales = totals.agg(F.sum("sales")).scalar()
+    else:
+        all_sales = F.sum("sales").over(Window.partitionBy())
     return (
-        totals.withColumn("_all_sales", F.sum("sales").over(Window.partitionBy()))
+        totals.withColumn("_all_sales", all_sales)
         .select(
             key,
             "orders",

@@ -164,3 +164,12 @@ def test_stability_does_not_depend_on_row_order(spark):
         mixed = random.Random(seed).sample(rows, len(rows))
         shuffled = spark.createDataFrame(mixed, sweep.schema).coalesce(1)
         assert findings.sweep_stability(shuffled).collect() == want
+
+
+def test_open_ended_dimensions_give_the_same_rows(spark):
+    lines = order_lines(spark, f"{TESTDATA}/sf0.001")
+    few = reports.dimension_performance(line_facts(lines), "product_id", 0.05)
+    many = reports.dimension_performance(line_facts(lines), "product_id", 0.05, open_ended=True)
+    assert many.collect() == few.collect()
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "NestedLoop" not in plan

@@ -99,6 +99,11 @@ def test_small_sides_are_broadcast_and_columns_pruned(spark):
     }
 
 
+@pytest.mark.parametrize("name", ["region_performance", "state_loss_split", "quality_gates"])
+def test_a_small_customer_table_is_not_shuffled(spark, name):
+    assert "SortMergeJoin" not in initial_plan(QUERIES[name](spark, f"{TESTDATA}/sf0.01"))
+
+
 def test_unused_tables_are_not_read(spark):
     plan = initial_plan(QUERIES["measure_domain_gaps"](spark, f"{TESTDATA}/sf0.01"))
     assert "Join" not in plan and plan.count("FileScan") == 1
