@@ -1,5 +1,8 @@
 import importlib
 
+import pytest
+from odd import strange
+
 from ledgerlens.llm import queries
 
 FOLDER = "/root/testdata/sf0.01"
@@ -30,3 +33,18 @@ def test_every_operator_is_registered():
     for n in range(1, 11):
         assert sum(x.startswith(f"op{n}_") for x in names) == 1
     assert "pipeline" in names
+
+
+@pytest.mark.parametrize("rows", [100, 0])
+def test_stages_take_strange_rows_and_none(spark, rows):
+    docs = strange(spark).limit(rows)
+    for name, stage in importlib.import_module("corpus_pipeline").STAGES:
+        done = stage(spark, docs, FOLDER)
+        found = done.collect()
+        if name == "packing":
+            assert len(found) == (0 if rows == 0 else 9 + 38)  # the long text takes 38 pieces
+        else:
+            assert done.schema == docs.schema
+            assert len(found) <= docs.count()
+            if name != "near_dedup":
+                assert rows == 0 or len(found) >= 8  # nothing here is plainly bad or toxic
