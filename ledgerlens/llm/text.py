@@ -153,7 +153,7 @@ def word_hashes(column: pa.Array, classes: np.ndarray) -> tuple[np.ndarray, np.n
     return np.concatenate([d for d, _ in found]), np.concatenate([h for _, h in found])
 
 
-def chunks(batch: pa.RecordBatch, text: str, size: int = 8 * PIECE) -> Iterator[pa.RecordBatch]:
+def chunks(batch: pa.RecordBatch, text: str, size: int = 2 * PIECE) -> Iterator[pa.RecordBatch]:
     """A batch in slices of about `size` bytes of text, one row at least."""
     _, offsets = strings(batch.column(batch.schema.get_field_index(text)))
     at = 0

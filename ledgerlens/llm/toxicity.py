@@ -44,7 +44,7 @@ FLOOR = 0.01  # added to the expected number of toxic tokens before its logarith
 class Settings:
     bits: int = 18  # slots of the hashed features
     most_toxic: int = 3000  # bounds of the training sample
-    most_clean: int = 12_000
+    most_clean: int = 9_000
     longest: int = 64  # tokens of a sequence
     support: int = 3  # toxic documents that a marker occurs in, at least
     purity: float = 0.97  # share of toxic documents among those with the marker, both kinds even
@@ -211,7 +211,7 @@ def _document_words(column: pa.Array) -> Iterator[tuple[np.ndarray, list[np.ndar
 
 def _counts(column: pa.Array, keep: np.ndarray, among: np.ndarray | None = None):
     """(marks, documents with each): over the kept documents, of all marks or those in `among`."""
-    found = []
+    total = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
     for doc, marks in _document_words(column):
         mark = np.concatenate(marks)
         at = keep[doc]
@@ -222,10 +222,11 @@ def _counts(column: pa.Array, keep: np.ndarray, among: np.ndarray | None = None)
         # A document counts once for a mark; (mark, document) goes by its hash. A document that
         # is longer than a piece counts once for each.
         _, first = np.unique(mix(mark + doc * np.uint64(0x9E3779B97F4A7C15)), return_index=True)
-        found.append(mark[first])
-    if not found:
-        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
-    return np.unique(np.concatenate(found), return_counts=True)
+        own, count = np.unique(mark[first], return_counts=True)
+        held, place = np.unique(np.concatenate([total[0], own]), return_inverse=True)
+        both = np.bincount(place, weights=np.concatenate([total[1], count]), minlength=len(held))
+        total = held, both.astype(np.int64)
+    return total
 
 
 def _spread(column: pa.Array) -> np.ndarray:
@@ -349,7 +350,9 @@ def fit(documents: DataFrame, labels: DataFrame, settings: Settings = Settings()
 
     def learn(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["doc_id", "label"], kind="stable")
-        m = train(pa.array(group["text"], type=pa.large_string()), group["label"].to_numpy(), settings)
+        labels, column = group["label"].to_numpy(), pa.array(group["text"], type=pa.large_string())
+        del group  # the sample is held once
+        m = train(column, labels, settings)
         flat = [np.asarray(a, dtype=np.float64).tobytes() for a in (m.weights, m.moves, m.calibration)]
         return pd.DataFrame([flat], columns=["weights", "moves", "calibration"])
 
