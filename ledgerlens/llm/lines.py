@@ -6,6 +6,12 @@ least `least_pages` pages, is boilerplate of that host and leaves all its pages.
 compared without white space at their ends and are known by 64-bit hash within their host; blank
 lines stay, as they hold nothing.
 
+No host is exempt for being small. Where the ratio comes to fewer than `few` pages, one pair of
+copies would pass it, so there the bar is `few` pages, or all pages of a host that has fewer: with
+the defaults all of 2 or 3 pages, 3 of 10 (30 %), 3 of 29, and from 30 pages on the ratio itself. A
+lone page repeats nothing and keeps its lines; two copies that are all of a host lose theirs.
+`least_pages` is a floor for hosts of any size: above 2 it exempts small hosts again.
+
 DataFrame functions only. Only (host, line hash) pairs are shuffled, summed on the map side first.
 A host's boilerplate is one array of hashes: its length is at most the mean number of lines on a
 page divided by the ratio, however large the host, so no group grows with the data. The pages
@@ -37,7 +43,7 @@ def _blank(line: Column) -> Column:
 
 
 def boilerplate(
-    pages: DataFrame, host: str, text: str, ratio: float = 0.1, least_pages: int = 10
+    pages: DataFrame, host: str, text: str, ratio: float = 0.1, least_pages: int = 2, few: int = 3
 ) -> DataFrame:
     """(host, lines): the hashes of each host's boilerplate lines, hosts without any left out."""
     page = pages.select(F.col(host).alias("host"), F.col(text).alias("text")).filter("host IS NOT NULL")
@@ -48,18 +54,19 @@ def boilerplate(
         .groupBy("host", "line").agg(F.count(F.lit(1)).alias("on"))
         .filter(F.col("on") >= least_pages)
     )
-    common = counts.join(totals, "host").filter(F.col("on") > ratio * F.col("pages"))
+    bar = (F.col("on") > ratio * F.col("pages")) & (F.col("on") >= F.least("pages", F.lit(few)))
+    common = counts.join(totals, "host").filter(bar)
     return common.groupBy("host").agg(F.sort_array(F.collect_list("line")).alias("lines"))
 
 
 def drop_boilerplate(
-    pages: DataFrame, host: str, text: str, ratio: float = 0.1, least_pages: int = 10
+    pages: DataFrame, host: str, text: str, ratio: float = 0.1, least_pages: int = 2, few: int = 3
 ) -> DataFrame:
     """(row, text, dropped): each page's row as a struct, its remaining text, lines dropped."""
     rows = pages.select(F.struct("*").alias("row"), F.col(host).alias("host"), F.col(text).alias("text"))
     # Written first: a small table is then known to be small and goes to the pages, and a large
     # one is joined by a plain shuffle, whose hot hosts can be split.
-    found = durable(boilerplate(pages, host, text, ratio, least_pages), "boilerplate")
+    found = durable(boilerplate(pages, host, text, ratio, least_pages, few), "boilerplate")
     joined = rows.join(found, "host", "left")
     parts = _lines(F.col("text"))
     # array_except and array_intersect look hashes up in a set, once for a page.
@@ -74,9 +81,9 @@ def drop_boilerplate(
     )
 
 
-def cleaned(documents: DataFrame, ratio: float = 0.1, least_pages: int = 10) -> DataFrame:
+def cleaned(documents: DataFrame, ratio: float = 0.1, least_pages: int = 2, few: int = 3) -> DataFrame:
     """`documents` with boilerplate lines of each source gone and `n_chars` counted anew."""
-    done = drop_boilerplate(documents, "source", "text", ratio, least_pages)
+    done = drop_boilerplate(documents, "source", "text", ratio, least_pages, few)
     columns = []
     for name in documents.columns:
         old = F.col("row").getField(name)

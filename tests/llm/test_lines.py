@@ -62,6 +62,22 @@ def test_strange_rows_and_other_columns(spark):
         assert r["text"] == f"own {r['doc_id']}" and r["n_chars"] == len(r["text"]) and r["hit"] == "x"
 
 
+def test_small_hosts_lose_their_boilerplate(spark):
+    # (pages of the host, pages with the line, whether it goes)
+    cases = [(1, 1, False), (2, 1, False), (2, 2, True), (3, 2, False), (3, 3, True), (9, 9, True),
+             (10, 2, False), (10, 3, True), (12, 3, True), (29, 3, True), (30, 3, False), (30, 4, True),
+             (50, 5, False), (50, 6, True), (100, 10, False), (100, 11, True)]
+    rows = [
+        (1000 * c + k, f"menu\nown {k}" if k < on else f"own {k}", "en", f"host {c}")
+        for c, (pages, on, _) in enumerate(cases) for k in range(pages)
+    ]
+    left = {r["doc_id"]: r["text"] for r in lines.cleaned(documents(spark, rows)).collect()}
+    for c, (pages, on, goes) in enumerate(cases):
+        held = sum("menu" in left[1000 * c + k] for k in range(pages))
+        assert held == (0 if goes else on), (pages, on)
+        assert all(f"own {k}" in left[1000 * c + k] for k in range(pages))
+
+
 def test_no_python_on_the_plan(spark):
     plan = queries.op7_line_dedup(spark, FOLDER)._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
