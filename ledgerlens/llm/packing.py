@@ -26,6 +26,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.llm import near_dup
+from ledgerlens.session import durable
+
 PIECES = "piece long, start long, length long, bin string, bin_start long"
 
 
@@ -76,6 +79,21 @@ def pack_shard(rows: pd.DataFrame, capacity: int) -> tuple[list[int], list[int]]
     return [b for b, _ in found], [at for _, at in found]
 
 
+def clustered(documents: DataFrame) -> DataFrame:
+    """(doc_id, source, text, cluster) of every row: near copies are one cluster, whatever their source.
+
+    Equal texts always are one, also without an id or without words, which near_dup does not link.
+    """
+    own = documents.select("doc_id", "source", "text", F.xxhash64("text").alias("key"))
+    near = near_dup.near_duplicates(documents.select("doc_id", "text"))
+    near = near.filter("doc_id IS NOT NULL AND n_shingles > 0").groupBy("doc_id")
+    near = near.agg(F.xxhash64(F.min("component_id")).alias("component"))
+    # By text, so that a row without an id finds the cluster of its copies.
+    of_text = own.select("doc_id", "key").join(near, "doc_id").groupBy("key").agg(F.min("component").alias("component"))
+    cluster = F.coalesce("component", "key").alias("cluster")
+    return own.join(of_text, "key", "left").select("doc_id", "source", "text", cluster)
+
+
 def pack(
     documents: DataFrame,
     capacity: int = 8192,
@@ -88,16 +106,18 @@ def pack(
     rows with equal texts are one.
     """
     kind = documents.schema["doc_id"].dataType.simpleString()
-    cluster = F.xxhash64("text") if cluster is None else cluster
     rows = documents.select(
         "doc_id",
         F.xxhash64("source").alias("source_key"),
         F.col("source").isNull().alias("no_source"),
-        cluster.alias("cluster"),
+        (F.xxhash64("text") if cluster is None else cluster).alias("cluster"),
         F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n"),
-        F.monotonically_increasing_id().alias("row"),
     )
-    shards = max(1, -(-documents.count() // shard_rows))
+    if cluster is not None:
+        # Clusters come by joins, whose rows have no fixed order: numbered as written, without texts.
+        rows = durable(rows, "lengths")
+    rows = rows.withColumn("row", F.monotonically_increasing_id())
+    shards = max(1, -(-rows.count() // shard_rows))
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)))
     schema = f"doc_id {kind}, {PIECES}"
 

@@ -72,7 +72,8 @@ def op3_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op4_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
-    return packing.pack(table(spark, folder, "documents"))
+    docs = packing.clustered(table(spark, folder, "documents"))
+    return packing.pack(docs, cluster=F.col("cluster"))
 
 
 def op5_fingerprints(spark: SparkSession, folder: str) -> DataFrame:

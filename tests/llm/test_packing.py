@@ -86,3 +86,20 @@ def test_a_third_of_copies_spreads(spark):
     docs = documents(spark, rows)
     pieces = packing.pack(docs, capacity=60, shard_rows=64)
     check(pieces.collect(), docs.collect(), 60)
+
+
+def test_near_copies_of_other_sources_share_no_sequence(spark, tmp_path):
+    rng = random.Random(8)
+    words = [f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(400)]
+    base = [rng.choice(words) for _ in range(60)]
+    near = [(k, " ".join([*base, f"end{chr(97 + k)}"]), "en", f"s{k}") for k in range(12)]
+    rest = [(100 + k, " ".join(rng.choice(words) for _ in range(60)), "en", f"o{k}") for k in range(30)]
+    bare = [(200, "!!! ??", "en", "p"), (201, "!!! ??", "en", "q")]
+    nameless = [(None, near[0][1], "en", "z")]
+    folder = str(tmp_path)
+    documents(spark, near + rest + bare + nameless).write.parquet(f"{folder}/documents.parquet")
+    found = queries.op4_best_fit_packing(spark, folder).collect()
+    assert len(found) == 45
+    held = [p["bin"] for p in found if p["doc_id"] is None or p["doc_id"] < 12]
+    assert len(held) == 13 == len(set(held))
+    assert len({p["bin"] for p in found if p["doc_id"] in (200, 201)}) == 2
