@@ -9,15 +9,19 @@ from pyspark.sql import functions as F
 
 from ledgerlens.llm import (
     chat,
+    divergence,
     embeddings,
     fingerprints,
     language,
+    licences,
     lines,
     near_dup,
     packing,
     pieces,
     quality,
     sample,
+    spelling,
+    sql,
     toxicity,
 )
 from ledgerlens.llm.ship import ship
@@ -144,6 +148,43 @@ def op10_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, folder, "embeddings"))
 
 
+def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    runs = spelling.runs(table(spark, folder, "documents").select("doc_id", "text"), least=7)
+    told = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), "run")
+    h = F.crc32(told.cast("binary"))
+    at = (h % F.length("run")).cast("int")
+    # Some occurrences lose a character, so that there are variants to find.
+    spoilt = F.concat(F.substr("run", F.lit(1), at), F.substr("run", at + 2))
+    words = runs.select(F.when(h % 31 == 0, spoilt).otherwise(F.col("run")).alias("word"))
+    return spelling.variants(spelling.counted(words, least_length=7, least=2), ratio=10)
+
+
+def op12_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = licences.scan(table(spark, folder, "documents").select("doc_id", "text"))
+    base = F.filter("places", lambda p: p["template"] < len(licences.BASE))
+
+    def each(places, field: str):
+        return F.transform(places, lambda p: p[field])
+
+    def labels(places):
+        return F.array_join(F.array_sort(F.array_distinct(each(places, "label"))), ",")
+
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size(base).cast("long").alias("n_base"),
+        F.array_min(each(base, "start")).alias("first_word"),
+        F.array_max(each(base, "start")).alias("last_word"),
+        labels(base).alias("base_labels"),
+        labels(F.col("places")).alias("labels"),
+        F.coalesce(F.array_max(each(F.col("places"), "share")), F.lit(0.0)).alias("score"),
+    )
+
+
+def op13_divergence_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.audit(table(spark, folder, "documents").select("lang", "source", "text"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
     "op2_chat_formatting": op2_chat_formatting,
@@ -155,6 +196,9 @@ QUERIES: dict[str, Query] = {
     "op8_toxicity": op8_toxicity,
     "op9_minhash_dedup": op9_minhash_dedup,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_license_scan": op12_license_scan,
+    "op13_divergence_audit": op13_divergence_audit,
 }
 # Models, sketches, packing and segmentations are not expressible in SQL, near-duplicate
 # components not on whole tables in reasonable time; tests/llm holds brute force for them.
@@ -182,6 +226,7 @@ def _escaped_chars(text: str) -> str:
 
 
 ORACLES: dict[str, str] = {
+    **sql.ORACLES,
     "op2_chat_formatting": f"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
