@@ -7,8 +7,11 @@ complete score, so complete paths come out best first.
 
 No piece holds a space after another character (checked when the vocabulary is read), so the lattice
 falls apart before every run of spaces; likewise at line ends and before punctuation. Each part,
-about a word, is solved by itself and remembered; the N best of a text are combined from
-the parts with the smallest loss: a part outside the N - 1 smallest cannot be among them.
+about a word, is solved by itself; the N best of a text are combined from the parts with the smallest
+loss: a part outside the N - 1 smallest cannot be among them. Parts are cut from the bytes of a whole
+Arrow batch at once and known by 64-bit hash. The forward pass runs over all distinct parts of a batch
+side by side, place by place; only parts of more than `LONG` bytes and the parts that give a text its
+alternatives are handled one by one.
 
 Characters without a piece become byte pieces, so decoding gives back any text, code point by code
 point. The vocabulary comes from an installed file that is only read. It is used as it is, with one
@@ -22,7 +25,6 @@ Repeated rows and null ids are rows like any others, extra columns are ignored.
 from __future__ import annotations
 
 import heapq
-import re
 import string
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -34,32 +36,58 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql.types import BooleanType, StringType, StructType
 
-from ledgerlens.llm.text import chunks
+from ledgerlens.llm.text import POWERS, VALUES, chunks, mix, strings
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 UNKNOWN_BYTE = 10.0  # a byte piece scores this much below the worst ordinary piece
-REMEMBERED = 250_000  # parts, of at most 40 characters, in each of two generations
+LONG = 64  # bytes of a part that is solved by itself
+REMEMBERED = 1 << 14  # parts of at most 40 characters whose alternatives are kept
 
 
-def _parts(pairs: set[tuple[str, str]]) -> str:
-    """A pattern of parts that no piece spans, given the neighbours inside pieces.
+@dataclass
+class Cuts:
+    """Between which neighbouring characters no piece of a vocabulary lies, in terms of bytes.
 
     Parts begin before runs of spaces, at line ends, and before punctuation that follows a
-    letter, as far as no piece has such neighbours.
+    letter, as far as no piece has such neighbours. Letters are those of ASCII and of U+00C0 to U+00FF.
     """
-    if any(b == SPACE != a for a, b in pairs):
-        return "[^▁]+"
-    if any("\n" in pair for pair in pairs):
-        return " *[^ ▁]+| +"
-    # A word character for regular expressions, without digits and signs such as a raised two.
-    word = re.compile(r"[^\W\d_]")
-    signs = "".join(sorted({a for a, _ in pairs if word.match(a) and not a.isalpha()}))
-    marks = set(string.punctuation) - {b for a, b in pairs if a.isalpha()}
-    if not marks:
-        return " *[^ \n▁]+| +|\n"
-    held = re.escape("".join(sorted(marks)))
-    return rf" *(?:[^ \n▁]*?[^\W\d_{signs}](?=[{held}])|[^ \n▁]+)| +|\n"
+
+    spaces: bool
+    lines: bool
+    marks: np.ndarray  # by byte
+    letters: np.ndarray  # by byte; from 256 on, by the last byte of a letter that begins with 195
+
+    @classmethod
+    def of(cls, pairs: set[tuple[str, str]]) -> Cuts:
+        marks, letters = np.zeros(256, dtype=bool), np.zeros(512, dtype=bool)
+        letters[[k if k < 128 else 256 + k - 64 for k in (*range(128), *range(192, 256)) if chr(k).isalpha()]] = True
+        spaces = not any(b == SPACE != a for a, b in pairs)
+        lines = spaces and not any("\n" in pair for pair in pairs)
+        if lines:
+            signs = set(string.punctuation) - {b for a, b in pairs if a.isalpha()}
+            marks[[ord(c) for c in signs]] = True
+        return cls(spaces, lines, marks, letters)
+
+    def __call__(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """The first byte of every part, and the end; no part goes from one text into the next."""
+        size = len(data)
+        edge = np.zeros(size + 1, dtype=bool)
+        edge[offsets] = True
+        edge[size] = True
+        if size:
+            own = np.flatnonzero(data[:-2] == 0xE2)  # a text's own sign for spaces is a part by itself
+            own = own[(data[own + 1] == 0x96) & (data[own + 2] == 0x81)]
+            edge[own] = edge[own + 3] = True
+            before, after = data[:-1], data[1:]
+            if self.spaces:
+                edge[1:-1] |= (after == 32) & (before != 32)
+            if self.lines:
+                edge[1:-1] |= (after == 10) | (before == 10)
+                at = np.flatnonzero(self.marks[after]) + 1
+                wide = (at >= 2) & (data[at - 2] == 0xC3)
+                edge[at[self.letters[data[at - 1] + 256 * wide]]] = True
+        return np.flatnonzero(edge)
 
 
 def _forward(edges) -> list[float]:
@@ -108,12 +136,11 @@ class Vocabulary:
     found: dict[str, tuple[int, float] | None]
     byte_ids: list[int]
     byte_score: float
-    parts: str  # pattern of the parts that no piece spans
+    cuts: Cuts
     # Made and kept by each worker for itself.
     grown: dict | None = None
     longest: int = 1
-    young: dict = field(default_factory=dict)
-    old: dict = field(default_factory=dict)
+    hashed: list | None = None
     others: dict = field(default_factory=dict)
 
     @classmethod
@@ -144,9 +171,9 @@ class Vocabulary:
                 found.setdefault(name[:k], None)
         for name, i, s in ordinary:
             found[name] = (i, float(s))
-        parts = _parts({pair for name, _, _ in ordinary for pair in zip(name, name[1:])})
+        cuts = Cuts.of({pair for name, _, _ in ordinary for pair in zip(name, name[1:])})
         worst = min((s for _, _, s in ordinary), default=0.0) - UNKNOWN_BYTE
-        return cls(text, found, byte_ids, float(worst), parts + "|▁")
+        return cls(text, found, byte_ids, float(worst), cuts)
 
     # -- one part
 
@@ -168,20 +195,6 @@ class Vocabulary:
             out.append(own)
         return out
 
-    def best(self, part: str) -> tuple[bytes, float, float]:
-        """(ids, score, what the second best segmentation loses; infinite without one).
-
-        Ids are kept as the bytes of 32-bit numbers, which takes little room and joins fast.
-        """
-        kept = self.young.get(part)
-        if kept is None:
-            kept = self.old.get(part) or self._solve(part)
-            if len(part) <= 40:
-                if len(self.young) >= REMEMBERED:
-                    self.old, self.young = self.young, {}
-                self.young[part] = kept
-        return kept
-
     def _solve(self, part: str) -> tuple[bytes, float, float]:
         """The forward pass, keeping the two best scores of each place and the best way there."""
         if part == SPACE:
@@ -247,13 +260,13 @@ class Vocabulary:
         """
         kept = self.others.get((part, n))
         if kept is None:
-            own, score, _ = self.best(part)
+            own, score, _ = self._solve(part)
             kept = [
                 (score - s, np.array(ids, dtype=np.int32).tobytes() == own, ids)
                 for s, ids in islice(self.n_best(part), n)
             ]
             if len(part) <= 40:
-                if len(self.others) >= REMEMBERED // 16:
+                if len(self.others) >= REMEMBERED:
                     self.others = {}
                 self.others[part, n] = kept
         return kept
@@ -272,45 +285,220 @@ class Vocabulary:
         edges = self.edges(part.replace(" ", SPACE))
         yield from _search(edges, _forward(edges))
 
-    # -- a text
+    # -- many parts
 
-    def segment(self, text: str, n: int) -> tuple[np.ndarray, float, list[tuple[float, list]]]:
-        """(ids of the best, its score, alternatives): the n - 1 next best.
+    @property
+    def by_size(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Beginnings of pieces of 1, 2, ... bytes: (sorted hashes, ids, scores, whether a piece goes on).
+
+        The id is -1 where the beginning is no piece itself.
+        """
+        if self.hashed is None:
+            sizes: list[dict[bytes, list]] = []
+            for name, hit in self.found.items():
+                if hit is not None:
+                    spelt = name.replace(SPACE, " ").encode()
+                    sizes += [{} for _ in range(len(spelt) - len(sizes))]
+                    for k in range(1, len(spelt)):
+                        sizes[k - 1].setdefault(spelt[:k], [-1, 0.0, False])[2] = True
+                    sizes[len(spelt) - 1].setdefault(spelt, [-1, 0.0, False])[:2] = hit
+            self.hashed = []
+            for size, own in enumerate(sizes, 1):
+                data = np.frombuffer(b"".join(own), dtype=np.uint8)
+                start = np.arange(len(own)) * size
+                hashes = _ranges(data, _sums(data), start, start + size)
+                order = np.argsort(hashes)
+                columns = [np.array([x[k] for x in own.values()])[order] for k in range(3)]
+                self.hashed.append((hashes[order], *columns))
+        return self.hashed
+
+    def _edges_of(self, data, sums, place, room) -> tuple[np.ndarray, ...]:
+        """(number, size, id, score) of all edges that begin at the given places of the data.
+
+        `room` is how many bytes are left of a place's part; an edge of bytes has id -1.
+        """
+        lead = data[place]
+        width = 1 + (lead >= 0xC0) + (lead >= 0xE0) + (lead >= 0xF0)
+        begins = np.flatnonzero((lead & 0xC0) != 0x80)
+        alone = np.zeros(len(place), dtype=bool)  # whether the character is a piece
+        found, at = [], begins
+        for size, (hashes, ids, scores, more) in enumerate(self.by_size, 1):
+            at = at[room[at] >= size]
+            if not len(at):
+                break
+            key = _ranges(data, sums, place[at], place[at] + size)
+            k = np.minimum(np.searchsorted(hashes, key), len(hashes) - 1)
+            known = hashes[k] == key
+            at, k = at[known], k[known]
+            piece = ids[k] >= 0
+            hit, own = at[piece], k[piece]
+            alone[hit] |= width[hit] == size
+            found.append((hit, np.full(len(hit), size), ids[own], scores[own]))
+            at = at[more[k]]
+        at = begins[~alone[begins]]
+        found.append((at, width[at].astype(np.int64), np.full(len(at), -1), width[at] * self.byte_score))
+        return tuple(map(np.concatenate, zip(*found)))
+
+    def _solved(self, data, sums, start, end) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of all parts, how many are of each, best score, loss of the second best) of byte ranges.
+
+        As `_solve`, for all parts at once: edges are taken by the offset they begin at, so every
+        round extends the best and second best scores of each part by the edges of one place.
+        """
+        length = end - start
+        first = np.cumsum(length) - length  # of a part's places
+        part = np.repeat(np.arange(len(start)), length)
+        offset = np.arange(int(length.sum())) - first[part]
+        place = start[part] + offset
+        at, size, ids, scores = self._edges_of(data, sums, place, length[part] - offset)
+        order = np.argsort(offset[at].astype(np.uint8), kind="stable")  # at most LONG
+        at, size, ids, scores = at[order], size[order], ids[order], scores[order]
+        source = at + part[at]  # a part has one node more than places
+        target = source + size
+        nodes = len(place) + len(start)
+        best, second = np.full(nodes, -np.inf), np.full(nodes, -np.inf)
+        best[first + np.arange(len(start))] = 0
+        back = np.zeros(nodes, dtype=np.int64)  # the edge by which a node is reached best
+        rounds = np.searchsorted(offset[at], np.arange(int(length.max(initial=0)) + 1))
+        for a, b in zip(rounds[:-1].tolist(), rounds[1:].tolist()):
+            i, j, s = source[a:b], target[a:b], scores[a:b]
+            reached, before = best[i] + s, best[j]
+            better = reached > before
+            second[j] = np.where(
+                better, np.maximum(before, second[i] + s), np.maximum(second[j], reached)
+            )
+            best[j] = np.where(better, reached, before)
+            back[j[better]] = a + np.flatnonzero(better)
+        last = first + np.arange(len(start)) + length
+        # Each place holds the id of the chosen edge that begins there, if one does.
+        told = np.full(len(place), -1, dtype=np.int32)
+        byte_ids = np.array(self.byte_ids, dtype=np.int32)
+        now = last[length > 0]
+        own = np.flatnonzero(length > 0)
+        while len(now):
+            edge = back[now]
+            now = source[edge]
+            begin = now - own
+            spelt = ids[edge] >= 0
+            told[begin[spelt]] = ids[edge][spelt]
+            for k in range(4):
+                more = begin[~spelt & (size[edge] > k)] + k
+                told[more] = byte_ids[data[place[more]]]
+            left = begin > first[own]
+            now, own = now[left], own[left]
+        counts = np.bincount(part[told >= 0], minlength=len(start))
+        return told[told >= 0], counts, best[last], best[last] - second[last]
+
+    def _each_solved(self, data, sums, start, end) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """`_solved` for parts of any length."""
+        short = end - start <= LONG
+        ids, counts, score, loss = self._solved(data, sums, start[short], end[short])
+        if short.all():
+            return ids, counts, score, loss
+        order = np.concatenate([np.flatnonzero(short), np.flatnonzero(~short)])
+        long = [
+            self._solve(data[a:b].tobytes().decode())
+            for a, b in zip(start[~short].tolist(), end[~short].tolist())
+        ]
+        counts = np.concatenate([counts, [len(k[0]) // 4 for k in long]])
+        score = np.concatenate([score, [k[1] for k in long]])
+        loss = np.concatenate([loss, [k[2] for k in long]])
+        ids = np.concatenate([ids, *[np.frombuffer(k[0], dtype=np.int32) for k in long]])
+        # Back to the order of the parts.
+        place = np.argsort(order)
+        firsts = (np.cumsum(counts) - counts)[place]
+        counts = counts[place]
+        ends = np.cumsum(counts)
+        gathered = ids[np.repeat(firsts - (ends - counts), counts) + np.arange(int(counts.sum()))]
+        return gathered, counts, score[place], loss[place]
+
+    # -- texts
+
+    def segments(self, texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list]]:
+        """(ids of all texts, offsets of theirs, scores of the best, alternatives): the n - 1 next best.
 
         An alternative is its score and its changes: (first piece, pieces replaced, ids instead).
         """
-        parts = re.findall(self.parts, " " + text) if text else []
-        young, best = self.young, self.best
-        kept = [young.get(p) or best(p) for p in parts]
-        if not kept:
-            return np.zeros(0, dtype=np.int32), 0.0, []
-        own, scores, losses = zip(*kept)
-        ids, score = np.frombuffer(b"".join(own), dtype=np.int32), float(sum(scores))
-        if n <= 1:
-            return ids, score, []
-        loss = np.array(losses)
-        if len(loss) < n:
-            few = np.arange(len(loss))
-        else:
-            bar = np.partition(loss, n - 2)[n - 2]
-            few = np.concatenate([np.flatnonzero(loss < bar), np.flatnonzero(loss == bar)])[: n - 1]
-        found: list[tuple[float, list[tuple[int, int, tuple[int, ...]]]]] = [(0.0, [])]
-        for at in sorted(int(k) for k in few if np.isfinite(loss[k])):
-            first, count = sum(map(len, own[:at])) // 4, len(own[at]) // 4
-            others = [
-                (lost, [] if same else [(first, count, other)])
-                for lost, same, other in self._losses(parts[at], n)
-            ]
-            both = [(a + b, x + y) for a, x in found for b, y in others]
-            found = sorted(both, key=lambda t: (t[0], t[1]))[:n]
-        rest = [(lost, changes) for lost, changes in found if changes][: n - 1]
-        return ids, score, [(score - lost, changes) for lost, changes in rest]
+        data, offsets = _spaced(texts)
+        rows = len(texts)
+        cuts = self.cuts(data, offsets)
+        start, end = cuts[:-1], cuts[1:]
+        sums = _sums(data)
+        _, place, part = np.unique(_ranges(data, sums, start, end), return_index=True, return_inverse=True)
+        held, size, score, loss = self._each_solved(data, sums, start[place], end[place])
+        # The ids of every part, in one run: those of the distinct parts, gathered.
+        first = (np.cumsum(size) - size)[part]
+        size, score, loss = size[part], score[part], loss[part]
+        ends = np.cumsum(size)
+        ids = held[np.repeat(first - (ends - size), size) + np.arange(int(size.sum()))]
+        # The parts of each text.
+        bounds = np.searchsorted(start, offsets)
+        piece = np.concatenate([[0], ends])
+        scores = np.zeros(rows)
+        filled = np.flatnonzero(np.diff(bounds))
+        if len(filled):
+            scores[filled] = np.add.reduceat(score, bounds[filled])
+        others: list[list] = [[] for _ in range(rows)]
+        if n > 1:
+            for row in filled.tolist():
+                a, b = int(bounds[row]), int(bounds[row + 1])
+                few = a + _least(loss[a:b], n - 1)
+                changed = [
+                    (int(piece[k] - piece[a]), int(size[k]), self._losses(data[start[k] : end[k]].tobytes().decode(), n))
+                    for k in few.tolist()
+                ]
+                others[row] = [(float(scores[row]) - lost, c) for lost, c in _combined(changed, n)]
+        return ids, piece[bounds], scores, others
+
+    def segment(self, text: str, n: int) -> tuple[np.ndarray, float, list[tuple[float, list]]]:
+        """The ids of the best segmentation of one text, its score, alternatives."""
+        ids, _, scores, others = self.segments(pa.array([text]), n)
+        return ids, float(scores[0]), others[0]
 
     def decode(self, ids) -> str:
         """The text of a segmentation."""
         return b"".join(map(self.text.__getitem__, ids))[1:].decode()
 
 
+def _spaced(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of texts with a space before each that is not empty, and their offsets."""
+    data, offsets = strings(texts)
+    filled = np.flatnonzero(np.diff(offsets))
+    return np.insert(data, offsets[filled], 32), offsets + np.concatenate([[0], np.cumsum(np.diff(offsets) > 0)])
+
+
+def _sums(data: np.ndarray) -> np.ndarray:
+    """Prefix sums of a polynomial over the bytes."""
+    sums = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum(VALUES[data] * POWERS.to(len(data) + 1)[0][: len(data)], dtype=np.uint64, out=sums[1:])
+    return sums
+
+
+def _ranges(data: np.ndarray, sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte ranges."""
+    return mix((sums[end] - sums[start]) * POWERS.to(len(data) + 1)[1][start])
+
+
+def _least(loss: np.ndarray, n: int) -> np.ndarray:
+    """Where the n smallest finite losses are, in order of place."""
+    if len(loss) > n:
+        bar = np.partition(loss, n - 1)[n - 1]
+        few = np.concatenate([np.flatnonzero(loss < bar), np.flatnonzero(loss == bar)])[:n]
+    else:
+        few = np.arange(len(loss))
+    return np.sort(few[np.isfinite(loss[few])])
+
+
+def _combined(changed: list[tuple[int, int, list]], n: int) -> list[tuple[float, list]]:
+    """(loss, changes) of the n - 1 best ways of replacing some parts' segmentations."""
+    found: list[tuple[float, list[tuple[int, int, tuple[int, ...]]]]] = [(0.0, [])]
+    for first, count, losses in changed:
+        others = [(lost, [] if same else [(first, count, ids)]) for lost, same, ids in losses]
+        both = [(a + b, x + y) for a, x in found for b, y in others]
+        found = sorted(both, key=lambda t: (t[0], t[1]))[:n]
+    return [(lost, changes) for lost, changes in found if changes][: n - 1]
+
+
 @dataclass
 class Spelling:
     """All pieces' bytes in one run, to spell whole columns of ids at once."""
@@ -361,26 +549,28 @@ def encode(documents: DataFrame, vocabulary: Vocabulary, n: int = 4) -> DataFram
         v = sent.value
         for whole in batches:
             for batch in chunks(whole, "text"):
-                rows = [None if t is None else v.segment(t, n) for t in batch.column(1).to_pylist()]
-                sizes = [0 if r is None else len(r[0]) for r in rows]
-                held = [r[0] for r in rows if r is not None]
-                flat = np.concatenate(held) if held else np.zeros(0, dtype=np.int32)
-                offsets = pa.array(np.cumsum([0, *sizes]), type=pa.int32())
-                missing = pa.array([r is None for r in rows])
+                texts = batch.column(1)
+                ids, offsets, scores, found = v.segments(texts, n)
+                valid = texts.is_valid().to_numpy(zero_copy_only=False)
                 others = [
-                    None if r is None else [
+                    [
                         {"score": s, "changes": [dict(zip(("first", "dropped", "ids"), c)) for c in x]}
-                        for s, x in r[2]
+                        for s, x in own
                     ]
-                    for r in rows
-                ]
+                    for own in found
+                ]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0),
-                        batch.column(1),
-                        pa.ListArray.from_arrays(offsets, pa.array(flat), mask=missing),
-                        pa.array([None if r is None else r[1] for r in rows], type=pa.float64()),
-                        pa.array(others, type=pa.list_(ALTERNATIVE)),
+                        texts,
+                        pa.ListArray.from_arrays(
+                            pa.array(offsets, type=pa.int32()), pa.array(ids), mask=pa.array(~valid)
+                        ),
+                        pa.array(scores, mask=~valid),
+                        pa.array(
+                            [own if held else None for own, held in zip(others, valid)],
+                            type=pa.list_(ALTERNATIVE),
+                        ),
                     ],
                     names=["doc_id", "text", "ids", "score", "alternatives"],
                 )
