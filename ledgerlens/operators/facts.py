@@ -2,7 +2,9 @@
 
 Every measure a report needs is a sum over lines (or a first/last date). Sums of sums are the
 same sums, so a report can run on the lines directly, or on *cubes*: the lines summed once over
-a few sets of dimensions. Only distinct orders do not add up; beside cubes they are counted apart.
+a few sets of dimensions. Distinct orders do not add up, but the set of them does: one more grouping set
+of the same pass keeps each order once for every member it has, and any union of such sets gives
+exact counts again.
 """
 
 from __future__ import annotations
@@ -10,11 +12,11 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import exact
-from ledgerlens.session import durable, side_by_side
+from ledgerlens.session import durable
 
 SUMS = ("lines", "loss_lines", "sales", "profit", "discount_sales")
 DATES = {"first_date": F.min, "last_date": F.max}
@@ -29,8 +31,9 @@ CUBES = (
 )
 DIMENSIONS = tuple(d for cube in CUBES for d in cube)
 
-# The groupings for which a report counts distinct orders.
+# The groupings for which a report counts distinct orders, and the set that serves them all.
 ORDER_GROUPINGS = ((), ("order_year",), ("region",))
+ORDER_SET = ("order_id", "order_year", "region")
 
 
 @dataclass(frozen=True)
@@ -112,35 +115,35 @@ class Cubes:
         raise ValueError(f"no cube holds {sorted(wanted)} together")
 
 
-def cubes(lines: Facts, order_lines: Facts | None = None) -> Cubes:
-    """Sum the lines once for all reports.
+def grouped_once(lines: Facts) -> DataFrame:
+    """The lines grouped over every set of CUBES and over ORDER_SET, in one pass and one shuffle.
 
-    Distinct orders need one more pass, over three columns; `order_lines` may supply a narrower
-    frame for it.
+    `cube` numbers the sets, the order set last. Sums are made before the shuffle; an order's lines
+    of one task are one row there. The order set hands on no sums.
     """
-    summed = [F.sum(m).alias(m) for m in SUMS]
-    dated = [f(d).alias(d) for d, f in DATES.items()]
+    names = (*DIMENSIONS, "order_id")
+    sets = (*CUBES, ORDER_SET)
     # Spark numbers a grouping set by the dimensions it leaves out, one bit each.
     number = F.lit(None).cast("int")
-    for i, cube in enumerate(CUBES):
-        left_out = "".join("0" if d in cube else "1" for d in DIMENSIONS)
+    for i, cube in enumerate(sets):
+        left_out = "".join("0" if d in cube else "1" for d in names)
         number = F.when(F.grouping_id() == int(left_out, 2), i).otherwise(number)
-    sums = lines.frame.groupingSets([list(c) for c in CUBES], *DIMENSIONS).agg(
-        number.alias("cube"), *summed, *dated
+    grouped = lines.frame.groupingSets([list(c) for c in sets], *names).agg(
+        number.alias("cube"),
+        *[F.sum(m).alias(m) for m in SUMS],
+        *[f(d).alias(d) for d, f in DATES.items()],
     )
+    summed = F.col("cube") < len(CUBES)
+    return grouped.withColumns({m: F.when(summed, F.col(m)) for m in (*SUMS, *DATES)})
 
-    narrow = (order_lines or lines).frame.select("order_id", "order_year", "region").distinct()
-    narrow = narrow.filter("order_id IS NOT NULL")
 
-    def first_of(keys: tuple[str, ...]) -> Column:
-        """1 for one row of each order and member, so that sums of it count distinct orders."""
-        rows = Window.partitionBy("order_id", *keys).orderBy("order_year", "region")
-        return (F.row_number().over(rows) == 1).cast("long")
+def count_orders(orders: DataFrame) -> DataFrame:
+    """(grouping, order_year, region, orders) from distinct rows of ORDER_SET.
 
-    flagged = narrow.repartition("order_id").select(
-        "order_year", "region", *[first_of(g).alias("/".join(("first", *g))) for g in ORDER_GROUPINGS]
-    )
-    # One copy of a row for each grouping; they are summed before anything is shuffled.
+    The rows move once, by order. A row counts for one member of each grouping, so an order's copies
+    are told apart where they are; they are summed before anything else is shuffled. Neither a
+    sort nor a window is needed, and a hot member is as many rows as tasks.
+    """
     copies = F.array(
         *[
             F.struct(
@@ -149,16 +152,20 @@ def cubes(lines: Facts, order_lines: Facts | None = None) -> Cubes:
                     (F.col(c) if c in g else F.lit(None).cast(t)).alias(c)
                     for c, t in (("order_year", "long"), ("region", "string"))
                 ],
-                F.col("/".join(("first", *g))).alias("orders"),
             )
             for g in ORDER_GROUPINGS
         ]
     )
-    counted = (
-        flagged.select(F.inline(copies))
-        .groupBy("grouping", "order_year", "region")
-        .agg(F.sum("orders").alias("orders"))
-    )
-    return Cubes(
-        *side_by_side([lambda: durable(sums, "cubes"), lambda: durable(counted, "orders")])
-    )
+    placed = orders.filter("order_id IS NOT NULL").select(*ORDER_SET).repartition("order_id")
+    members = placed.select("order_id", F.inline(copies)).distinct()
+    return members.groupBy("grouping", "order_year", "region").agg(F.count(F.lit(1)).alias("orders"))
+
+
+def cubes(lines: Facts) -> Cubes:
+    """Read the lines once for all reports: sums of every cube, and distinct orders."""
+    if "order_id" not in lines.frame.columns:
+        raise ValueError("cubes count orders, so the lines need an order_id")
+    # One folder for each set, so that reading a cube touches no order.
+    grouped = durable(grouped_once(lines), "cubes", by="cube")
+    orders = durable(count_orders(grouped.filter(F.col("cube") == len(CUBES))), "orders")
+    return Cubes(grouped.filter(F.col("cube") < len(CUBES)).drop("order_id"), orders)

@@ -124,57 +124,59 @@ def sweep_stability(sweep: DataFrame) -> DataFrame:
     return compared.orderBy("step").drop("step")
 
 
-# What each report hands to the conservation check: its columns for lines, orders, sales, profit.
-CONSERVED: Mapping[str, tuple[str | None, str | None, str, str | None]] = {
-    "01_overview": ("total_rows", "total_orders", "total_sales", "total_profit"),
-    "02_discount_impact": ("order_lines", None, "sales", "profit"),
-    "03_profit_by_subcategory": ("order_lines", None, "sales", "profit"),
-    "04_yearly_trend": (None, "orders", "sales", "profit"),
-    "05_region_performance": (None, "orders", "sales", "profit"),
-    "06_segment_by_category": (None, None, "total_sales", None),
+# What each report shows of orders, sales and profit; None where it shows none.
+CONSERVED: Mapping[str, tuple[str | None, str, str | None]] = {
+    "01_overview": ("total_orders", "total_sales", "total_profit"),
+    "02_discount_impact": (None, "sales", "profit"),
+    "03_profit_by_subcategory": (None, "sales", "profit"),
+    "04_yearly_trend": ("orders", "sales", "profit"),
+    "05_region_performance": ("orders", "sales", "profit"),
+    "06_segment_by_category": (None, "total_sales", None),
 }
 
 
 def conservation(reports: Mapping[str, DataFrame]) -> DataFrame:
-    """Whether the reports add up to the same lines, orders, sales and profit.
+    """Whether the reports add up to the same lines, orders, sales and profit, to the last digit.
 
-    Counts must agree exactly. Rounded amounts may differ by half a unit per row plus half a
-    unit for the rounded total.
+    The reports carry their unrounded sums (`exact=True`). These must be equal, as decimals, in all
+    reports, and every figure shown must be the rounding of the sum beside it. So a cent that one
+    report loses is noticed however many rows there are. Orders are compared where a report
+    counts them.
     """
 
-    def summed(column: str | None, kind: str) -> Column:
-        return (F.sum(column) if column else F.lit(None)).cast(kind)
+    def off(shown: str | None, exact: str) -> Column:
+        if shown is None:
+            return F.lit(False)
+        return ~F.col(shown).eqNullSafe(round_n(F.col(exact), 0))
 
     sums = [
         reports[name].agg(
             F.lit(name).alias("report"),
             F.count(F.lit(1)).alias("n_rows"),
-            summed(lines, "long").alias("order_lines"),
-            summed(orders, "long").alias("orders"),
-            summed(sales, "double").alias("sales"),
-            summed(profit, "double").alias("profit"),
+            F.sum("exact_lines").alias("order_lines"),
+            (F.sum(orders) if orders else F.lit(None)).cast("long").alias("orders"),
+            F.sum("exact_sales").alias("sales"),
+            F.sum("exact_profit").alias("profit"),
+            F.count_if(off(sales, "exact_sales") | off(profit, "exact_profit")).alias("misrounded"),
         )
-        for name, (lines, orders, sales, profit) in CONSERVED.items()
+        for name, (orders, sales, profit) in CONSERVED.items()
     ]
     stacked = reduce(DataFrame.unionByName, sums)
     whole = Window.partitionBy()  # one row per report
 
-    def reference(column: str) -> Column:
-        return F.max(F.when(F.col("report") == "01_overview", F.col(column))).over(whole)
-
-    slack = F.col("n_rows") * 0.5 + 0.5
-
-    def agrees(column: str, tolerance: Column) -> Column:
-        gap = F.abs(F.col(column) - reference(column))
-        return F.coalesce(gap <= tolerance, F.col(column).isNull())
+    def agrees(column: str) -> Column:
+        first = F.max(F.when(F.col("report") == "01_overview", F.col(column))).over(whole)
+        return F.col(column).eqNullSafe(first)
 
     ok = (
-        agrees("order_lines", F.lit(0))
-        & agrees("orders", F.lit(0))
-        & agrees("sales", slack)
-        & agrees("profit", slack)
+        agrees("order_lines")
+        & (agrees("orders") | F.col("orders").isNull())
+        & agrees("sales")
+        & agrees("profit")
+        & (F.col("misrounded") == 0)
     )
-    return stacked.withColumn("ok", ok).orderBy("report")
+    told = {c: F.col(c).cast("double") for c in ("sales", "profit")}
+    return stacked.withColumn("ok", ok).withColumns(told).orderBy("report")
 
 
 def returned_margin(lines: Facts, returned: DataFrame) -> DataFrame:

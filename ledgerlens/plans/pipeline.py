@@ -21,13 +21,18 @@ from ledgerlens.sources.tables import publish, read_report, write_report
 
 
 def build_reports(
-    facts: Facts | Cubes, settings: Settings, registry: Mapping[str, Report] = REPORTS
+    facts: Facts | Cubes,
+    settings: Settings,
+    registry: Mapping[str, Report] = REPORTS,
+    exact: bool = False,
 ) -> dict[str, DataFrame]:
-    """Every registered report, in name order."""
+    """Every registered report, in name order; `exact` adds unrounded sums to those that conserve."""
     if not registry:
         raise ValueError("no reports registered")
     return {
-        name: report.build(facts.serving(report.columns), settings)
+        name: report.build(
+            facts.serving(report.columns), settings, **({"exact": True} if exact and report.conserves else {})
+        )
         for name, report in sorted(registry.items())
     }
 
@@ -92,7 +97,7 @@ def run_pipeline(
     """CSV -> raw -> new staging version -> gates -> staging -> reports -> feeds.
 
     A gate that fails raises GateFailure before staging is replaced or any report is written.
-    The reports share one pass over staging (plus a narrow one for distinct orders).
+    The reports share one pass over staging.
     """
     configure(spark)
     raw_table, staging_table = f"raw.{source}", f"staging.stg_{source}"

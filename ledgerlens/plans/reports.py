@@ -27,11 +27,19 @@ def _line_share(part: str, alias: str) -> Column:
     return pct(F.col(part), F.col("lines"), 1).alias(alias)
 
 
+# Unrounded sums that a report carries beside its figures when asked to.
+EXACT = {"exact_lines": "lines", "exact_sales": "sales", "exact_profit": "profit"}
+
+
+def _exact(wanted: bool) -> list[Column]:
+    return [F.col(c).alias(name) for name, c in EXACT.items()] if wanted else []
+
+
 def _ascending(*names: str) -> list[Column]:
     return [F.col(n).asc_nulls_last() for n in names]
 
 
-def overview(facts: Facts) -> DataFrame:
+def overview(facts: Facts, exact: bool = False) -> DataFrame:
     """Key figures of the whole period in one row."""
     return facts.totals(orders=True).select(
         _money("sales", "total_sales"),
@@ -43,10 +51,13 @@ def overview(facts: Facts) -> DataFrame:
         F.col("first_date").alias("first_order_date"),
         F.col("last_date").alias("last_order_date"),
         _line_share("loss_lines", "loss_row_pct"),
+        *_exact(exact),
     )
 
 
-def discount_impact(facts: Facts, edges: Sequence[float], labels: Sequence[str]) -> DataFrame:
+def discount_impact(
+    facts: Facts, edges: Sequence[float], labels: Sequence[str], exact: bool = False
+) -> DataFrame:
     """Margin by discount band, in order of discount; bands without lines do not appear."""
     banded = Facts(
         facts.frame.withColumn("discount_band", band(F.col("discount"), edges, labels))
@@ -65,11 +76,14 @@ def discount_impact(facts: Facts, edges: Sequence[float], labels: Sequence[str])
             _margin(),
             _line_share("loss_lines", "loss_line_pct"),
             pct(F.col("sales"), F.col("_all_sales"), 1).alias("sales_share_pct"),
+            *_exact(exact),
         )
     )
 
 
-def profit_rank(facts: Facts, *keys: str, ranges: int | None = None) -> DataFrame:
+def profit_rank(
+    facts: Facts, *keys: str, ranges: int | None = None, exact: bool = False
+) -> DataFrame:
     """Groups from worst to best profit, with the running profit. `ranges`: see `rank_and_run`."""
     ranked = rank_and_run(
         facts.totals(*keys), "profit", keys, "profit_rank_worst_first", "cumulative_profit", ranges
@@ -82,13 +96,14 @@ def profit_rank(facts: Facts, *keys: str, ranges: int | None = None) -> DataFram
         _margin(),
         "profit_rank_worst_first",
         _money("cumulative_profit"),
+        *_exact(exact),
     ).orderBy(*_ascending("profit", "profit_rank_worst_first", *keys))
 
 
-def yearly_trend(facts: Facts) -> DataFrame:
+def yearly_trend(facts: Facts, exact: bool = False) -> DataFrame:
     """Years with the change against the row before, taken from the rounded figures."""
     yearly = facts.totals("order_year", orders=True).select(
-        "order_year", "orders", _money("sales"), _money("profit"), _margin()
+        "order_year", "orders", _money("sales"), _money("profit"), _margin(), *_exact(exact)
     )
     by_year = Window.orderBy(F.col("order_year").asc_nulls_last())
     before = F.col("prev_year_sales")
@@ -105,13 +120,16 @@ def yearly_trend(facts: Facts) -> DataFrame:
                 "margin_yoy_pp": round_n(F.col("margin_pct") - F.col("_prev_margin"), 2),
             }
         )
-        .drop("_prev_margin")
+        .select(
+            "order_year", "orders", "sales", "profit", "margin_pct", "prev_year_sales",
+            "sales_yoy_pct", "margin_yoy_pp", *(EXACT if exact else ()),
+        )
         .orderBy(*_ascending("order_year"))
     )
 
 
 def dimension_performance(
-    facts: Facts, key: str, cut: float, open_ended: bool = False
+    facts: Facts, key: str, cut: float, open_ended: bool = False, exact: bool = False
 ) -> DataFrame:
     """Members of one dimension: size, margin, sales-weighted discount, share of high discounts.
 
@@ -137,13 +155,14 @@ def dimension_performance(
             pct(F.col("discount_sales"), F.col("sales"), 2).alias("weighted_discount_pct"),
             _line_share("high_lines", "high_discount_line_pct"),
             _line_share("loss_lines", "loss_line_pct"),
+            *_exact(exact),
         )
         .orderBy(*_ascending("margin_pct", key))
     )
 
 
 def segment_pivot(
-    facts: Facts, row_key: str, pivot_key: str, values: Mapping[str, str]
+    facts: Facts, row_key: str, pivot_key: str, values: Mapping[str, str], exact: bool = False
 ) -> DataFrame:
     """Sales and margin of each listed value side by side, one pass and no pivot discovery job."""
 
@@ -163,7 +182,8 @@ def segment_pivot(
     return (
         facts.totals(row_key, extra=extra)
         .select(
-            row_key, *sales, *margins, _money("sales", "total_sales"), _margin("overall_margin")
+            row_key, *sales, *margins, _money("sales", "total_sales"), _margin("overall_margin"),
+            *_exact(exact),
         )
         .orderBy(F.col("overall_margin").desc_nulls_last(), *_ascending(row_key))
     )
@@ -251,41 +271,43 @@ def threshold_sweep(
 class Report:
     """A named report: how to build it, the staging columns it reads, the order of its rows.
 
-    A leading minus in `order` means descending.
+    A leading minus in `order` means descending. A report that `conserves` covers every line once and
+    takes `exact=True`.
     """
 
-    build: Callable[[Facts, Settings], DataFrame]
+    build: Callable[..., DataFrame]
     columns: tuple[str, ...]
     order: tuple[str, ...] = ()
+    conserves: bool = True
 
 
 # Run in name order.
 REPORTS: dict[str, Report] = {
     "01_overview": Report(
-        lambda f, s: overview(f), ("order_id", "order_date", "sales", "profit")
+        lambda f, s, **more: overview(f, **more), ("order_id", "order_date", "sales", "profit")
     ),
     "02_discount_impact": Report(
-        lambda f, s: discount_impact(f, s.band_edges, s.band_labels),
+        lambda f, s, **more: discount_impact(f, s.band_edges, s.band_labels, **more),
         ("discount", "sales", "profit"),
         ("discount_band",),  # labels start with their position
     ),
     "03_profit_by_subcategory": Report(
-        lambda f, s: profit_rank(f, "category", "sub_category"),
+        lambda f, s, **more: profit_rank(f, "category", "sub_category", **more),
         ("category", "sub_category", "sales", "profit"),
         ("profit_rank_worst_first", "category", "sub_category"),
     ),
     "04_yearly_trend": Report(
-        lambda f, s: yearly_trend(f),
+        lambda f, s, **more: yearly_trend(f, **more),
         ("order_id", "order_date", "sales", "profit"),
         ("order_year",),
     ),
     "05_region_performance": Report(
-        lambda f, s: dimension_performance(f, "region", s.cut),
+        lambda f, s, **more: dimension_performance(f, "region", s.cut, **more),
         ("order_id", "region", "discount", "sales", "profit"),
         ("margin_pct", "region"),
     ),
     "06_segment_by_category": Report(
-        lambda f, s: segment_pivot(f, "segment", "category", s.categories),
+        lambda f, s, **more: segment_pivot(f, "segment", "category", s.categories, **more),
         ("segment", "category", "sales", "profit"),
         ("-overall_margin", "segment"),
     ),
@@ -293,10 +315,12 @@ REPORTS: dict[str, Report] = {
         lambda f, s: loss_split(f, "state", s.cut),
         ("state", "discount", "sales", "profit"),
         ("loss_rank", "state"),
+        conserves=False,  # earning states are left out
     ),
     "08_threshold_sensitivity": Report(
         lambda f, s: threshold_sweep(f, s.thresholds),
         ("discount", "sales", "profit"),
         ("threshold_pct",),
+        conserves=False,  # every threshold covers all lines
     ),
 }

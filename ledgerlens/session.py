@@ -107,13 +107,14 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def durable(df: DataFrame, name: str) -> DataFrame:
+def durable(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Compute once and keep the result as files in the shared folder.
 
-    Losing an executor then costs nothing, and later queries read only the columns they need.
+    Losing an executor then costs nothing, and later queries read only the columns they need, and only
+    the values of column `by` that they ask for.
     """
     folder = new_folder(df.sparkSession, name)
-    df.write.parquet(folder)
+    (df.write.partitionBy(by) if by else df.write).parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 

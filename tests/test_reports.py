@@ -5,13 +5,14 @@ import random
 
 import pytest
 from conftest import TESTDATA
-from ledgerlens.operators.facts import cubes, line_facts
+from ledgerlens.operators.facts import count_orders, cubes, grouped_once, line_facts
 from ledgerlens.plans import findings, reports
 from ledgerlens.plans.pipeline import build_reports
 from ledgerlens.plans.registered import SETTINGS
 from ledgerlens.plans.settings import RETAIL
 from ledgerlens.sources.retail_view import order_lines
 from lines import make
+from pyspark.sql import functions as F
 
 Y = dt.date
 
@@ -105,15 +106,63 @@ def test_loss_totals(spark):
     ]
 
 
+def conserved(f):
+    return {r.report: r.ok for r in findings.conservation(build_reports(f, RETAIL, exact=True)).collect()}
+
+
 def test_conservation_notices_an_order_in_two_regions(spark):
     whole = facts(spark, {"order_id": "A"}, {"order_id": "B", "region": "West"})
     torn = facts(spark, {"order_id": "A"}, {"order_id": "A", "region": "West"})
-    ok = {r.report: r.ok for r in findings.conservation(build_reports(whole, RETAIL)).collect()}
-    assert all(ok.values())
-    ok = {r.report: r.ok for r in findings.conservation(build_reports(torn, RETAIL)).collect()}
+    assert all(conserved(whole).values())
+    ok = conserved(torn)
     assert not ok["05_region_performance"] and ok["04_yearly_trend"]
 
 
+def test_conservation_notices_one_cent(spark):
+    """One of many lines is a cent short in one report; all figures shown stay the same."""
+    f = facts(spark, *[{"sales": 100.25, "region": r, "order_id": f"{r}{k}"} for k in range(40) for r in ("East", "West")])
+    built = build_reports(f, RETAIL, exact=True)
+    assert all(r.ok for r in findings.conservation(built).collect())
+    cent = F.when(F.col("region") == "East", F.col("exact_sales") - F.lit("0.01").cast("decimal(18,6)"))
+    short = built["05_region_performance"].withColumn("exact_sales", F.coalesce(cent, "exact_sales"))
+    ok = {r.report: r.ok for r in findings.conservation({**built, "05_region_performance": short}).collect()}
+    assert [name for name, good in ok.items() if not good] == ["05_region_performance"]
+    wrong = built["06_segment_by_category"].withColumn("total_sales", F.col("total_sales") + 1)
+    rows = findings.conservation({**built, "06_segment_by_category": wrong}).collect()
+    assert [(r.report, r.misrounded) for r in rows if not r.ok] == [("06_segment_by_category", 1)]
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_all_reports_read_the_lines_once_without_sorting(spark):
+    """One scan of each table for sums and orders; hash aggregates only, and orders move once."""
+    grouped = grouped_once(line_facts(order_lines(spark, f"{TESTDATA}/sf0.001")))
+    plan = plan_of(grouped)
+    for table, column in (("lineitem", "l_orderkey"), ("orders", "o_orderkey")):
+        assert sum("FileScan" in x and column in x for x in plan.splitlines()) == 1, table
+    aggregated = plan.split("Expand")[0]
+    assert "Window" not in plan and "SortAggregate" not in plan and "Sort " not in aggregated
+    rows = spark.createDataFrame([], "order_id string, order_year long, region string")
+    counted = plan_of(count_orders(rows))
+    assert "Window" not in counted and "Sort" not in counted
+    assert counted.count("Exchange") == 2  # the orders, and a count for each member
+
+
+def test_orders_count_once_for_each_member(spark):
+    f = facts(spark, {"order_id": "A"}, {"order_id": "A", "order_date": Y(2017, 1, 1)},
+              {"order_id": "A", "region": "West"}, {"order_id": None}, {"order_id": "B", "region": None})
+    shared = cubes(f)
+    got = {(r.grouping, r.order_year, r.region): r.orders for r in shared.order_counts.collect()}
+    assert got == {
+        ("", None, None): 2, ("order_year", 2016, None): 2, ("order_year", 2017, None): 1,
+        ("region", None, "Central"): 1, ("region", None, "West"): 1, ("region", None, None): 1,
+    }
+    with pytest.raises(ValueError, match="order_id"):
+        cubes(line_facts(make(spark, {}).drop("order_id")))
+
+
 def test_returned_margin(spark):
     f = facts(spark, {"order_id": "A"}, {"order_id": "A"}, {"order_id": "B"})
     back = spark.createDataFrame([("A",), ("Z",)], "order_id string")
