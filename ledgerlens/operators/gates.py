@@ -111,24 +111,51 @@ def _mixed_orders(orders: DataFrame, rules: GateRules) -> DataFrame:
     return per_order.agg(F.count_if("mixed").alias("mixed"))
 
 
+def line_counts(rules: GateRules) -> list[Column]:
+    """Aggregates that count the offending lines of each line rule, by its name."""
+    return [F.count_if(condition).alias(name) for name, _, condition in _row_rules(rules)]
+
+
+def _surplus_keys(rows: DataFrame, key: str) -> DataFrame:
+    """One row: how many rows repeat a key or lack one.
+
+    Hashes first, then the keys themselves where hashes repeat: a hash that occurs once proves its key
+    unique, so only eight bytes of such a key are shuffled, and only keys that share a hash are compared
+    by their text. Each text goes once for every task that holds it.
+    """
+    hashed = rows.select(key, F.when(F.col(key).isNotNull(), F.xxhash64(key)).alias("_hash"))
+    per_hash = hashed.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n"))
+    alone = F.count_if((F.col("_n") == 1) & F.col("_hash").isNotNull())
+    not_alone = per_hash.agg((F.coalesce(F.sum("_n"), F.lit(0)) - alone).alias("surplus"))
+    shared = per_hash.filter("_n > 1 AND _hash IS NOT NULL").select("_hash")
+    distinct = hashed.join(shared, "_hash", "left_semi").select(key).distinct()
+    found = distinct.agg((-F.count(F.lit(1))).alias("surplus"))
+    return not_alone.union(found).agg(F.sum("surplus").alias("surplus"))
+
+
 def run_gates(
     orders: DataFrame,
     rules: GateRules,
     key_rows: DataFrame | None = None,
     grain_rows: DataFrame | None = None,
+    counted: Mapping[str, int] | None = None,
 ) -> DataFrame:
     """Result rows (check_name, description, failed, ok).
 
     Three passes instead of one per gate. All line rules are counted side by side without a shuffle;
     the order grain takes one aggregate per order; uniqueness needs every key once. `key_rows` and
-    `grain_rows` may supply narrower frames with the same rows for the last two.
+    `grain_rows` may supply narrower frames with the same rows for the last two. `counted` holds the
+    number of `rows` and the `line_counts` where they are known already, from the write: one pass less.
     """
     row_rules = _row_rules(rules)
-    counted = orders.agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.count_if(condition).alias(name) for name, _, condition in row_rules],
-    )
-    missing_rows = F.abs(F.col("n") - F.lit(rules.expected_rows))
+    if counted is None:
+        counts = orders.agg(F.count(F.lit(1)).alias("rows"), *line_counts(rules))
+    else:
+        names = ["rows", *(name for name, _, _ in row_rules)]
+        counts = orders.sparkSession.createDataFrame(
+            [tuple(counted[n] for n in names)], ", ".join(f"{n} long" for n in names)
+        )
+    missing_rows = F.abs(F.col("rows") - F.lit(rules.expected_rows))
 
     def entry(position: int, name: str, text: str, failed: Column) -> Column:
         return F.struct(
@@ -142,7 +169,7 @@ def run_gates(
         entry(1, "row_count", f"{rules.expected_rows} rows expected", missing_rows),
         *[entry(3 + i, name, text, F.col(name)) for i, (name, text, _) in enumerate(row_rules)],
     ]
-    line_gates = counted.select(F.inline(F.array(*entries)))
+    line_gates = counts.select(F.inline(F.array(*entries)))
     grain = entry(
         3 + len(row_rules),
         "order_grain_consistency",
@@ -150,12 +177,10 @@ def run_gates(
         F.col("mixed"),
     )
     mixed = _mixed_orders(orders if grain_rows is None else grain_rows, rules)
-    surplus = F.count(F.lit(1)) - F.count_distinct(rules.key)  # repeated and missing keys
-    unique = (orders if key_rows is None else key_rows).agg(
-        F.array(entry(2, "pk_unique", f"{rules.key} is present and unique", surplus)).alias("e")
-    )
+    surplus = _surplus_keys(orders if key_rows is None else key_rows, rules.key)
+    unique = entry(2, "pk_unique", f"{rules.key} is present and unique", F.col("surplus"))
     fused = line_gates.unionByName(mixed.select(F.inline(F.array(grain))))
-    rows = fused.unionByName(unique.select(F.inline("e")))
+    rows = fused.unionByName(surplus.select(F.inline(F.array(unique))))
     return rows.orderBy("position").select(
         "check_name", "description", "failed", (F.col("failed") == 0).alias("ok")
     )

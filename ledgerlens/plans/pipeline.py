@@ -8,16 +8,28 @@ from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ledgerlens.operators.facts import Cubes, Facts, cubes, line_facts
-from ledgerlens.operators.gates import GateRules, require, run_gates
+from ledgerlens.operators.gates import GateRules, require
 from ledgerlens.plans.feeds import feed_discount, feed_growth, feed_subcategory
+from ledgerlens.plans.journal import PUBLISHED, REPORTED, Journal, fingerprint
 from ledgerlens.plans.reports import REPORTS, Report
 from ledgerlens.plans.settings import RETAIL, RETAIL_GATES, Settings
 from ledgerlens.session import configure, plan_bytes, side_by_side, size_shuffles
 from ledgerlens.sources.contract import RETAIL_CONTRACT, US_DATE, Contract, to_staging
-from ledgerlens.sources.landing import land_raw_csv
-from ledgerlens.sources.tables import publish, read_report, write_report
+from ledgerlens.sources.landing import delivered, land_raw_csv
+from ledgerlens.sources.tables import (
+    current_run,
+    new_run,
+    publish,
+    publish_run,
+    read_report,
+    shown,
+    write_report,
+)
+
+GATE_SCHEMA = "check_name string, description string, failed bigint, ok boolean"
 
 
 def build_reports(
@@ -60,17 +72,30 @@ def run_reports(
 ) -> dict[str, DataFrame]:
     """Write every report under `folder` and return the written ones, read back with their types.
 
-    The gate result must be given; None says the caller chose to report without gates.
+    All reports go into a folder of this run, which readers of `folder` (`read_reports`) see once all of
+    them are written; until then, and after a stop, they see the run before. The gate result must
+    be given; None says the caller chose to report without gates.
     """
     if gate_result is not None:
         require(gate_result)
+    run = new_run()
 
     def write(name: str, df: DataFrame) -> tuple[str, DataFrame]:
-        write_report(df, f"{folder}/{name}", registry[name].order)
-        return name, read_report(spark, f"{folder}/{name}", df.schema)
+        write_report(df, f"{folder}/{run}/{name}", registry[name].order)
+        return name, read_report(spark, f"{folder}/{run}/{name}", df.schema)
 
     reports = build_reports(facts, settings, registry)
-    return dict(side_by_side([partial(write, name, df) for name, df in reports.items()]))
+    written = dict(side_by_side([partial(write, name, df) for name, df in reports.items()]))
+    publish_run(spark, folder, run)
+    return written
+
+
+def read_reports(
+    spark: SparkSession, folder: str, schemas: Mapping[str, StructType]
+) -> dict[str, DataFrame]:
+    """The reports of the last run that was written whole."""
+    current = current_run(spark, folder)
+    return {name: read_report(spark, f"{current}/{name}", schema) for name, schema in schemas.items()}
 
 
 @dataclass(frozen=True)
@@ -98,18 +123,41 @@ def run_pipeline(
 
     A gate that fails raises GateFailure before staging is replaced or any report is written.
     The reports share one pass over staging.
+
+    A journal beside the staging table notes finished stages. Called again with the same delivery and
+    settings after a stop, the run goes on where it stopped: files that were landed are not parsed
+    again, and a version that was published, and is still the one shown, goes straight to the reports
+    with the gate results it had.
     """
     configure(spark)
     raw_table, staging_table = f"raw.{source}", f"staging.stg_{source}"
-    size_shuffles(spark, plan_bytes(spark.read.text(csv_path)))
-    raw_rows, rejected_rows = land_raw_csv(spark, csv_path, raw_table, line_breaks)
-    raw = spark.table(raw_table)
-    size_shuffles(spark, plan_bytes(raw))
-    staged = to_staging(raw, contract, date_format)
-    staging_rows, gates = publish(staged, staging_table, lambda df: run_gates(df, rules))
+    journal = Journal(spark, f"{staging_table}_runs")
+    delivery = fingerprint(
+        delivered(spark, csv_path), tuple(contract), date_format, rules, settings, line_breaks
+    )
+    done = journal.unfinished(delivery)
+    if done and shown(spark, staging_table) == done["version"]:
+        gates = spark.createDataFrame([tuple(r) for r in done["gates"]], GATE_SCHEMA)
+        raw_rows, rejected_rows, staging_rows = done["rows"]
+    else:
+        size_shuffles(spark, plan_bytes(spark.read.text(csv_path)))
+        raw_rows, rejected_rows = land_raw_csv(spark, csv_path, raw_table, line_breaks)
+        raw = spark.table(raw_table)
+        size_shuffles(spark, plan_bytes(raw))
+        staged = to_staging(raw, contract, date_format)
+        staging_rows, gates = publish(staged, staging_table, rules)
+        journal.note(
+            delivery,
+            new_run(),
+            PUBLISHED,
+            version=shown(spark, staging_table),
+            rows=(raw_rows, rejected_rows, staging_rows),
+            gates=[tuple(r) for r in gates.collect()],
+        )
 
     facts = cubes(line_facts(spark.table(staging_table)))
     reports = run_reports(spark, facts, settings, report_folder, gates)
+    journal.note(delivery, current_run(spark, report_folder), REPORTED)
     feeds = {
         "discount": feed_discount(
             reports["02_discount_impact"], settings.band_edges, settings.band_labels, settings.cut

@@ -276,11 +276,12 @@ def _dropped(spark: SparkSession, *databases: str) -> None:
 
 
 def raw_landing(spark: SparkSession, folder: str) -> DataFrame:
-    """A delivery landed twice, the second time for good: rows of both views beside the counts that
-    were taken while landing."""
+    """A delivery landed file by file: first one file, then all, then all again, which parses nothing.
+    Rows of both views beside the counts that the manifest holds."""
     database = f"raw_{uuid.uuid4().hex}"
     body = _delivery_lines(spark, folder, "\n")
     path = _written(spark, "delivery", [",".join(CSV_HEADER)], body)
+    land_raw_csv(spark, path.replace("file=*", "file=0"), f"{database}.orders")
     land_raw_csv(spark, path, f"{database}.orders")
     kept, rejected = land_raw_csv(spark, path, f"{database}.orders")
     rows = spark.table(f"{database}.orders").select(
@@ -361,7 +362,7 @@ def pipeline_reports(spark: SparkSession, folder: str) -> DataFrame:
     )
     for view in (f"raw.{source}", f"raw.{source}_rejected", f"raw.{source}_landed", f"staging.stg_{source}"):
         spark.sql(f"DROP VIEW IF EXISTS {view}")
-    for database, name in (("raw", f"{source}_landed__v*"), ("staging", f"stg_{source}__v*")):
+    for database, name in (("raw", f"{source}_landed_*"), ("staging", f"stg_{source}_*")):
         for t in spark.catalog.listTables(database, name):
             spark.sql(f"DROP TABLE IF EXISTS {database}.{t.name}")
     return summary

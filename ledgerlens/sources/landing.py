@@ -7,13 +7,15 @@ import io
 from typing import NamedTuple
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.session import durable
-from ledgerlens.sources.tables import new_version, switch
+from ledgerlens.sources.tables import begin, release, shown, switch, write_version
 
 BAD = "_rejected_line"
+FILE = "_source_file"
+MOST_BATCHES = 64  # tables that a landed view is made of
 
 CSV_OPTIONS = {"escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD}
 
@@ -29,12 +31,12 @@ class Landed(NamedTuple):
     rejected: DataFrame
 
 
-def _marked(parsed: DataFrame, names: list[str]) -> DataFrame:
+def _marked(parsed: DataFrame, names: list[str], *keep: str) -> DataFrame:
     """All rows: empty fields as NULL, and the text of a line that does not fit beside them."""
     # Always true. Spark refuses queries that touch nothing but the marker, such as a count of
     # the rejected lines, so every query is made to look at the first column too.
     parsed = parsed.filter(F.length(F.concat_ws("", F.col(f"`{names[0]}`"), F.col(BAD))) >= 0)
-    return parsed.select(*[F.nullif(F.col(f"`{n}`"), F.lit("")).alias(n) for n in names], BAD)
+    return parsed.select(*[F.nullif(F.col(f"`{n}`"), F.lit("")).alias(n) for n in names], BAD, *keep)
 
 
 def split(marked: DataFrame) -> Landed:
@@ -204,7 +206,7 @@ def _broken(lines: DataFrame, splits: DataFrame) -> DataFrame:
 
 
 def _records(spark: SparkSession, path: str | list[str], line_breaks: bool) -> DataFrame:
-    """CSV records: `value`, and whether it heads its file.
+    """CSV records: `value`, its file, and whether it heads that file.
 
     Each split of a file is scanned by itself. Lines that are records of their own stay where they
     are read; only headers and the lines of broken records are brought together, once, in the
@@ -233,10 +235,13 @@ def _records(spark: SparkSession, path: str | list[str], line_breaks: bool) -> D
         .agg(F.array_join(F.transform(in_order, lambda p: p["value"]), "\n").alias("value"))
         .join(heads.select("file", F.col("start").alias("head")), "file", "left")
     )
-    joined = durable(joined.select("value", (F.col("start") == F.col("head")).alias("heads")), "joined")
-    whole = lines.join(taken, "at", "left_anti").select("value", F.lit(False).alias("heads"))
+    joined = durable(
+        joined.select("value", F.col("file").alias(FILE), (F.col("start") == F.col("head")).alias("heads")), "joined"
+    )
+    whole = lines.join(taken, "at", "left_anti")
+    whole = whole.select("value", F.col("file").alias(FILE), F.lit(False).alias("heads"))
     ended = F.when(F.endswith("value", F.lit("\r")), F.expr("left(value, length(value) - 1)"))
-    return whole.unionByName(joined).select(F.coalesce(ended, "value").alias("value"), "heads")
+    return whole.unionByName(joined).select(F.coalesce(ended, "value").alias("value"), FILE, "heads")
 
 
 def _parse(records: DataFrame, names: list[str], *keep: str) -> DataFrame:
@@ -266,15 +271,10 @@ def _header(records: DataFrame) -> list[str]:
     return next(csv.reader(io.StringIO(found, newline="")))
 
 
-def read_marked_csv(
-    spark: SparkSession, path: str | list[str], line_breaks: bool = True
+def _read(
+    spark: SparkSession, path: str | list[str], line_breaks: bool, names: list[str] | None = None
 ) -> DataFrame:
-    """Read a delivery of CSV files with a header row, every field as text, misfits marked.
-
-    Files are read in splits, however large. The first record of a file that is not blank is its
-    header. `line_breaks=False` promises that no field holds a line break and saves the scan for
-    records of several lines; on such a delivery both give the same rows. Blank lines are misfits.
-    """
+    """`read_marked_csv` with the file of each row; `names` are the fields agreed on before."""
     try:
         records = _records(spark, path, line_breaks is not False)
     except AnalysisException as e:
@@ -283,10 +283,23 @@ def read_marked_csv(
         raise
     except ValueError as e:
         raise ValueError(f"{path}: {e}") from e
-    names = _header(records)
+    names = names or _header(records)
     if not names:
         raise ValueError(f"{path} is empty: no header row")
-    return _marked(_without_headers(_parse(records, names, "heads"), names), names)
+    parsed = _without_headers(_parse(records, names, "heads", FILE), names)
+    return _marked(parsed, names, FILE)
+
+
+def read_marked_csv(
+    spark: SparkSession, path: str | list[str], line_breaks: bool = True
+) -> DataFrame:
+    """Read a delivery of CSV files with a header row, every field as text, misfits marked.
+
+    Files are read in splits, however large. The first record of a file that is not blank is its
+    header. `line_breaks=False` promises that no field holds a line break and saves the scan for
+    records of several lines; on such a delivery both give the same rows. Blank lines are misfits.
+    """
+    return _read(spark, path, line_breaks).drop(FILE)
 
 
 def read_raw_csv(
@@ -296,42 +309,128 @@ def read_raw_csv(
     return split(read_marked_csv(spark, path, line_breaks))
 
 
+# -- landing by manifest
+
+MANIFEST = (
+    "file string, size bigint, modified timestamp, batch string, batch_files bigint,"
+    " kept bigint, rejected bigint"
+)
+
+
+def delivered(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(file, size, modified) of the files of a delivery; their contents are not read."""
+    try:
+        found = spark.read.format("binaryFile").load(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            raise FileNotFoundError(f"no input at {path}; deliver the order-line CSV first") from e
+        raise
+    return found.select(
+        F.col("path").alias("file"), F.col("length").alias("size"), F.col("modificationTime").alias("modified")
+    )
+
+
+def _manifest_of(version: str) -> str:
+    """The manifest written beside a landed version."""
+    return "__v".join((version.rpartition("__v")[0] + "_manifest", version.rpartition("__v")[2]))
+
+
+def _landed_view(spark: SparkSession, manifest: str, columns: str) -> str:
+    """The text of a view on all live files of a manifest's batches.
+
+    A batch whose files are all live is read as it is, others without the files that went or
+    changed since.
+    """
+    rows = spark.table(manifest).groupBy("batch").agg(
+        F.count(F.lit(1)).alias("live"), F.max("batch_files").alias("files")
+    )
+    parts = []
+    for r in sorted(rows.collect()):  # a row for each batch
+        part = f"SELECT {columns} FROM {r['batch']}"
+        if r["live"] < r["files"]:
+            part += f" WHERE {FILE} IN (SELECT file FROM {manifest} WHERE batch = '{r['batch']}')"
+        parts.append(part)
+    return " UNION ALL ".join(parts)
+
+
 def land_raw_csv(
     spark: SparkSession, path: str | list[str], table: str, line_breaks: bool = True
 ) -> tuple[int, int]:
-    """Parse a delivery once into a new version of `<table>_landed`; returns rows kept, set aside.
+    """Bring a delivery's files into `<table>_landed`, each parsed once; returns rows kept, set aside.
+
+    A manifest tells which files, by name, size and time of change, are landed already and in which
+    batch. Only others are parsed, into a batch of their own; a file that changed counts by its new
+    rows, one that is no longer delivered does not count. So landing a delivery again parses
+    nothing, and one file more costs one file. After MOST_BATCHES batches the landed rows
+    are copied into one.
 
     `table` and `<table>_rejected` are views on the two partitions of `<table>_landed`, itself a view
-    on the version, so one statement switches both, after the whole text has parsed. A delivery
-    that fails changes nothing.
+    on the batches, so one statement switches both, after the whole text has parsed. A delivery
+    that fails changes nothing; one that was overtaken by another raises Superseded.
     """
     landed = f"{table}_landed"
-    database = table.rpartition(".")[0]
-    if database:
-        spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
-    marked = read_marked_csv(spark, path, line_breaks)
-    names = ", ".join(f"`{n}`" for n in marked.columns if n != BAD)
-    counted = Observation(f"landing of {table}")
-    rejected = F.col(BAD).isNotNull()
-    version = new_version(spark, landed)
-    (
-        marked.withColumn("is_rejected", rejected)
-        .observe(
-            counted,
-            F.count_if(~rejected).alias("kept"),
-            F.count_if(rejected).alias("rejected"),
-        )
-        .write.partitionBy("is_rejected")
-        .format("parquet")
-        .saveAsTable(version)
-    )
-    switch(spark, landed, version)
-    source = f"FROM {landed} WHERE"
+    load = begin(spark, landed)
+    files = delivered(spark, path)
+    if load.base:
+        known = spark.table(_manifest_of(load.base))
+    else:
+        known = spark.createDataFrame([], MANIFEST)
+    same = ["file", "size", "modified"]
+    live = known.join(files, same, "left_semi")
+    # File names come to the driver, as they do for any read.
+    new = [r["file"] for r in files.join(known, same, "left_anti").select("file").collect()]
+    if new or live.count() < known.count():
+        _land_batch(spark, load, live, files, new, line_breaks)
+    columns = [c for c in spark.table(landed).columns if c not in (BAD, FILE, "is_rejected")]
+    names, source = ", ".join(f"`{n}`" for n in columns), f"FROM {landed} WHERE"
     spark.sql(f"CREATE OR REPLACE VIEW {table} AS SELECT {names} {source} NOT is_rejected")
     spark.sql(
         f"CREATE OR REPLACE VIEW {table}_rejected AS SELECT {BAD} AS line {source} is_rejected"
     )
-    return counted.get["kept"], counted.get["rejected"]
+    counts = spark.table(_manifest_of(shown(spark, landed))).agg(F.sum("kept"), F.sum("rejected")).first()
+    return counts[0] or 0, counts[1] or 0
+
+
+def _land_batch(spark, load, live: DataFrame, files: DataFrame, new: list[str], line_breaks: bool) -> None:
+    """Write new files as a batch and the manifest beside it, and let the landed view show them."""
+    kept_files, names, rows = live.select("file"), None, None
+    if not kept_files.isEmpty():
+        names = [c for c in spark.table(load.table).columns if c not in (BAD, FILE, "is_rejected")]
+    if new:
+        rows = _read(spark, new, line_breaks, names).withColumn("is_rejected", F.col(BAD).isNotNull())
+    batches = live.select("batch").distinct()
+    if batches.count() + bool(new) > MOST_BATCHES:
+        old = spark.table(load.table).join(kept_files.withColumnRenamed("file", FILE), FILE, "left_semi")
+        rows = old.unionByName(rows) if new else old
+        new, live = [*new, *(r["file"] for r in kept_files.collect())], live.limit(0)
+    if rows is None and names is None:
+        raise ValueError("a delivery without files")
+    if rows is not None:
+        write_version(rows, load, by="is_rejected")
+        counts = spark.table(load.version).groupBy(F.col(FILE).alias("file")).agg(
+            F.count_if(~F.col("is_rejected")).alias("kept"), F.count_if("is_rejected").alias("rejected")
+        )
+        fresh = files.join(spark.createDataFrame([(f,) for f in new], "file string"), "file", "left_semi")
+        fresh = fresh.join(counts, "file", "left").select(
+            "file", "size", "modified", F.lit(load.version).alias("batch"),
+            F.lit(len(new)).cast("bigint").alias("batch_files"),
+            F.coalesce("kept", F.lit(0)).cast("bigint").alias("kept"),
+            F.coalesce("rejected", F.lit(0)).cast("bigint").alias("rejected"),
+        )
+        live = live.unionByName(fresh)
+        columns = spark.table(load.version).columns
+    else:
+        columns = spark.table(load.table).columns
+    manifest = _manifest_of(load.version)
+    live.coalesce(1).writeTo(manifest).using("parquet").create()
+    view = _landed_view(spark, manifest, ", ".join(f"`{c}`" for c in columns))
+    keep = [manifest, *(r["batch"] for r in spark.table(manifest).select("batch").distinct().collect())]
+    if load.base:
+        keep.append(_manifest_of(load.base))
+        keep += [r["batch"] for r in spark.table(_manifest_of(load.base)).select("batch").distinct().collect()]
+    switch(spark, load, select=view, keep=keep)
+    if rows is not None:
+        release(spark, load)
 
 
 def mark_lines(lines: DataFrame, names: list[str]) -> DataFrame:

@@ -4,7 +4,7 @@ import dataclasses
 import datetime as dt
 
 import pytest
-from ledgerlens.operators.gates import GateFailure, require, run_gates
+from ledgerlens.operators.gates import GateFailure, _surplus_keys, require, run_gates
 from ledgerlens.plans.settings import RETAIL_GATES
 from lines import make
 
@@ -73,3 +73,20 @@ def test_no_rows(spark):
     empty = make(spark, {}).filter("false")
     rules = dataclasses.replace(RETAIL_GATES, expected_rows=3)
     assert failed(run_gates(empty, rules)) == {"row_count": 3}
+
+
+def test_repeated_keys_are_counted_by_their_text(spark):
+    """Hot repeats, keys that are missing, and keys that are there once."""
+    changes = [{"row_id": k} for k in range(200)] + [{"row_id": 7}] * 100 + [{"row_id": None}] * 3 + [{"row_id": 8}]
+    assert failed(results(spark, *changes)) == {"pk_unique": 104}
+
+
+def test_only_hashes_of_unique_keys_are_shuffled(spark):
+    """The first exchange of the uniqueness gate carries the hash alone."""
+    rows = spark.createDataFrame([("a" * 500,), ("b" * 500,)], "k string")
+    plan = _surplus_keys(rows, "k")._jdf.queryExecution().executedPlan().toString()
+    for line in plan.splitlines():
+        if "partial_count" in line and "keys=[" in line and "_hash" in line:
+            assert "keys=[_hash" in line and "k#" not in line.split("functions")[0].split("keys=")[1]
+    assert "SortAggregate" not in plan and _surplus_keys(rows, "k").first().surplus == 0
+    assert _surplus_keys(rows.limit(0), "k").first().surplus == 0
