@@ -7,18 +7,26 @@
    similarity s share s / threshold children on average, so similar sets stay together and others
    part quickly.
 2. Documents with equal sets are one class from here on.
-3. Nodes of up to `node_rows` classes are compared exhaustively by their sketches. Larger nodes
-   branch on, `deeper` levels at a time; one that is still large at the last level holds sets that
-   agree in that many coordinates, and is handed on whole. Nothing is dropped. A task hands on what
-   connects its similar pairs, never the pairs themselves. Connected classes are a family.
+3. Nodes of up to `node_rows` classes are compared exhaustively by their sketches. In a larger one
+   every member is compared with a centre, the member of smallest id. What is connected by then, in
+   whichever nodes and trees, is a family so far, and only members of different families need to be
+   compared. A large node of one family is settled. Where up to `node_rows` members are not of the
+   node's largest family, these are compared with all others, in blocks. Any other large node branches
+   on, `deeper` levels at a time, and its children are treated in the same way. A node that still is
+   large, with as many strangers, at the last level holds sets that agree in that many coordinates, and
+   is handed on whole. Nothing is dropped. A task hands on what connects its similar pairs, never the
+   pairs themselves. Connected classes are a family.
 4. Links are confirmed on full sets inside families, as sparse intersections counted exactly. Small
    families are done in one piece. In a large one all members are first compared with a central
    member; those linked to it need no comparison with each other, as only components are asked
    for. The others are compared with everybody, in blocks dealt out over the cluster.
 5. Confirmed links are joined into components.
 
-A pair at the threshold is missed if it parts in all trees and no other links connect it; with the
-defaults, well under one in a hundred such pairs, and pairs above it much more rarely.
+A pair at the threshold is missed if it parts in all trees and no other links connect it: about one in
+a thousand up to the first level, which is all that most pairs need. Pairs that meet in crowded nodes of
+many families only, all the way down, part more often: some 0.4 % at level 5, 1.3 % at 7, 3 % at 9 and
+6 % at 11 (a test measures it), unless such nodes branch `again` and again independently. Pairs above
+the threshold are missed much more rarely.
 
 Defined results: null and empty texts, and texts without words, have no shingles and link with
 nothing. A text with fewer words than a shingle is one shingle of all its words. Rows repeating
@@ -51,6 +59,7 @@ class Settings:
     trees: int = 20
     first_level: int = 3  # nodes above this level are not looked at
     deeper: int = 2  # levels that a large node branches at once
+    again: int = 1  # independent branchings of a large node
     last_level: int = 11
     node_rows: int = 256  # largest node that is compared exhaustively
     margin: float = 0.12  # below the threshold, for similarities estimated from sketches
@@ -70,8 +79,11 @@ def linked(shared, first, second, percent: int):
 
 
 def _distinct(owner: np.ndarray, shingle: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.lexsort((shingle, owner))
-    owner, shingle = owner[order], shingle[order]
+    """The distinct shingles of each owner, in order; owners come in order."""
+    shingle = shingle.copy()
+    first = np.flatnonzero(np.diff(owner, prepend=-1))
+    for a, b in zip(first.tolist(), [*first[1:].tolist(), len(owner)]):
+        shingle[a:b].sort()
     new = np.ones(len(owner), dtype=bool)
     new[1:] = (owner[1:] != owner[:-1]) | (shingle[1:] != shingle[:-1])
     return owner[new], shingle[new]
@@ -91,37 +103,72 @@ def _sketches(owner, shingle, rows: int, coordinates: int) -> np.ndarray:
     return out
 
 
+def _gap(seed: np.ndarray, step: int, chances: np.ndarray) -> np.ndarray:
+    """How many coordinates are passed over before the next one that is picked."""
+    salt = np.uint64((step + 1) * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF)
+    drawn = mix(seed + salt) >> np.uint64(32)
+    return len(chances) - np.searchsorted(chances, drawn, side="right")
+
+
 def _branch(
     row: np.ndarray, path: np.ndarray, sketch: np.ndarray, level: int, levels: int, s: Settings
 ) -> tuple[np.ndarray, np.ndarray]:
-    """(row, path) of all nodes `levels` below, from (row, path) at `level`."""
-    chance = np.uint64(int((1 << 32) * 100 / (s.percent * s.coordinates)))
-    coordinates = np.arange(s.coordinates, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    """(row, path) of all nodes `levels` below, from (row, path) at `level`.
+
+    A node picks every coordinate with the same chance, by draws that follow from its path alone; the
+    draws are the gaps between picked ones.
+    """
+    rate = 100 / (s.percent * s.coordinates)
+    # The chance, as a number of 32 bits, of passing over at least g coordinates, smallest first.
+    chances = np.array([int((1 << 32) * (1 - rate) ** g) for g in range(s.coordinates, 0, -1)], dtype=np.uint64)
     for k in range(level, level + levels):
         rows, paths = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.uint64)]
-        for at in range(0, len(row), 1 << 13):
-            r, p = row[at : at + (1 << 13)], path[at : at + (1 << 13)]
-            draw = mix((p ^ LEVEL_SEEDS[k])[:, None] + coordinates[None, :])
-            who, which = np.nonzero((draw & np.uint64(0xFFFFFFFF)) < chance)
-            value = sketch[r[who], which].astype(np.uint64)
-            rows.append(r[who])
-            paths.append(mix(draw[who, which] + value * np.uint64(BASE)))
+        seed = mix(path ^ LEVEL_SEEDS[k])
+        at = _gap(seed, 0, chances)
+        step, who = 0, np.flatnonzero(at < s.coordinates)
+        while len(who):
+            value = sketch[row[who], at[who]].astype(np.uint64)
+            rows.append(row[who])
+            paths.append(mix(mix(seed[who] ^ at[who].astype(np.uint64)) + value * np.uint64(BASE)))
+            step += 1
+            at[who] += 1 + _gap(seed[who], step, chances)
+            who = who[at[who] < s.coordinates]
         row, path = np.concatenate(rows), np.concatenate(paths)
     return row, path
 
 
+def _first_nodes(held: np.ndarray, sketch: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """(row, path) of the nodes at the first level that is looked at, in all trees."""
+    seeds = mix(np.arange(1, s.trees + 1, dtype=np.uint64) * np.uint64(0xE7037ED1A0B428DB))
+    return _branch(np.repeat(held, s.trees), np.tile(seeds, len(held)), sketch, 0, s.first_level, s)
+
+
+def _next_nodes(path: np.ndarray, sketch: np.ndarray, level: int, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """(row, path) of the nodes below crowded ones, a path and a sketch for each row."""
+    salts = mix(np.arange(1, s.again + 1, dtype=np.uint64) * np.uint64(0x9FB21C651E98DF25))
+    every = np.tile(np.arange(len(path)), s.again)
+    return _branch(every, mix(path[every] ^ np.repeat(salts, len(path))), sketch, level, s.deeper, s)
+
+
+def _binary(values: np.ndarray) -> pa.Array:
+    """The rows of a matrix as binary values."""
+    width = values.shape[1] * values.itemsize
+    held = pa.py_buffer(np.ascontiguousarray(values))
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(values), [None, held]).cast(pa.binary())
+
+
 def _read(batch: pa.RecordBatch, s: Settings) -> pa.RecordBatch:
     rows = batch.num_rows
     owner, shingle = _distinct(*shingles(batch.column(1), s.words))
     size = np.bincount(owner, minlength=rows)
     first, second = np.zeros(rows, dtype=np.uint64), np.zeros(rows, dtype=np.uint64)
-    np.add.at(first, owner, mix(shingle))
-    np.add.at(second, owner, mix(shingle ^ np.uint64(BASE)))
-    sketch = _sketches(owner, shingle, rows, s.coordinates)
     at = np.flatnonzero(size)
-    row = np.repeat(at, s.trees)
-    seeds = mix(np.arange(1, s.trees + 1, dtype=np.uint64) * np.uint64(0xE7037ED1A0B428DB))
-    row, path = _branch(row, np.tile(seeds, len(at)), sketch, 0, s.first_level, s)
+    if len(at):
+        start = np.flatnonzero(np.diff(owner, prepend=-1))
+        first[at] = np.add.reduceat(mix(shingle), start)
+        second[at] = np.add.reduceat(mix(shingle ^ np.uint64(BASE)), start)
+    sketch = _sketches(owner, shingle, rows, s.coordinates)
+    row, path = _first_nodes(at, sketch, s)
     order = np.argsort(row, kind="stable")
     cuts = np.searchsorted(row[order], np.arange(rows + 1))
     return pa.RecordBatch.from_arrays(
@@ -130,8 +177,8 @@ def _read(batch: pa.RecordBatch, s: Settings) -> pa.RecordBatch:
             pa.array(size, type=pa.int64()),
             pa.array(first.view(np.int64)),
             pa.array(second.view(np.int64)),
-            pa.array([x.tobytes() for x in sketch], type=pa.binary()),
-            pa.array([x.tobytes() for x in sketch.astype(np.uint8)], type=pa.binary()),
+            _binary(sketch),
+            _binary(sketch.astype(np.uint8)),
             pa.ListArray.from_arrays(
                 pa.array(cuts, type=pa.int32()), pa.array(path[order].view(np.int64))
             ),
@@ -165,7 +212,7 @@ def _similar(marks: np.ndarray, a: np.ndarray, b: np.ndarray, least: float) -> n
 
 
 def _compare_nodes(nodes: DataFrame, s: Settings) -> DataFrame:
-    """(u, v) connecting similar members of each node of (path, id, marks)."""
+    """(u, v) connecting families with similar members in a node, from (path, id, family, marks)."""
     least = s.percent / 100 - s.margin
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -181,17 +228,18 @@ def _compare_nodes(nodes: DataFrame, s: Settings) -> DataFrame:
             rest = rows.iloc[whole:].reset_index(drop=True)
             if not whole:
                 continue
-            path, ids = path[:whole], rows["id"].to_numpy()[:whole]
+            path, family = path[:whole], rows["family"].to_numpy()[:whole]
             marks = np.frombuffer(b"".join(rows["marks"].iloc[:whole]), dtype=np.uint8)
             marks = marks.reshape(whole, s.coordinates)
             at = np.arange(whole)
-            for lag in range(1, s.node_rows):
+            lag = 0
+            while len(at):
+                lag += 1
                 at = at[at + lag < whole]
                 at = at[path[at] == path[at + lag]]
-                if not len(at):
-                    break
-                near = at[_similar(marks, at, at + lag, least)]
-                held.append((ids[near], ids[near + lag]))
+                apart = at[family[at] != family[at + lag]]
+                near = apart[_similar(marks, apart, apart + lag, least)]
+                held.append((family[near], family[near + lag]))
                 count += len(near)
                 if count > s.pairs:
                     found = connecting(*map(np.concatenate, zip(*held)))
@@ -204,44 +252,114 @@ def _compare_nodes(nodes: DataFrame, s: Settings) -> DataFrame:
     return nodes.mapInPandas(compare, "u long, v long")
 
 
-def _families(classes: DataFrame, s: Settings) -> DataFrame:
-    """(id, family) of classes that may have links; from (id, sketch, marks, paths)."""
-    rows = classes.select(F.explode("paths").alias("path"), "id")
-    level, edges = s.first_level, []
-    while True:
-        sizes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("members"))
-        shared = durable(rows.join(sizes.filter("members > 1"), "path"), "nodes")
-        small = shared.filter(F.col("members") <= s.node_rows).drop("members")
-        ready = small.join(classes.select("id", "marks"), "id").select("path", "id", "marks")
-        ready = ready.repartition("path").sortWithinPartitions("path", "id")
-        edges.append(durable(_compare_nodes(ready, s), "similar"))
-        large = shared.filter(F.col("members") > s.node_rows).drop("members")
-        if large.isEmpty():
-            break
-        if level >= s.last_level:
-            least = large.groupBy("path").agg(F.min("id").alias("v"))
-            edges.append(large.join(least, "path").select(F.col("id").alias("u"), "v"))
-            break
-        rows = durable(_branched(large.join(classes.select("id", "sketch"), "id"), level, s), "deeper")
-        level += s.deeper
-    found = edges[0]
-    for e in edges[1:]:
-        found = found.union(e)
-    return components(found).select(F.col("node").alias("id"), F.col("component").alias("family"))
+def _starred(large: DataFrame, s: Settings) -> DataFrame:
+    """(u, v) from the members of large nodes that are similar to the node's centre, to the centre."""
+    least = s.percent / 100 - s.margin
+
+    def star(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            sketch, core = (
+                np.frombuffer(b"".join(part[k]), dtype=np.uint8).reshape(len(part), s.coordinates)
+                for k in ("marks", "core")
+            )
+            near = (sketch == core).mean(axis=1) >= least
+            ends = part.loc[near, ["id", "centre"]].drop_duplicates()
+            yield ends.rename(columns={"id": "u", "centre": "v"})
+
+    chosen = large.select("id", "centre", "marks", "core").filter("id <> centre")
+    return chosen.mapInPandas(star, "u long, v long")
 
 
 def _branched(large: DataFrame, level: int, s: Settings) -> DataFrame:
+    """The next nodes (path, id, family) of the members of large nodes (path, id, family, sketch)."""
+
     def branch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
             for at in range(0, len(part), 4096):
                 rows = part.iloc[at : at + 4096]
                 sketch = np.frombuffer(b"".join(rows["sketch"]), dtype=np.uint16)
                 sketch = sketch.reshape(len(rows), s.coordinates)
-                path = rows["path"].to_numpy().view(np.uint64)
-                row, path = _branch(np.arange(len(rows)), path, sketch, level, s.deeper, s)
-                yield pd.DataFrame({"path": path.view(np.int64), "id": rows["id"].to_numpy()[row]})
+                row, path = _next_nodes(rows["path"].to_numpy().view(np.uint64), sketch, level, s)
+                ids, family = rows["id"].to_numpy()[row], rows["family"].to_numpy()[row]
+                yield pd.DataFrame({"path": path.view(np.int64), "id": ids, "family": family})
 
-    return large.select("path", "id", "sketch").mapInPandas(branch, "path long, id long")
+    chosen = large.select("path", "id", "family", "sketch")
+    return chosen.mapInPandas(branch, "path long, id long, family long")
+
+
+def _families(classes: DataFrame, s: Settings) -> DataFrame:
+    """(id, family) of classes that may have links; from (id, sketch, marks, paths)."""
+    mixed = F.min("family") != F.max("family")
+
+    def compared(rows: DataFrame) -> DataFrame:
+        """What connects families in nodes (path, id, family)."""
+        ready = rows.select("path", "id", "family").join(classes.select("id", "marks"), "id")
+        ready = ready.select("path", "id", "family", "marks").repartition("path")
+        return durable(_compare_nodes(ready.sortWithinPartitions("path", "id"), s), "similar")
+
+    def opened(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The members of small and of large nodes that hold more than one family."""
+        sizes = rows.groupBy("path").agg(
+            F.count(F.lit(1)).alias("members"), F.min("family").alias("centre"), mixed.alias("mixed")
+        )
+        # Written first: few nodes are shared, and a join with a table can split hot nodes.
+        open_nodes = durable(sizes.filter("mixed").drop("mixed"), "open")
+        shared = durable(rows.join(open_nodes, "path"), "nodes")
+        few = F.col("members") <= s.node_rows
+        return shared.filter(few), shared.filter(~few)
+
+    def strangers(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Of large nodes: those with few strangers as blocks that hold all of them, and the others."""
+        own = rows.groupBy("path", "family").agg(F.count(F.lit(1)).alias("n"))
+        most = own.groupBy("path").agg(
+            F.sum("n").alias("members"), F.max("n").alias("n"), F.max(F.struct("n", "family")).alias("top")
+        )
+        most = most.select("path", "members", (F.col("members") - F.col("n")).alias("odd"), "top.family")
+        most = durable(most.filter("odd > 0").withColumnRenamed("family", "top"), "mixed")
+        told = rows.select("path", "id", "family").join(most, "path")
+        few = F.col("odd") <= s.node_rows
+        blocks = F.ceil(F.col("members") / s.node_rows).cast("long")
+        every = F.sequence(F.lit(0).cast("long"), blocks - 1)
+        mine = F.array(F.pmod(F.xxhash64("id"), blocks))
+        met = F.when(F.col("family") == F.col("top"), mine).otherwise(every)
+        direct = told.filter(few).select("path", "id", "family", F.explode(met).alias("block"))
+        direct = direct.select(F.xxhash64("path", "block").alias("path"), "id", "family")
+        return direct, told.filter(~few).select("path", "id", "family")
+
+    def named(found: DataFrame) -> DataFrame:
+        return found.select(F.col("node").alias("id"), F.col("component").alias("family"))
+
+    rows = classes.select(F.explode("paths").alias("path"), "id").withColumn("family", F.col("id"))
+    small, large = opened(rows)
+    edges = compared(small)
+    if large.isEmpty():
+        return named(components(edges))
+    cores = classes.select(F.col("id").alias("centre"), F.col("marks").alias("core"))
+    stars = _starred(large.join(classes.select("id", "marks"), "id").join(cores, "centre"), s)
+    families = durable(named(components(edges.union(durable(stars.distinct(), "stars")))), "so_far")
+
+    large = large.select("path", "id").join(families, "id", "left")
+    large = durable(large.select("path", "id", F.coalesce("family", "id").alias("family")), "named")
+    direct, going = strangers(large)
+    between, level = [compared(direct)], s.first_level
+    while not going.isEmpty():
+        if level >= s.last_level:
+            least = going.groupBy("path").agg(F.min("family").alias("v"))
+            between.append(going.join(least, "path").select(F.col("family").alias("u"), "v"))
+            break
+        rows = durable(_branched(going.join(classes.select("id", "sketch"), "id"), level, s), "deeper")
+        level += s.deeper
+        small, large = opened(rows)
+        direct, going = strangers(large)
+        between += [compared(small), compared(direct)]
+    # What connects families so far; their own members follow.
+    joined = between[0]
+    for e in between[1:]:
+        joined = joined.union(e)
+    joined = durable(named(components(joined)), "joined")
+    others = joined.select(F.col("id").alias("family"), F.col("family").alias("whole"))
+    moved = families.join(others, "family", "left").select("id", F.coalesce("whole", "family").alias("family"))
+    return moved.union(joined.join(families.select("id"), "id", "left_anti"))
 
 
 # -- 4: links confirmed on full sets

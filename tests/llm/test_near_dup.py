@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from odd import documents, strange
 
@@ -48,7 +49,8 @@ def test_registered_query_equals_brute_force(spark):
 
 @pytest.mark.parametrize("settings", [
     near_dup.Settings(words=4),
-    near_dup.Settings(words=4, node_rows=4, block_rows=8, last_level=5, trees=40),
+    near_dup.Settings(words=4, node_rows=4, block_rows=8, last_level=5, trees=40),  # crowded, with strangers
+    near_dup.Settings(words=4, node_rows=12, block_rows=8, last_level=5),
 ])
 def test_families_of_edited_copies(spark, settings):
     rng = random.Random(6)
@@ -92,3 +94,40 @@ def test_many_repeats_of_a_row_are_one_set(spark):
     docs = documents(spark, [(i, t, "en", "a") for i, t in rows])
     found = near_dup.near_duplicates(docs).collect()
     assert len(found) == 801 and {r["component_id"] for r in found} == {1}
+
+
+@pytest.mark.parametrize("again", [1, 2])
+def test_recall_by_level(again):
+    """Pairs that agree in four of five coordinates, if every node above were crowded by strangers."""
+    s, rng, pairs = near_dup.Settings(again=again), np.random.default_rng(9), 250
+    sketch = rng.integers(0, 1 << 16, (2 * pairs, s.coordinates), dtype=np.uint16)
+    same = rng.random((pairs, s.coordinates)) < s.percent / 100
+    sketch[pairs:][same] = sketch[:pairs][same]
+    row, path = near_dup._first_nodes(np.arange(2 * pairs), sketch, s)
+    found = {}
+    for level in range(s.first_level, s.last_level + 1, s.deeper):
+        if level > s.first_level:
+            at, path = near_dup._next_nodes(path, sketch[row], level - s.deeper, s)
+            row = row[at]
+        # Only what the two share goes on: everything else cannot meet again.
+        shared = set(zip((row % pairs).tolist(), path.tolist(), (row >= pairs).tolist()))
+        both = np.array([(r % pairs, p, r < pairs) in shared for r, p in zip(row.tolist(), path.tolist())])
+        row, path = row[both], path[both]
+        found[level] = len(np.unique(row % pairs)) / pairs
+    least = {3: 0.99, 5: 0.98, 7: 0.97, 9: 0.94, 11: 0.9} if again == 1 else dict.fromkeys(found, 0.98)
+    assert all(found[k] >= least[k] for k in found), found
+
+
+def test_a_crowd_of_copies_settles(spark):
+    """A large group around one text is connected at the first level and does not branch on."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    base, rows = [word() for _ in range(120)], []
+    for k in range(700):
+        own = list(base)
+        own[rng.randrange(120)] = word()
+        rows.append((k, " ".join(own)))
+    rows += [(1000 + k, " ".join(word() for _ in range(120))) for k in range(50)]
+    docs = documents(spark, [(i, t, "en", "a") for i, t in rows])
+    found = got(near_dup.near_duplicates(docs, near_dup.Settings(words=4)))
+    assert found == brute(rows, 4)
