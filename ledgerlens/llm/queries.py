@@ -122,8 +122,7 @@ def op6_sentencepiece_nbest(spark: SparkSession, folder: str) -> DataFrame:
 
 def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "source", "text")
-    # The floor its SQL has; the pipeline takes the module's, which exempts no small host.
-    done = lines.drop_boilerplate(docs, "source", "text", least_pages=10)
+    done = lines.drop_boilerplate(docs, "source", "text")
     return done.select(F.col("row.doc_id").alias("doc_id"), "dropped", "text")
 
 
@@ -230,16 +229,26 @@ ORACLES: dict[str, str] = {
     "op2_chat_formatting": f"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL VALUES (-7, 0, 'user', {_TOLD}), (-7, 1, 'assistant', {_TOLD}))
+  UNION ALL VALUES (-7, 0, 'user', {_TOLD}), (-7, 1, 'assistant', {_TOLD})),
+written AS (
+  SELECT *, {len(chat.OPEN + chat.HEAD + chat.CLOSE)} + {_escaped_chars("role")} + {_escaped_chars("text")} AS chars
+  FROM turns),
+placed AS (
+  SELECT *, {len(chat.OPEN + "assistant" + chat.HEAD)} + coalesce(SUM(chars) OVER (
+              PARTITION BY conv_id ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+            AS context FROM written)
 SELECT conv_id, COUNT(*) AS n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text))
          AS turns_sha256,
        CAST(coalesce(SUM(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text)
                        FILTER (role = 'assistant'), '')) AS loss_sha256,
-       CAST(SUM({len(chat.OPEN + chat.HEAD + chat.CLOSE)} + {_escaped_chars("role")}
-                + {_escaped_chars("text")}) AS BIGINT) AS formatted_chars
-FROM turns GROUP BY conv_id""",
+       CAST(SUM(chars) AS BIGINT) AS formatted_chars,
+       COUNT(*) FILTER (role = 'assistant') AS n_examples,
+       CAST(coalesce(SUM(context) FILTER (role = 'assistant'), 0) AS BIGINT) AS context_chars,
+       sha256(coalesce(string_agg(CAST(context AS VARCHAR), ',' ORDER BY turn, role, text)
+                       FILTER (role = 'assistant'), '')) AS contexts_sha256
+FROM placed GROUP BY conv_id""",
     "op7_line_dedup": """
 WITH rows AS (SELECT row_number() OVER () AS r, * FROM documents),
 cut AS (SELECT r, source, string_split(text, chr(10)) AS parts FROM rows),
@@ -250,7 +259,8 @@ pages AS (SELECT source, COUNT(*) AS pages FROM documents GROUP BY source),
 common AS (
   SELECT source, body FROM (SELECT DISTINCT r, source, body FROM keyed WHERE body <> '')
   JOIN pages USING (source) GROUP BY source, body
-  HAVING COUNT(*) >= 10 AND COUNT(*) > CAST(0.1 AS DOUBLE) * any_value(pages)),
+  HAVING COUNT(*) >= 2 AND COUNT(*) >= least(any_value(pages), 3)
+         AND COUNT(*) > CAST(0.1 AS DOUBLE) * any_value(pages)),
 kept AS (
   SELECT r, COUNT(*) FILTER (common.body IS NOT NULL) AS dropped,
          string_agg(line, chr(10) ORDER BY place) FILTER (common.body IS NULL) AS text

@@ -7,7 +7,7 @@ from ledgerlens.llm import lines, queries
 FOLDER = "/root/testdata/sf0.01"
 
 
-def brute(rows, ratio, least):
+def brute(rows, ratio=0.1, least=2, few=3):
     held, pages = {}, {}
     for _, text, _, host in rows:
         if host is not None:
@@ -20,7 +20,7 @@ def brute(rows, ratio, least):
             out.append(None)
             continue
         kept = [x for x in text.split("\n")
-                if not (held.get((host, x.strip(" \t\r\x0b\x0c")), 0) >= least
+                if not (held.get((host, x.strip(" \t\r\x0b\x0c")), 0) >= max(least, min(pages.get(host, 0), few))
                         and held[host, x.strip(" \t\r\x0b\x0c")] > ratio * pages[host])]
         out.append("\n".join(kept))
     return out
@@ -46,11 +46,19 @@ def test_random_pages_equal_brute_force(spark):
 def test_registered_query_equals_brute_force(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet").collect()
     rows = [(r["doc_id"], r["text"], r["lang"], r["source"]) for r in docs]
-    want = dict(zip((r[0] for r in rows), brute(rows, 0.1, 10)))
+    want = dict(zip((r[0] for r in rows), brute(rows)))
     got = {r["doc_id"]: r["text"] for r in queries.op7_line_dedup(spark, FOLDER).collect()}
     assert got == want
 
 
+def test_small_hosts_lose_what_all_or_three_of_their_pages_hold(spark):
+    rows = [(1, "menu\none", "en", "lone"), (2, "menu\ntwo", "en", "pair"), (3, "menu\nthree", "en", "pair")]
+    rows += [(10 + k, f"menu\nown {k}" if k < 3 else f"own {k}\ntwice" if k < 5 else f"own {k}", "en", "ten") for k in range(10)]
+    got = {r["row"]["doc_id"]: r["text"] for r in lines.drop_boilerplate(documents(spark, rows), "source", "text").collect()}
+    assert got == dict(zip((r[0] for r in rows), brute(rows)))
+    assert (got[1], got[2], got[10], got[13]) == ("menu\none", "two", "own 0", "own 3\ntwice")
+
+
 def test_strange_rows_and_other_columns(spark):
     docs = strange(spark)
     done = lines.cleaned(docs)
