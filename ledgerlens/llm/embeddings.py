@@ -1,12 +1,16 @@
 """Near-duplicate embeddings by iterative quantisation and multi-index Hamming tables.
 
-1. A rotation is learnt on a bounded sample (iterative quantisation: alternately the signs of the
+1. Rotations are learnt on a bounded sample (iterative quantisation: alternately the signs of the
    rotated vectors and the rotation that fits them best) after centring and principal components,
-   so that the 64 bits of a code are balanced and near vectors differ in few of them.
+   so that the 64 bits of a code are balanced and near vectors differ in few of them. How many codes
+   are needed, each with a rotation of its own, is measured there: pairs at the threshold are made
+   from the sample's vectors, and codes are added until `least_recall` of these pairs meet. Vectors
+   with a strong common direction, whose differences are large once it is taken away, get more codes.
 2. Equal vectors of one label are one class from here on.
-3. A code is cut into 4 parts of 16 bits, one table each. Two classes meet in a table if their parts
-   differ in at most one bit: each class goes to the 16 buckets of its part with one bit blanked
-   out. Buckets are kept within labels. A pair is missed only if all four parts differ in two or
+3. A code is cut into parts, one table each. Parts have 16 bits, or more where a label has more than
+   2^15 classes, so that buckets do not grow with a label. Two classes meet in a table if their parts
+   differ in at most one bit: each class goes to the buckets of its part with one bit blanked out.
+   Buckets are kept within labels. A pair is missed only if all parts of all codes differ in two or
    more bits.
 4. Every pair that meets is reranked with the original vectors, in double precision, once: at the
    first table where it meets. Buckets of more than `block_rows` classes are dealt out as pairs of
@@ -36,8 +40,8 @@ from ledgerlens.llm.sample import SLOTS
 from ledgerlens.llm.text import and_end, mix
 from ledgerlens.session import durable
 
-BITS, TABLES = 64, 4
-PART = BITS // TABLES
+BITS = 64  # of a code
+LEAST_PART = 16  # bits of a table's part
 
 
 @dataclass(frozen=True)
@@ -45,13 +49,29 @@ class Settings:
     cosine: float = 0.98
     sample_rows: int = 20_000  # bound of the sample that the rotation is learnt on
     rounds: int = 50  # of iterative quantisation
+    least_recall: float = 0.98  # of pairs at the threshold, measured on the sample
+    most_codes: int = 16  # where that recall is not reached
     block_rows: int = 256  # classes of a bucket that are compared in one piece
     pairs: int = 1 << 18  # pairs compared at once
 
 
-def rotation(vectors: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """(mean, projection to 64 values whose signs are the code) from unit vectors."""
-    rng = np.random.default_rng(7)
+@dataclass(frozen=True)
+class Quantiser:
+    """A mean, and for each code a projection to 64 values whose signs are its bits."""
+
+    mean: np.ndarray
+    axes: list[np.ndarray]
+
+    def codes(self, vectors: np.ndarray) -> np.ndarray:
+        """The codes of unit vectors, a row for each."""
+        centred = vectors - self.mean
+        bits = [np.packbits(centred @ a >= 0, axis=1, bitorder="little").view(np.uint64) for a in self.axes]
+        return np.concatenate(bits, axis=1)
+
+
+def rotation(vectors: np.ndarray, rounds: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """(mean, projection to 64 values) from unit vectors, by iterative quantisation from a random start."""
+    rng = np.random.default_rng(seed)
     size = vectors.shape[1]
     mean = vectors.mean(axis=0) if len(vectors) else np.zeros(size)
     centred = vectors - mean
@@ -72,33 +92,76 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
 
 
-def codes(vectors: np.ndarray, model: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    mean, axes = model
-    bits = (vectors - mean) @ axes >= 0
-    return np.packbits(bits, axis=1, bitorder="little").view(np.uint64)[:, 0]
+def parts(codes: np.ndarray, bits: int) -> np.ndarray:
+    """The tables' parts of each row of codes; what is left of a code over is not used."""
+    each = BITS // bits
+    shifts = np.arange(each, dtype=np.uint64) * np.uint64(bits)
+    cut = (codes[:, :, None] >> shifts) & np.uint64((1 << bits) - 1)
+    return cut.reshape(len(codes), -1)
+
+
+def meet(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In which tables the parts of x and y differ in at most one bit."""
+    return np.bitwise_count(x ^ y) <= 1
 
 
-def fit(vectors: DataFrame, s: Settings) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """A rotation for each vector length, from (cid, v): one task for a bounded sample."""
+def at_threshold(vectors: np.ndarray, cosine: float) -> np.ndarray:
+    """For each unit vector another one at this cosine, in a random direction."""
+    rng = np.random.default_rng(11)
+    away = rng.normal(size=vectors.shape)
+    away -= (away * vectors).sum(axis=1, keepdims=True) * vectors
+    length = np.sqrt((away * away).sum(axis=1, keepdims=True))
+    return cosine * vectors + np.sqrt(1 - cosine**2) * away / np.where(length > 0, length, 1)
+
+
+def quantiser(vectors: np.ndarray, bits: int, s: Settings) -> Quantiser:
+    """Learnt from unit vectors, with as many codes as pairs at the threshold need to meet.
+
+    Recall is measured on every fourth vector, which the rotations have not seen.
+    """
+    kept = np.arange(len(vectors)) % 4 == 3
+    seen, held = vectors[~kept], vectors[kept]
+    mean, axes = rotation(seen, s.rounds)
+    found = Quantiser(mean, [axes])
+    others = at_threshold(held, s.cosine)
+    met = np.zeros(len(held), dtype=bool)
+    while len(held):
+        last = Quantiser(mean, found.axes[-1:])
+        met |= meet(parts(last.codes(held), bits), parts(last.codes(others), bits)).any(axis=1)
+        if met.mean() >= s.least_recall or len(found.axes) >= s.most_codes:
+            break
+        found.axes.append(rotation(seen, s.rounds, seed=7 + len(found.axes))[1])
+    return found
+
+
+def fit(vectors: DataFrame, bits: int, s: Settings) -> dict[int, Quantiser]:
+    """A quantiser for each vector length, from (cid, v): one task for a bounded sample."""
     share = min(SLOTS, int(SLOTS * s.sample_rows / max(1, vectors.count())))
     chosen = vectors.filter(F.pmod(F.xxhash64("v"), F.lit(SLOTS)) < share)
 
     def learn(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         rows = np.stack(sorted(group["v"].tolist(), key=lambda v: v.tobytes())).astype(np.float64)
-        mean, axes = rotation(unit(rows), s.rounds)
-        return pd.DataFrame([(key[0], mean.tobytes(), axes.tobytes())], columns=["n", "mean", "axes"])
+        q = quantiser(unit(rows), bits, s)
+        told = (key[0], q.mean.tobytes(), np.stack(q.axes).tobytes())
+        return pd.DataFrame([told], columns=["n", "mean", "axes"])
 
     found = chosen.groupBy(F.size("v")).applyInPandas(learn, "n int, mean binary, axes binary")
     return {
-        r["n"]: (np.frombuffer(r["mean"]), np.frombuffer(r["axes"]).reshape(-1, BITS))
+        r["n"]: Quantiser(np.frombuffer(r["mean"]), list(np.frombuffer(r["axes"]).reshape(-1, r["n"], BITS)))
         for r in found.collect()
     }
 
 
-def _coded(classes: DataFrame, models: dict, s: Settings) -> DataFrame:
-    """(cid, code, keys): the buckets of each class, in order of table and blanked bit."""
+def _part_bits(classes: DataFrame) -> int:
+    """Bits of a part: buckets of a table outnumber the classes of the largest label."""
+    most = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 1
+    return min(BITS, max(LEAST_PART, int(most).bit_length() + 1))
+
+
+def _coded(classes: DataFrame, models: dict, bits: int) -> DataFrame:
+    """(cid, codes, keys): the buckets of each class, in order of table and blanked bit."""
     sent = classes.sparkSession.sparkContext.broadcast(models)
-    place = np.arange(PART, dtype=np.uint64)
+    place = np.arange(bits, dtype=np.uint64)
     blank = ~(np.uint64(1) << place)
 
     def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -106,37 +169,35 @@ def _coded(classes: DataFrame, models: dict, s: Settings) -> DataFrame:
             for size, part in whole.groupby(whole["v"].map(len)):
                 model = sent.value.get(size)
                 if model is None:  # a length that the sample does not have
-                    model = rotation(np.zeros((0, size)), 0)
-                found = codes(unit(np.stack(part["v"].tolist()).astype(np.float64)), model)
+                    mean, axes = rotation(np.zeros((0, size)), 0)
+                    model = Quantiser(mean, [axes])
+                found = model.codes(unit(np.stack(part["v"].tolist()).astype(np.float64)))
                 home = mix(part["home"].to_numpy().view(np.uint64) + np.uint64(size))
                 keys = []
-                for t in range(TABLES):
-                    own = (found >> np.uint64(t * PART)) & np.uint64((1 << PART) - 1)
-                    masked = own[:, None] & blank[None, :]
-                    named = masked * np.uint64(BITS) + np.uint64(t * PART) + place
+                for t, own in enumerate(parts(found, bits).T):
+                    masked = mix(own[:, None] & blank[None, :])
+                    named = masked ^ mix(np.uint64(t * bits) + place)
                     keys.append(mix(home[:, None] ^ mix(named)))
                 keys = np.concatenate(keys, axis=1).view(np.int64)
                 yield pd.DataFrame({
-                    "cid": part["cid"].to_numpy(), "code": found.view(np.int64), "keys": list(keys)
+                    "cid": part["cid"].to_numpy(), "codes": [x.tobytes() for x in found], "keys": list(keys)
                 })
 
     rows = classes.select("cid", F.xxhash64("label").alias("home"), "v")
-    return rows.mapInPandas(code, "cid long, code long, keys array<long>")
+    return rows.mapInPandas(code, "cid long, codes binary, keys array<long>")
 
 
-def _first_meeting(x: np.ndarray, y: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Whether codes x and y first meet at `place` (table, blanked bit)."""
-    differ = x ^ y
-    table = place // PART
-    here = np.ones(len(x), dtype=bool)
-    for t in range(TABLES):
-        count = np.bitwise_count((differ >> np.uint64(t * PART)) & np.uint64((1 << PART) - 1))
-        here &= ~((t < table) & (count <= 1))
-        here &= ~((t == table) & (count == 0) & (place % PART != 0))
-    return here
+def _first_meeting(x: np.ndarray, y: np.ndarray, place: np.ndarray, bits: int) -> np.ndarray:
+    """Whether rows of parts x and y first meet at `place` (table, blanked bit)."""
+    differ = np.bitwise_count(x ^ y)
+    table = place // bits
+    earlier = np.arange(x.shape[1])[None, :] < table[:, None]
+    here = ~((differ <= 1) & earlier).any(axis=1)
+    own = np.take_along_axis(differ, table[:, None], axis=1)[:, 0]
+    return here & ((own != 0) | (place % bits == 0))
 
 
-def _compared(buckets: DataFrame, s: Settings) -> DataFrame:
+def _compared(buckets: DataFrame, bits: int, s: Settings) -> DataFrame:
     """Rows (what, a, b): links of a class (0, cid, number), connections (1, cid, cid)."""
 
     def flush(held: list) -> pd.DataFrame:
@@ -170,7 +231,11 @@ def _compared(buckets: DataFrame, s: Settings) -> DataFrame:
                 continue
             rows = rows.iloc[:whole]
             bucket, first, second = (rows[k].to_numpy() for k in ("bucket", "i", "j"))
-            code, place = rows["code"].to_numpy().view(np.uint64), rows["place"].to_numpy()
+            place, told = rows["place"].to_numpy(), rows["codes"].tolist()
+            # Vectors of a bucket are of one length, but those of a batch need not be.
+            width = max(map(len, told))
+            own = np.frombuffer(b"".join(c.ljust(width, b"\0") for c in told), dtype=np.uint64)
+            code = parts(own.reshape(whole, -1), bits)
             cid, copies, block = (rows[k].to_numpy() for k in ("cid", "copies", "block"))
             vectors = rows["v"].tolist()
             at = np.arange(whole)
@@ -182,9 +247,9 @@ def _compared(buckets: DataFrame, s: Settings) -> DataFrame:
                 same = (bucket[at] == bucket[to]) & (first[at] == first[to])
                 at = at[same & (second[at] == second[to])]
                 to = at + lag
-                meet = (block[at] != block[to]) | (first[at] == second[at])
-                meet &= _first_meeting(code[at], code[to], place[at])
-                near = at[meet]
+                both = (block[at] != block[to]) | (first[at] == second[at])
+                both &= _first_meeting(code[at], code[to], place[at], bits)
+                near = at[both]
                 for k in range(0, len(near), 1 << 13):
                     x = near[k : k + (1 << 13)]
                     a, b = (np.stack([vectors[i] for i in z]).astype(float) for z in (x, x + lag))
@@ -221,9 +286,10 @@ def near_duplicates(embeddings: DataFrame, settings: Settings = Settings()) -> D
         .withColumn("cid", F.monotonically_increasing_id())
     )
     classes = durable(classes, "classes")
-    coded = durable(_coded(classes, fit(classes.select("cid", "v"), s), s), "codes")
+    bits = _part_bits(classes)
+    coded = durable(_coded(classes, fit(classes.select("cid", "v"), bits, s), bits), "codes")
 
-    keys = coded.select("cid", "code", F.posexplode("keys").alias("place", "bucket"))
+    keys = coded.select("cid", "codes", F.posexplode("keys").alias("place", "bucket"))
     sizes = keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
     shared = keys.join(sizes, "bucket")
     blocks = F.ceil(F.col("members") / s.block_rows).cast("long")
@@ -233,11 +299,11 @@ def near_duplicates(embeddings: DataFrame, settings: Settings = Settings()) -> D
         F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1),
         lambda k: F.struct(F.least(k, "block").alias("i"), F.greatest(k, "block").alias("j")),
     )
-    dealt = shared.select("cid", "code", "place", "bucket", "block", F.explode(mates).alias("m"))
-    dealt = dealt.select("cid", "code", "place", "bucket", "block", "m.i", "m.j")
+    dealt = shared.select("cid", "codes", "place", "bucket", "block", F.explode(mates).alias("m"))
+    dealt = dealt.select("cid", "codes", "place", "bucket", "block", "m.i", "m.j")
     dealt = dealt.join(classes.select("cid", "v", "copies"), "cid")
     ready = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "cid")
-    found = durable(_compared(ready, s), "compared")
+    found = durable(_compared(ready, bits, s), "compared")
 
     links = found.filter("what = 0").groupBy(F.col("a").alias("cid")).agg(F.sum("b").alias("others"))
     graph = components(found.filter("what = 1").select(F.col("a").alias("u"), F.col("b").alias("v")))

@@ -99,3 +99,61 @@ def test_strange_rows(spark):
     ]
     assert got(em.near_duplicates(frame(spark, rows))) == plain(brute(rows))
     assert em.near_duplicates(frame(spark, rows).limit(0)).collect() == []
+
+
+def common(rng, count, direction, size):
+    """Unit vectors whose mean has the norm `direction`."""
+    rest = em.unit(rng.normal(size=(count, size))) * np.sqrt(1 - direction**2)
+    axis = np.zeros(size)
+    axis[0] = direction
+    rest[:, 0] = 0
+    return em.unit(axis + rest)
+
+
+def test_codes_are_added_until_pairs_at_the_threshold_meet():
+    for size in (16, 64, 384):
+        for direction, bits in ((0.0, 16), (0.9, 16), (0.9, 21)):
+            rng = np.random.default_rng(size)
+            x = common(rng, 1500, direction, size)
+            s = em.Settings(rounds=10)
+            q = em.quantiser(x, bits, s)
+            fresh = common(rng, 1500, direction, size)  # not those it was learnt on
+            y = em.at_threshold(fresh, s.cosine)
+            assert np.allclose((fresh * y).sum(axis=1), s.cosine)
+            met = em.meet(em.parts(q.codes(fresh), bits), em.parts(q.codes(y), bits)).any(axis=1)
+            assert met.mean() >= 0.95, (size, direction, bits, len(q.axes))
+            assert (len(q.axes) > 1) == (direction > 0)
+
+
+def test_recall_under_a_strong_common_direction(spark):
+    rng = np.random.default_rng(2)
+    rows = []
+    for f, base in enumerate(common(rng, 60, 0.9, 64)):
+        for other in em.at_threshold(np.repeat(base[None], 5, axis=0), 0.992) if f % 2 else [base]:
+            rows.append((len(rows), (base if f % 4 == 3 else other).tolist(), f % 2))
+        rows.append((len(rows), em.unit(base + 0.012 * rng.normal(size=(1, 64)))[0].tolist(), f % 2))
+    rows += [(5000 + k, v.tolist(), k % 2) for k, v in enumerate(common(rng, 400, 0.9, 64))]
+    want, found = brute(rows), em.near_duplicates(frame(spark, rows)).collect()
+    links = {r["vec_id"]: r["n_links"] for r in found}
+    assert all(links[i] <= n for i, n, _ in want)
+    assert sum(links.values()) >= 0.95 * sum(n for _, n, _ in want) > 0
+
+
+def test_parts_grow_with_the_largest_label(spark):
+    rows = spark.range(70_000).selectExpr("id", "IF(id < 40000, 1, id) AS label")
+    assert em._part_bits(rows) == 17 and em._part_bits(rows.limit(0)) == 16
+    assert em._part_bits(rows.filter("id < 100")) == 16
+
+
+def test_a_pair_counts_at_its_first_meeting_only():
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 1 << 16, (200, 8), dtype=np.uint64)
+    y = x ^ (rng.integers(0, 4, x.shape, dtype=np.uint64) & rng.integers(0, 4, x.shape, dtype=np.uint64))
+    meets = em.meet(x, y)
+    times = np.zeros(200, dtype=int)
+    for table in range(8):
+        for bit in range(16):
+            mask = np.uint64(0xFFFF ^ (1 << bit))
+            shares = (x[:, table] & mask) == (y[:, table] & mask)
+            times += shares & em._first_meeting(x, y, np.full(200, table * 16 + bit), 16)
+    assert (times == meets.any(axis=1)).all()
