@@ -11,7 +11,9 @@ Tags are "toxic" and "other". With two tags a forward or backward message is one
 log-odds of the tag, so the recursions run over all sentences of a batch side by side. The
 marginal log-odds of a token is the sum of both messages. A document's score is a logistic
 function of its largest marginal and of its expected number of toxic tokens, calibrated on the
-same sample. Spans are runs of tokens whose marginal is at least one half, as character offsets.
+same sample. Training keeps every sentence with a marked token and thins the others (`clean_sentences`,
+`least_clean`), which raises the odds of "toxic" by one over the share kept. Spans are runs of tokens
+whose marginal, corrected by that share, is at least one half, as character offsets.
 
 Defined results: a null or empty text, or one without words, gets the score of an empty document
 and no spans. Rows without a label teach nothing, several label rows of a document each teach.
@@ -46,6 +48,8 @@ class Settings:
     most_toxic: int = 3000  # bounds of the training sample
     most_clean: int = 9_000
     longest: int = 64  # tokens of a sequence
+    clean_sentences: float = 3.0  # unmarked sentences kept for each marked one, about
+    least_clean: float = 0.01  # of the unmarked sentences are kept in any case
     support: int = 3  # toxic documents that a marker occurs in, at least
     purity: float = 0.97  # share of toxic documents among those with the marker, both kinds even
     chance: float = 0.01  # markers expected by mere chance among all words looked at
@@ -61,6 +65,7 @@ class Model:
     moves: np.ndarray  # log-scores of going from tag to tag; rows: from
     calibration: np.ndarray  # bias, largest marginal, expected number
     settings: Settings
+    kept: float = 1.0  # share of unmarked sentences that training kept
 
     def marginals(self, t: Tokens) -> np.ndarray:
         """Log-odds of "toxic" for each word of a piece."""
@@ -74,13 +79,14 @@ class Model:
     def summarise(self, column: pa.Array, spans: list | None = None) -> np.ndarray:
         """(largest marginal log-odds, expected toxic tokens) by document; adds byte `spans`."""
         largest, expected = np.full(len(column), -20.0), np.zeros(len(column))
+        even = -math.log(self.kept)  # the log-odds that mean one half in unthinned text
         for t in _words(column):
             odds = self.marginals(t)
             np.maximum.at(largest, t.doc, odds)
             expected += np.bincount(t.doc, weights=_sigmoid(odds), minlength=len(column))
             if spans is not None:
-                for k in np.flatnonzero(odds >= 0):
-                    own, joined = spans[t.doc[k]], k > 0 and odds[k - 1] >= 0 and t.joined[k]
+                for k in np.flatnonzero(odds >= even):
+                    own, joined = spans[t.doc[k]], k > 0 and odds[k - 1] >= even and t.joined[k]
                     end = int(t.base + t.end[k])
                     if joined:
                         own[-1] = (own[-1][0], end)
@@ -273,7 +279,7 @@ def train(column: pa.Array, labels: np.ndarray, s: Settings) -> Model:
         flat = Model(weights, moves, np.array([35.0 * (2 * share - 1), 0, 0]), s)
         return flat
     marks = _markers(column, labels, s)
-    batches = []
+    batches, unmarked, held = [], 0, 0
     for t in _words(column):
         size = t.end - t.start
         hit = np.isin(t.hash, marks)
@@ -283,7 +289,9 @@ def train(column: pa.Array, labels: np.ndarray, s: Settings) -> Model:
         hit &= labels[t.doc] == 1
         sequence, place = _sequences(t, s.longest)
         marked = np.bincount(sequence, weights=hit) > 0
-        chosen = marked | (rng.random(len(marked)) < max(0.01, 3 * marked.mean()))
+        chosen = marked | (rng.random(len(marked)) < max(s.least_clean, s.clean_sentences * marked.mean()))
+        unmarked += int((~marked).sum())
+        held += int((chosen & ~marked).sum())
         at = chosen[sequence]
         slots = np.stack([f[at] for f in _features(t, sequence, s.bits)], axis=1)
         batches.append((slots, hit[at].astype(float), sequence[at], place[at]))
@@ -313,7 +321,8 @@ def train(column: pa.Array, labels: np.ndarray, s: Settings) -> Model:
     weights[0] = 0
     model = Model(weights.astype(np.float32), moves, np.zeros(3), s)
     x = _calibrated(model.summarise(column))
-    return Model(model.weights, moves, _logistic(x, labels.astype(float)), s)
+    kept = max(held, 1) / max(unmarked, 1)
+    return Model(model.weights, moves, _logistic(x, labels.astype(float)), s, min(1.0, kept))
 
 
 def _move_errors(forward, backward, emitted, hit, place, moves) -> np.ndarray:
@@ -354,14 +363,14 @@ def fit(documents: DataFrame, labels: DataFrame, settings: Settings = Settings()
         del group  # the sample is held once
         m = train(column, labels, settings)
         flat = [np.asarray(a, dtype=np.float64).tobytes() for a in (m.weights, m.moves, m.calibration)]
-        return pd.DataFrame([flat], columns=["weights", "moves", "calibration"])
+        return pd.DataFrame([[*flat, m.kept]], columns=["weights", "moves", "calibration", "kept"])
 
-    schema = "weights binary, moves binary, calibration binary"
+    schema = "weights binary, moves binary, calibration binary, kept double"
     found = rows.groupBy(F.lit(0).alias("one")).applyInPandas(learn, schema).collect()
     if not found:
         return train(pa.array([], type=pa.large_string()), np.zeros(0), settings)
     w, m, c = (np.frombuffer(found[0][k]).copy() for k in ("weights", "moves", "calibration"))
-    return Model(w.astype(np.float32), m.reshape(2, 2), c, settings)
+    return Model(w.astype(np.float32), m.reshape(2, 2), c, settings, found[0]["kept"])
 
 
 def score(documents: DataFrame, model: Model) -> DataFrame:
