@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 from odd import documents, strange
 from pyspark.sql import functions as F
 
@@ -59,6 +60,34 @@ def test_n_best_equals_all_segmentations():
             seen.add(tuple(own))
 
 
+def test_parts_side_by_side_equal_parts_one_by_one():
+    """The batched forward pass against the plain one: ids, best score and second best, bit for bit."""
+    rng = random.Random(21)
+    for v in (pieces.Vocabulary.read(), *(small(rng)[0] for _ in range(10))):
+        own = [n.replace("▁", " ") for n in rng.sample(sorted(v.found), min(len(v.found), 300))]
+        text = ["".join(rng.choice([*own, "é", "日", "\U0001f600", "\t", "a", "7"]) for _ in range(rng.randint(1, 9)))
+                for _ in range(300)]
+        text += ["x" * 70, "日本" * 40, "▁", " " * 200, "b" * 64]
+        data = np.frombuffer("".join(text).encode(), dtype=np.uint8)
+        end = np.cumsum([len(t.encode()) for t in text])
+        start = end - [len(t.encode()) for t in text]
+        ids, counts, scores, losses = v._each_solved(data, pieces._sums(data), start, end)
+        cuts = np.cumsum(counts) - counts
+        for k, t in enumerate(text):
+            want_ids, want, loss = v._solve(t)
+            assert ids[cuts[k] : cuts[k] + counts[k]].tobytes() == want_ids, t
+            assert (scores[k], losses[k]) == (want, loss), t
+
+
+def test_cuts_never_lie_inside_a_piece():
+    """No piece of the vocabulary, as it is spelled, holds a place where a text would be cut."""
+    v = pieces.Vocabulary.read()
+    for name, hit in v.found.items():
+        if hit is not None:
+            data = np.frombuffer(name.replace("▁", " ").encode(), dtype=np.uint8)
+            assert len(v.cuts(data, np.array([0, len(data)]))) == 2, name
+
+
 def test_registered_query(spark):
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
     rows = queries.op6_sentencepiece_nbest(spark, FOLDER).collect()
