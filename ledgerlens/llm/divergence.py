@@ -242,6 +242,7 @@ def audit(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
     # Terms are dealt to segments by hash and numbered inside them, so no task sorts a language.
     many = F.ceil(2 * F.col("v") / s.segment).cast("long")
     terms = terms.join(langs, "lang").withColumn("segment", F.pmod(F.xxhash64("term"), many))
+    terms = terms.repartition("lang", "segment")  # not by language alone, as the join may leave it
     inside = Window.partitionBy("lang", "segment").orderBy("term")
     terms = terms.withColumn("place", (F.row_number().over(inside) - 1).cast("long"))
     terms = durable(
