@@ -3,9 +3,9 @@
 `formatted` writes each conversation once, turns marked by a template. Control strings inside
 roles and texts are escaped reversibly, so a text can neither end its turn nor open another.
 `examples` then explodes it: one row for each assistant turn, whose context is all that is written
-before the reply and whose only trainable part is the reply. Contexts are kept as a length into the
-conversation's text, which takes room in proportion to the conversation; with `contexts` makes
-them strings, which takes the square of it and is meant for reading a training batch.
+before the reply and whose only trainable part is the reply. Its places are found by lengths (`spans`)
+and moved as lengths; a context becomes a string only in the row that is handed on, so all contexts
+of a conversation, which take the square of its text, are never held or shuffled together.
 
 DataFrame functions only. A conversation's turns are brought together, because its text is one value.
 
@@ -68,11 +68,10 @@ def parsed(text: Column) -> Column:
     )
 
 
-def examples(conversations: DataFrame) -> DataFrame:
+def spans(conversations: DataFrame) -> DataFrame:
     """(conv_id, example, context_chars, reply) for each assistant turn of formatted conversations.
 
-    The context is the first `context_chars` characters of the conversation's text: all preceding
-    turns and the head of the reply. The loss mask covers `reply`, still escaped, and nothing else.
+    The context is the first `context_chars` characters of the conversation's text.
     """
     parts = F.split("text", r"<\|end\|>", -1)
     turns = conversations.select("conv_id", F.posexplode(parts).alias("place", "part"))
@@ -90,18 +89,28 @@ def examples(conversations: DataFrame) -> DataFrame:
 
 
 def with_contexts(found: DataFrame, conversations: DataFrame) -> DataFrame:
-    """(conv_id, example, context, reply): examples with their contexts as strings."""
+    """(conv_id, example, context_chars, context, reply): spans with their contexts as strings."""
     text = conversations.select(F.col("conv_id").alias("of"), F.col("text").alias("whole"))
     joined = found.join(text, F.col("conv_id").eqNullSafe(F.col("of")))
     context = F.substr("whole", F.lit(1), F.col("context_chars").cast("int"))
-    return joined.select("conv_id", "example", context.alias("context"), "reply")
+    return joined.select("conv_id", "example", "context_chars", context.alias("context"), "reply")
+
+
+def examples(conversations: DataFrame) -> DataFrame:
+    """(conv_id, example, context_chars, context, reply) for each assistant turn of formatted conversations.
+
+    The context holds all preceding turns and the head of the reply, as text. The loss mask covers
+    `reply`, still escaped, and nothing else.
+    """
+    return with_contexts(spans(conversations), conversations)
 
 
 def digests(conversations: DataFrame) -> DataFrame:
     """What the formatted conversations say, read back: turns from the text, loss and contexts from examples.
 
-    A context is the conversation's text up to a length, so the lengths of all contexts, in order, say
-    what each of them holds: `n_examples`, their sum, and the digest of the list.
+    Every example is written out, context and reply, and its loss is what stands behind the context. A
+    context is a beginning of the conversation's text, so the lengths of all contexts, in order, say what
+    each of them holds: `n_examples`, their sum, and the digest of the list.
     """
     turns = parsed(F.col("text"))
     whole = conversations.select(
@@ -113,8 +122,13 @@ def digests(conversations: DataFrame) -> DataFrame:
         ).alias("turns_sha256"),
         F.length("text").cast("long").alias("formatted_chars"),
     )
+    size = F.length("context")
+    told = examples(conversations).withColumn("written", F.concat("context", "reply")).select(
+        "conv_id", "example",
+        F.substr("written", size + 1).alias("reply"), size.cast("long").alias("context_chars"),
+    )
     held = F.sort_array(F.collect_list(F.struct("example", "reply", "context_chars")))
-    loss = examples(conversations).groupBy("conv_id").agg(held.alias("held"))
+    loss = told.groupBy("conv_id").agg(held.alias("held"))
     said = F.array_join(F.transform("held", lambda r: unescape(r["reply"])), "")
     contexts = F.array_join(F.transform("held", lambda r: r["context_chars"].cast("string")), ",")
     total = F.aggregate("held", F.lit(0).cast("long"), lambda n, r: n + r["context_chars"])

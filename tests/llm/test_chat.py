@@ -92,6 +92,28 @@ def test_contexts_are_all_that_comes_before_each_reply(spark):
     assert (told[2]["n_examples"], told[2]["context_chars"], told[2]["contexts_sha256"]) == (0, 0, sha(""))
 
 
+def test_examples_carry_their_contexts(spark):
+    turns = [(c, k, r, t) for c in (None, 1, 2) for k, (r, t) in enumerate([
+        ("user", f"é{c}<|end|>"), ("assistant", "[INST]"), ("user", ""), ("assistant", "\\l<")])]
+    done = chat.formatted(rows(spark, turns))
+    whole = {r["conv_id"]: r["text"] for r in done.collect()}
+    found = chat.examples(done).collect()
+    assert len(found) == 6
+    for r in found:
+        parts, head = whole[r["conv_id"]].split(chat.CLOSE), chat.OPEN + "assistant" + chat.HEAD
+        k = 2 * r["example"] + 1
+        assert r["context"] == "".join(p + chat.CLOSE for p in parts[:k]) + head
+        assert head + r["reply"] == parts[k]
+
+
+def test_digests_are_read_from_written_examples(spark, monkeypatch):
+    done = chat.formatted(rows(spark, [(1, 0, "user", "q"), (1, 1, "assistant", "abc")]))
+    own = chat.examples
+    monkeypatch.setattr(chat, "examples", lambda c: own(c).withColumn("context", F.lit("four")))
+    told = chat.digests(done).first()
+    assert (told["context_chars"], told["loss_sha256"]) == (4, sha("abc"))
+
+
 def test_strange_rows(spark):
     turns = [(None, 1, "assistant", "x"), (None, 0, None, None), (3, None, "user", "q"), (3, 0, "assistant", "p"),
              (4, 1, "assistant", "r"), (4, 1, "assistant", "r"), (5, 0, "assistant", "long " * 50000)]
