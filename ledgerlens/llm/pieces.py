@@ -8,8 +8,8 @@ complete score, so complete paths come out best first.
 No piece holds a space after another character (checked when the vocabulary is read), so the lattice
 falls apart before every run of spaces; likewise at line ends and before punctuation. Each part,
 about a word, is solved by itself; the N best of a text are combined from the parts with the smallest
-loss: a part outside the N - 1 smallest cannot be among them. Parts are cut from the bytes of a whole
-Arrow batch at once and known by 64-bit hash. The forward pass runs over all distinct parts of a batch
+loss: a part outside the N - 1 smallest cannot be among them. Parts are cut from texts of `CHUNK`
+bytes at once and known by 64-bit hash. The forward pass runs over all distinct parts of these
 side by side, place by place; only parts of more than `LONG` bytes and the parts that give a text its
 alternatives are handled one by one.
 
@@ -37,10 +37,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import BooleanType, StringType, StructType
 
 from ledgerlens.llm.text import POWERS, VALUES, chunks, mix, strings
+from ledgerlens.session import size_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 UNKNOWN_BYTE = 10.0  # a byte piece scores this much below the worst ordinary piece
+CHUNK = 1 << 19  # bytes of text whose parts are solved at once
 LONG = 64  # bytes of a part that is solved by itself
 REMEMBERED = 1 << 14  # parts of at most 40 characters whose alternatives are kept
 
@@ -543,12 +545,13 @@ ENCODED = (
 def encode(documents: DataFrame, vocabulary: Vocabulary, n: int = 4) -> DataFrame:
     """(doc_id, text, ids, score, alternatives) of every row of `documents(doc_id, text)`."""
     kind = documents.schema["doc_id"].dataType.simpleString()
+    size_batches(documents.sparkSession)
     sent = documents.sparkSession.sparkContext.broadcast(vocabulary)
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = sent.value
         for whole in batches:
-            for batch in chunks(whole, "text"):
+            for batch in chunks(whole, "text", CHUNK):
                 texts = batch.column(1)
                 ids, offsets, scores, found = v.segments(texts, n)
                 valid = texts.is_valid().to_numpy(zero_copy_only=False)
@@ -598,6 +601,7 @@ def _spelled(batch: pa.RecordBatch, spelling: Spelling, table: list[bytes]) -> t
 
 def _each_spelled(encoded: DataFrame, vocabulary: Vocabulary, keep: list[str], schema, finish) -> DataFrame:
     """The kept columns of `encoded`, and what `finish` makes of each batch and its spelling."""
+    size_batches(encoded.sparkSession)
     sent = encoded.sparkSession.sparkContext.broadcast(vocabulary.text)
 
     def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -16,6 +16,9 @@ T = TypeVar("T")
 
 # One reduce task should get about this much input.
 BYTES_PER_SHUFFLE_TASK = 256 * 1024 * 1024
+# Rows go to and from Python workers in batches of about this much.
+BYTES_PER_BATCH = 4 * 1024 * 1024
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 START_TASKS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
 
 
@@ -78,6 +81,16 @@ def size_shuffles(spark: SparkSession, input_bytes: int) -> None:
         spark.conf.unset(START_TASKS)
 
 
+def size_batches(spark: SparkSession) -> None:
+    """Bound the bytes of an Arrow batch, whatever the number of its rows.
+
+    Spark and every worker hold whole batches; left to itself, Spark fills them up to ten thousand rows or
+    64 MB, and wide rows take that many times over.
+    """
+    if not 0 < _bytes(spark.conf.get(BATCH_BYTES)) <= BYTES_PER_BATCH:
+        spark.conf.set(BATCH_BYTES, str(BYTES_PER_BATCH))
+
+
 def shuffle_tasks(spark: SparkSession) -> int:
     """The number of tasks a shuffle starts with."""
     return int(

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 from odd import documents, strange
 from pyspark.sql import functions as F
 
@@ -139,3 +140,17 @@ def test_clashing_columns(spark):
     v = pieces.Vocabulary.read()
     docs = documents(spark, [(1, "some words here", "en", "a")]).withColumn("ids", F.lit("x"))
     assert pieces.encode(docs, v).columns == ["doc_id", "text", "ids", "score", "alternatives"]
+
+
+def test_wide_rows_go_to_workers_in_small_batches(spark):
+    """Ids are as wide as texts, so a batch of many rows would take a worker's memory."""
+    v = pieces.Vocabulary.read()
+    docs = spark.range(0, 400, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("some words "), 3000).alias("text"))
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes]), pa.array([b.num_rows])], names=["size", "n"])
+
+    found = pieces.encode(docs, v).mapInArrow(sizes, "size long, n long").collect()
+    assert sum(r["n"] for r in found) == 400
+    assert max(r["size"] for r in found) < 8 << 20
