@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -9,21 +11,27 @@ from pyspark.sql import functions as F
 
 from ledgerlens.session import durable
 
+TOGETHER = 1 << 17  # edges that a task holds at once
+
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of `edges(u, v)`; a component is its smallest node.
 
-    Alternates two steps until nothing changes: every node hands its smallest neighbour to its
+    Edges are written once. Parts of at most TOGETHER edges are each reduced to what connects their ends;
+    edges that are one such part are done then, however many shuffle tasks there are. Others
+    alternate two steps until nothing changes: every node hands its smallest neighbour to its
     larger neighbours, then to its smaller ones. No neighbour list is gathered anywhere: a hub is
     one row of minima joined to its edges, and joins split hot keys at run time. The number of
     rounds grows with the logarithm of the graph. Each round is written to the shared folder.
     Self-loops name lone nodes; null ends are ignored.
     """
-    edges = edges.select("u", "v").dropna().distinct()
-    lone = edges.filter("u = v")
-    edges = durable(edges.filter("u <> v"), "edges")
+    edges = durable(edges.select("u", "v").dropna(), "edges")
+    lone = edges.filter("u = v").distinct()
+    edges = edges.filter("u <> v")
+    parts = max(1, -(-edges.count() // TOGETHER))
+    edges = durable(_contracted(edges.coalesce(parts)), "edges")
     state = None
-    while True:
+    while parts > 1:
         edges = durable(_small_star(_large_star(edges)), "edges")
         now = edges.agg(
             F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
@@ -38,6 +46,28 @@ def components(edges: DataFrame) -> DataFrame:
     return found.union(roots.union(alone).distinct())
 
 
+def _contracted(edges: DataFrame) -> DataFrame:
+    """What connects the edges of each partition, up to TOGETHER edges and a batch at a time."""
+
+    def contract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, count = [], 0
+        for part in batches:
+            held.append(part)
+            count += len(part)
+            if count > TOGETHER:
+                yield _joined(held)
+                held, count = [], 0
+        if count:
+            yield _joined(held)
+
+    return edges.mapInPandas(contract, "u long, v long")
+
+
+def _joined(parts: list[pd.DataFrame]) -> pd.DataFrame:
+    whole = pd.concat(parts)
+    return connecting(whole["u"].to_numpy(), whole["v"].to_numpy())
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
