@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.session import durable
+from ledgerlens.ship import ship
+from ledgerlens.sources.quoting import PIECES, SUMMARY, stitched, summaries
 from ledgerlens.sources.tables import begin, release, shown, switch, write_version
 
 BAD = "_rejected_line"
@@ -19,10 +21,6 @@ MOST_BATCHES = 64  # tables that a landed view is made of
 
 CSV_OPTIONS = {"escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD}
 
-# Where the quotes of a line leave a reader: in text, inside a quoted field, just behind a quote
-# that may have closed one, at the beginning of a record.
-TEXT, QUOTED, CLOSED, BEGINNING = 0, 1, 2, 3
-
 _FIRST = Window.unboundedPreceding
 
 
@@ -47,25 +45,6 @@ def split(marked: DataFrame) -> Landed:
     )
 
 
-def _ends_quoted(value: Column, start: int) -> Column:
-    """Whether a quoted field is open at the end of a line that begins in state `start`.
-
-    A quote opens a field only at the field's beginning, and closes it unless a second one follows.
-    Any other quote is text.
-    """
-    before = F.split(value, '"', -1)  # the text before each quote, and what follows the last one
-
-    def step(state: Column, text: Column) -> Column:
-        reopens = (text == "") & state.isin(CLOSED, BEGINNING)
-        return (
-            F.when(state == QUOTED, CLOSED)
-            .when(reopens | F.endswith(text, F.lit(",")), QUOTED)
-            .otherwise(TEXT)
-        )
-
-    return F.aggregate(F.slice(before, F.lit(1), F.size(before) - 1), F.lit(start), step) == QUOTED
-
-
 def _blank(value: Column) -> Column:
     return F.length(F.translate(value, " \t\r", "")) == 0
 
@@ -101,147 +80,104 @@ def _after(state: Column, constant: Column, swaps: Column) -> Column:
     return F.coalesce(constant["to"], state) != (since % 2 == 1)
 
 
-def _split_table(lines: DataFrame) -> DataFrame:
-    """One row for each split: its first and last line, and its first line that is not blank."""
-    at = F.col("at")
-    return durable(
-        lines.groupBy("file", "block").agg(
-            F.min("at").alias("low"),
-            F.max("at").alias("high"),
-            F.min(F.when(~_blank(F.col("value")), at)).alias("head"),
-        ),
-        "splits",
-    )
-
-
-def _broken(lines: DataFrame, splits: DataFrame) -> DataFrame:
-    """Runs of lines that belong to records of several lines: (file, block, low, high, start).
+def _split_states(lines: DataFrame) -> DataFrame:
+    """One row for each split: how it begins and ends, and where the record began that it begins in.
 
-    A line leads from one state to another: in a quoted field or not, at its beginning and its end.
-    Lines without quotes lead nowhere and are left out from the first scan on. The others either
-    end in the same state whatever came before, or swap the states, so the state before a line
-    follows from the last constant line and the parity of the swaps since: once inside every split,
-    then over the splits of a file.
+    (file, block, open, left_open, later, start, heads, head): whether a quoted field is open before and
+    behind it, the next split of the file, the split of the open record, whether the file's header
+    begins here, and that header, if it ends here too. The state before a split follows from the
+    last constant one and the parity of the swaps since.
     """
-    quoted = lines.filter(F.contains("value", F.lit('"'))).select(
-        "file", "block", "at",
-        _ends_quoted(F.col("value"), BEGINNING).alias("from_text"),
-        _ends_quoted(F.col("value"), QUOTED).alias("from_field"),
-    )
-    moves = durable(quoted.filter("from_text OR NOT from_field"), "quotes")
-
-    inside = Window.partitionBy("file", "block").orderBy("at")
-    so_far, above = inside.rowsBetween(_FIRST, 0), inside.rowsBetween(_FIRST, -1)
-
-    def running(window) -> dict[str, Column]:
-        constant = F.when(F.col("constant"), F.struct(F.col("to"), F.col("swaps")))
-        return {"last": F.last(constant, ignorenulls=True).over(window)}
-
-    swaps = F.sum(F.when(F.col("constant"), 0).otherwise(1)).over(so_far)
-    moves = moves.withColumns({"constant": F.col("from_text") == F.col("from_field"), "to": F.col("from_text")})
-    moves = moves.withColumn("swaps", swaps).withColumns(
-        running(so_far) | {"last_above": running(above)["last"], "next": F.lead("at").over(inside)}
-    )
-    ends = moves.filter("next IS NULL").select("file", "block", "last", F.col("swaps").alias("own"))
-
-    # The state before each split. A split leads somewhere itself, as its lines do.
+    found = lines.select("value", "file", "block").mapInArrow(summaries, SUMMARY)
     ordered = Window.partitionBy("file").orderBy("block")
-    earlier = ordered.rowsBetween(_FIRST, -1)
-    whole = splits.join(ends, ["file", "block"], "left").withColumns(
+    so_far, earlier = ordered.rowsBetween(_FIRST, 0), ordered.rowsBetween(_FIRST, -1)
+    found = found.withColumn("odd", (F.col("from_text") & ~F.col("from_field")).cast("int"))
+    found = found.withColumns(
         {
-            "constant": F.col("last").isNotNull(),
-            "to": F.coalesce(_after(F.lit(False), F.col("last"), F.col("own")), F.lit(False)),
-            "odd": F.when(F.col("last").isNull(), F.coalesce("own", F.lit(0)) % 2).otherwise(0),
+            "swaps": F.sum("odd").over(so_far),
+            "constant": F.col("from_text") == F.col("from_field"),
+            "to": F.col("from_text"),
         }
     )
-    whole = whole.withColumn("swaps", F.sum("odd").over(ordered.rowsBetween(_FIRST, 0)))
-    whole = whole.withColumns(
+    constant = F.when(F.col("constant"), F.struct(F.col("to"), F.col("swaps")))
+
+    def state(window, swaps: Column) -> Column:
+        return _after(F.lit(False), F.last(constant, ignorenulls=True).over(window), swaps)
+
+    found = found.withColumns(
         {
-            "open": _after(
-                F.lit(False), running(earlier)["last"], F.coalesce(F.sum("odd").over(earlier), F.lit(0))
-            ),
-            "left_open": _after(
-                F.lit(False), running(ordered.rowsBetween(_FIRST, 0))["last"], F.col("swaps")
-            ),
+            "open": state(earlier, F.coalesce(F.sum("odd").over(earlier), F.lit(0))),
+            "left_open": state(so_far, F.col("swaps")),
             "later": F.lead("block").over(ordered),
+            "heads": F.col("filled") & ~F.coalesce(F.max("filled").over(earlier), F.lit(False)),
         }
     )
-    whole = durable(whole.select("file", "block", "low", "high", "open", "left_open", "later"), "states")
-    if not whole.filter("later IS NULL AND left_open").isEmpty():
+    opened = F.when(F.col("left_open") & (F.col("begins") | ~F.col("open")), F.col("block"))
+    start = F.when(F.col("open"), F.last(opened, ignorenulls=True).over(earlier))
+    kept = found.select("file", "block", "open", "left_open", "later", start.alias("start"), "heads", "head")
+    return durable(kept, "states")
+
+
+def _ended(value: Column) -> Column:
+    """A record without the carriage return of its line end."""
+    return F.when(F.endswith(value, F.lit("\r")), F.expr("left(value, length(value) - 1)")).otherwise(value)
+
+
+def _stitched(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Records of one or several lines, and the headers that are known: (value) of each.
+
+    A record is put together where its split is read. Only pieces of records on the edge of two
+    splits are brought together, once, in the shared folder.
+    """
+    ship(lines.sparkSession)
+    states = _split_states(lines)
+    if not states.filter("later IS NULL AND left_open").isEmpty():
         raise ValueError("a quoted field is never closed")
 
-    # Lines where a record of several lines begins or ends take turns within a split.
-    placed = moves.join(whole.select("file", "block", "high", "open"), ["file", "block"])
-    before = _after(
-        F.col("open"), F.col("last_above"), F.col("swaps") - F.when(F.col("constant"), 0).otherwise(1)
-    )
-    after = F.when(before, F.col("from_field")).otherwise(F.col("from_text"))
-    turns = placed.withColumns({"before": before, "after": after}).filter("before <> after")
-    turns = turns.select("file", "block", "at", "high", "before").withColumn(
-        "next", F.lead("at").over(inside)
-    )
-    turns = durable(turns, "turns")
-    starts = turns.filter("NOT before").select(
-        "file", "block", F.col("at").alias("low"), F.coalesce("next", "high").alias("high"),
-        F.struct("block", "at").alias("start"),
-    )
-
-    # A split that begins inside a record goes on with the one that an earlier split left open.
-    first_end = turns.groupBy("file", "block").agg(
-        F.min(F.when(F.col("before"), F.col("at"))).alias("end"),
-        F.max(F.when(~F.col("before"), F.col("at"))).alias("opened"),
-    )
-    runs = whole.join(first_end, ["file", "block"], "left").withColumn(
-        "start",
-        F.last(
-            F.when(F.col("left_open") & F.col("opened").isNotNull(),
-                   F.struct(F.col("block"), F.col("opened").alias("at"))),
-            ignorenulls=True,
-        ).over(earlier),
-    )
-    carried = runs.filter("open").select(
-        "file", "block", "low", F.coalesce("end", "high").alias("high"), "start"
-    )
-    return starts.unionByName(carried)
+    def pieces(own: DataFrame) -> DataFrame:
+        # One row for each split, and the lines have to stay in the order read.
+        known = F.broadcast(own.select("file", "block", "open", "start", "heads"))
+        placed = lines.join(known, ["file", "block"])
+        return placed.select("value", "file", "block", "open", "start", "heads").mapInArrow(stitched, PIECES)
+
+    records = pieces(states).filter("start IS NULL").select("value", "file", "heads")
+    edges = states.filter("open OR left_open")
+    if not edges.isEmpty():
+        in_order = F.sort_array(F.collect_list(F.struct("block", "value")))
+        joined = pieces(edges).filter("start IS NOT NULL").groupBy("file", "start").agg(
+            F.array_join(F.transform(in_order, lambda p: p["value"]), "\n").alias("value"),
+            F.max("heads").alias("heads"),
+        )
+        records = records.unionByName(durable(joined.select("value", "file", "heads"), "joined"))
+    return records, states.filter("heads").select(F.col("head").alias("value"))
+
 
+def _single(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The same where every line is a record."""
+    filled = lines.filter(~_blank(F.col("value")))
+    first = filled.groupBy("file").agg(F.min(F.struct("block", "at", "value")).alias("first"))
+    heads = durable(first.select("first.at", "first.value"), "heads")
+    marked = lines.join(heads.select("at", F.lit(True).alias("heads")), "at", "left")
+    return marked.select("value", "file", F.coalesce("heads", F.lit(False)).alias("heads")), heads.select("value")
 
-def _records(spark: SparkSession, path: str | list[str], line_breaks: bool) -> DataFrame:
-    """CSV records: `value`, its file, and whether it heads that file.
 
-    Each split of a file is scanned by itself. Lines that are records of their own stay where they
-    are read; only headers and the lines of broken records are brought together, once, in the
-    shared folder.
+def _records(spark: SparkSession, path: str | list[str], line_breaks: bool) -> tuple[DataFrame, list[str]]:
+    """CSV records (`value`, its file, whether it heads that file), and the fields of one header.
+
+    Each split of a file is scanned by itself, twice: for how it begins, and for its records.
     """
     _pin_splits(spark)
     lines = _lines(spark, path)
-    splits = _split_table(lines)
-    first = splits.filter("head IS NOT NULL").groupBy("file").agg(
-        F.min(F.struct("block", "head")).alias("first")
-    )
-    heads = first.select(
-        "file",
-        F.col("first.block").alias("block"),
-        F.col("first.head").alias("low"),
-        F.col("first.head").alias("high"),
-        F.struct(F.col("first.block"), F.col("first.head").alias("at")).alias("start"),
-    )
-    runs = heads.unionByName(_broken(lines, splits)) if line_breaks else heads
-    taken = runs.select("start", F.explode(F.sequence("low", "high")).alias("at")).distinct()
-    taken = durable(taken, "taken")
-
-    in_order = F.sort_array(F.collect_list(F.struct("block", "at", "value")))
-    joined = (
-        lines.join(taken, "at").groupBy("file", "start")
-        .agg(F.array_join(F.transform(in_order, lambda p: p["value"]), "\n").alias("value"))
-        .join(heads.select("file", F.col("start").alias("head")), "file", "left")
-    )
-    joined = durable(
-        joined.select("value", F.col("file").alias(FILE), (F.col("start") == F.col("head")).alias("heads")), "joined"
-    )
-    whole = lines.join(taken, "at", "left_anti")
-    whole = whole.select("value", F.col("file").alias(FILE), F.lit(False).alias("heads"))
-    ended = F.when(F.endswith("value", F.lit("\r")), F.expr("left(value, length(value) - 1)"))
-    return whole.unionByName(joined).select(F.coalesce(ended, "value").alias("value"), FILE, "heads")
+    records, heads = _stitched(lines) if line_breaks else _single(lines)
+    found = heads.select(_ended(F.col("value")).alias("value")).agg(
+        F.min("value").alias("value"), F.count(F.lit(1)).alias("files")
+    ).first()
+    records = records.select(_ended(F.col("value")).alias("value"), F.col("file").alias(FILE), "heads")
+    if found["value"] is None and found["files"]:  # headers that end in another split
+        found = records.filter("heads").agg(F.min("value").alias("value")).first()
+    if found["value"] is None:
+        return records, []
+    return records, next(csv.reader(io.StringIO(found["value"], newline="")))
 
 
 def _parse(records: DataFrame, names: list[str], *keep: str) -> DataFrame:
@@ -263,27 +199,19 @@ def _without_headers(parsed: DataFrame, names: list[str]) -> DataFrame:
     return parsed.filter(~drop.cast("boolean")).drop("heads")
 
 
-def _header(records: DataFrame) -> list[str]:
-    """The field names of one file's header."""
-    found = records.filter("heads").agg(F.min("value").alias("value")).first()["value"]
-    if found is None:
-        return []
-    return next(csv.reader(io.StringIO(found, newline="")))
-
-
 def _read(
     spark: SparkSession, path: str | list[str], line_breaks: bool, names: list[str] | None = None
 ) -> DataFrame:
     """`read_marked_csv` with the file of each row; `names` are the fields agreed on before."""
     try:
-        records = _records(spark, path, line_breaks is not False)
+        records, found = _records(spark, path, line_breaks is not False)
     except AnalysisException as e:
         if e.getCondition() == "PATH_NOT_FOUND":
             raise FileNotFoundError(f"no input at {path}; deliver the order-line CSV first") from e
         raise
     except ValueError as e:
         raise ValueError(f"{path}: {e}") from e
-    names = names or _header(records)
+    names = names or found
     if not names:
         raise ValueError(f"{path} is empty: no header row")
     parsed = _without_headers(_parse(records, names, "heads", FILE), names)
