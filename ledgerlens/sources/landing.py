@@ -46,7 +46,7 @@ def split(marked: DataFrame) -> Landed:
 
 
 def _blank(value: Column) -> Column:
-    return F.length(F.translate(value, " \t\r", "")) == 0
+    return F.length(F.btrim(value, F.lit(" \t\r"))) == 0
 
 
 def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -57,7 +57,7 @@ def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """
     read = spark.read.option("lineSep", "\n").text(path)
     return read.select(
-        F.regexp_replace("value", "^\ufeff", "").alias("value"),
+        F.when(F.startswith("value", F.lit("\ufeff")), F.expr("substring(value, 2)")).otherwise(F.col("value")).alias("value"),
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("at"),
@@ -124,7 +124,7 @@ def _ended(value: Column) -> Column:
 
 
 def _stitched(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Records of one or several lines, and the headers that are known: (value) of each.
+    """Records of one or several lines, and headers that are known: (value) of each.
 
     A record is put together where its split is read. Only pieces of records on the edge of two
     splits are brought together, once, in the shared folder.
@@ -155,10 +155,16 @@ def _stitched(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _single(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The same where every line is a record."""
     filled = lines.filter(~_blank(F.col("value")))
-    first = filled.groupBy("file").agg(F.min(F.struct("block", "at", "value")).alias("first"))
-    heads = durable(first.select("first.at", "first.value"), "heads")
+    # Numbers alone are kept in place while they are grouped; texts would have all lines sorted.
+    low = filled.groupBy("file", "block").agg(F.min("at").alias("at"))
+    heads = durable(low.groupBy("file").agg(F.min_by("at", "block").alias("at")), "heads")
     marked = lines.join(heads.select("at", F.lit(True).alias("heads")), "at", "left")
-    return marked.select("value", "file", F.coalesce("heads", F.lit(False)).alias("heads")), heads.select("value")
+    records = marked.select("value", "file", F.coalesce("heads", F.lit(False)).alias("heads"))
+    # Any file's header will do, as all must agree.
+    one = heads.agg(F.min("file")).first()[0]
+    first = filled.filter(F.col("file") == one) if one is not None else filled.limit(0)
+    first = first.agg(F.min(F.struct("block", "at", "value")).alias("first"))
+    return records, first.select("first.value").dropna()
 
 
 def _records(spark: SparkSession, path: str | list[str], line_breaks: bool) -> tuple[DataFrame, list[str]]:

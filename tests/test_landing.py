@@ -219,3 +219,29 @@ def test_random_quotes_like_the_standard_reader(small_splits, tmp_path, seed):
     assert got.rejected.count() == n
     key = lambda r: tuple(v or "" for v in r)
     assert sorted(map(key, got.kept.collect())) == sorted(map(key, kept))
+
+
+def test_records_across_batches_of_lines(small_splits, tmp_path):
+    """Records that go on in the next batch of a worker, and in the next split."""
+    spark, key = small_splits, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rng = random.Random(9)
+    fields = ['"x\ny"', '"a""b"', '""', "p", '5"', '"' + "long\n" * 200 + '"', '"' + '""' * 40 + '\n"']
+    content = "\n \n\"a\n1\",b,c\n" + "".join(",".join(rng.choice(fields) for _ in range(3)) + "\n" for _ in range(60))
+    path = write(tmp_path, content, encoding="utf-8")
+    before = spark.conf.get(key)
+    spark.conf.set(key, "3")
+    try:
+        got = read_raw_csv(spark, path)
+        found = sorted(tuple(v or "" for v in r) for r in got.kept.collect())
+    finally:
+        spark.conf.set(key, before)
+    want = list(csv.reader(io.StringIO(content.lstrip(), newline="")))
+    assert got.kept.columns == want[0] == ["a\n1", "b", "c"]
+    assert found == sorted(map(tuple, want[1:]))
+
+
+def test_lines_of_broken_records_are_not_moved(spark, tmp_path):
+    """Neither joined with numbers of lines nor dealt out anew: records are made where they are read."""
+    got = read_raw_csv(spark, write(tmp_path, text({"City": "A\nB"})))
+    plan = got.kept._jdf.queryExecution().executedPlan().toString()
+    assert "LeftAnti" not in plan and "Exchange hashpartitioning" not in plan
