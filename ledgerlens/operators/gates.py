@@ -11,6 +11,8 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.session import durable
+
 
 class GateFailure(RuntimeError):
     """Raised when a load may not be published; carries the result rows."""
@@ -121,13 +123,14 @@ def _surplus_keys(rows: DataFrame, key: str) -> DataFrame:
 
     Hashes first, then the keys themselves where hashes repeat: a hash that occurs once proves its key
     unique, so only eight bytes of such a key are shuffled, and only keys that share a hash are compared
-    by their text. Each text goes once for every task that holds it.
+    by their text. Each text goes once for every task that holds it. Repeated hashes are found before
+    the second step is planned; where they are few, no key is shuffled to find theirs.
     """
     hashed = rows.select(key, F.when(F.col(key).isNotNull(), F.xxhash64(key)).alias("_hash"))
     per_hash = hashed.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n"))
-    alone = F.count_if((F.col("_n") == 1) & F.col("_hash").isNotNull())
-    not_alone = per_hash.agg((F.coalesce(F.sum("_n"), F.lit(0)) - alone).alias("surplus"))
-    shared = per_hash.filter("_n > 1 AND _hash IS NOT NULL").select("_hash")
+    repeated = durable(per_hash.filter("_n > 1 OR _hash IS NULL"), "repeated")
+    not_alone = repeated.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("surplus"))
+    shared = repeated.filter("_hash IS NOT NULL").select("_hash")
     distinct = hashed.join(shared, "_hash", "left_semi").select(key).distinct()
     found = distinct.agg((-F.count(F.lit(1))).alias("surplus"))
     return not_alone.union(found).agg(F.sum("surplus").alias("surplus"))

@@ -16,7 +16,7 @@ from ledgerlens.plans.feeds import feed_discount, feed_growth, feed_subcategory
 from ledgerlens.plans.journal import PUBLISHED, REPORTED, Journal, fingerprint
 from ledgerlens.plans.reports import REPORTS, Report
 from ledgerlens.plans.settings import RETAIL, RETAIL_GATES, Settings
-from ledgerlens.session import configure, plan_bytes, side_by_side, size_shuffles
+from ledgerlens.session import configure, plan_bytes, shuffles_released, side_by_side, size_shuffles
 from ledgerlens.sources.contract import RETAIL_CONTRACT, US_DATE, Contract, to_staging
 from ledgerlens.sources.landing import delivered, land_raw_csv
 from ledgerlens.sources.tables import (
@@ -131,33 +131,35 @@ def run_pipeline(
     """
     configure(spark)
     raw_table, staging_table = f"raw.{source}", f"staging.stg_{source}"
-    journal = Journal(spark, f"{staging_table}_runs")
-    delivery = fingerprint(
-        delivered(spark, csv_path), tuple(contract), date_format, rules, settings, line_breaks
-    )
-    done = journal.unfinished(delivery)
-    if done and shown(spark, staging_table) == done["version"]:
-        gates = spark.createDataFrame([tuple(r) for r in done["gates"]], GATE_SCHEMA)
-        raw_rows, rejected_rows, staging_rows = done["rows"]
-    else:
-        size_shuffles(spark, plan_bytes(spark.read.text(csv_path)))
-        raw_rows, rejected_rows = land_raw_csv(spark, csv_path, raw_table, line_breaks)
-        raw = spark.table(raw_table)
-        size_shuffles(spark, plan_bytes(raw))
-        staged = to_staging(raw, contract, date_format)
-        staging_rows, gates = publish(staged, staging_table, rules)
-        journal.note(
-            delivery,
-            new_run(),
-            PUBLISHED,
-            version=shown(spark, staging_table),
-            rows=(raw_rows, rejected_rows, staging_rows),
-            gates=[tuple(r) for r in gates.collect()],
+    with shuffles_released(spark):
+        journal = Journal(spark, f"{staging_table}_runs")
+        delivery = fingerprint(
+            delivered(spark, csv_path), tuple(contract), date_format, rules, settings, line_breaks
         )
-
-    facts = cubes(line_facts(spark.table(staging_table)))
-    reports = run_reports(spark, facts, settings, report_folder, gates)
-    journal.note(delivery, current_run(spark, report_folder), REPORTED)
+        done = journal.unfinished(delivery)
+        if done and shown(spark, staging_table) == done["version"]:
+            gates = spark.createDataFrame([tuple(r) for r in done["gates"]], GATE_SCHEMA)
+            raw_rows, rejected_rows, staging_rows = done["rows"]
+        else:
+            size_shuffles(spark, plan_bytes(spark.read.text(csv_path)))
+            raw_rows, rejected_rows = land_raw_csv(spark, csv_path, raw_table, line_breaks)
+            raw = spark.table(raw_table)
+            size_shuffles(spark, plan_bytes(raw))
+            staged = to_staging(raw, contract, date_format)
+            staging_rows, gates = publish(staged, staging_table, rules)
+            journal.note(
+                delivery,
+                new_run(),
+                PUBLISHED,
+                version=shown(spark, staging_table),
+                rows=(raw_rows, rejected_rows, staging_rows),
+                gates=[tuple(r) for r in gates.collect()],
+            )
+
+        facts = cubes(line_facts(spark.table(staging_table)))
+        reports = run_reports(spark, facts, settings, report_folder, gates)
+        journal.note(delivery, current_run(spark, report_folder), REPORTED)
+    # What the caller gets is planned outside, as it may be asked for more than once.
     feeds = {
         "discount": feed_discount(
             reports["02_discount_impact"], settings.band_edges, settings.band_labels, settings.cut

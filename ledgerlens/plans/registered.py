@@ -16,7 +16,7 @@ from ledgerlens.plans import findings, reports
 from ledgerlens.plans.feeds import feed_discount, feed_growth, feed_subcategory
 from ledgerlens.plans.pipeline import build_reports, run_pipeline, run_summary
 from ledgerlens.plans.settings import Settings
-from ledgerlens.session import durable, new_folder, shuffle_tasks
+from ledgerlens.session import durable, new_folder, plan_bytes, shuffle_tasks, shuffles_released
 from ledgerlens.sources.contract import US_DATE, to_staging
 from ledgerlens.sources.landing import (
     BAD,
@@ -251,6 +251,34 @@ def _written(spark: SparkSession, name: str, heads: list[str], body: DataFrame)
     return f"{target}/file=*"
 
 
+LINES_PER_FILE = 250_000
+# From this size of the lines table on, its delivery is written in as many parts, one after another.
+PARTS, PARTS_FROM = 2, 128 * 1024 * 1024
+
+
+def _written_in_place(spark: SparkSession, name: str, head: str, bodies: list[DataFrame]) -> str:
+    """Compressed files of the lines in `bodies`, each beginning with the line `head`.
+
+    Lines are written by the tasks that make them, neither shuffled nor sorted. A compressed file is
+    read by one task, so a task's lines go to files of LINES_PER_FILE: the writer begins another one
+    where the next head is due. One more file holds the head alone, for bodies without lines.
+    Bodies are written one after another; what one shuffled to be made is gone before the next.
+    """
+    target = new_folder(spark, name)
+    packed = {"compression": "gzip"}
+    within_task = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    lines = F.when(F.col("place") == 0, F.array(F.lit(head), "value")).otherwise(F.array("value"))
+    with shuffles_released(spark):
+        for body in bodies:
+            placed = body.select("value", (within_task % LINES_PER_FILE).alias("place"))
+            headed = placed.select(F.explode(lines).alias("value"))
+            writer = headed.write.mode("append").options(**packed)
+            writer.option("maxRecordsPerFile", LINES_PER_FILE + 1).text(target)
+        alone = spark.createDataFrame([(head,)], "value string").coalesce(1)
+        alone.write.mode("append").options(**packed).text(target)
+    return target
+
+
 def csv_messy_files(spark: SparkSession, folder: str) -> DataFrame:
     """Files as spreadsheets leave them: CR LF line ends, also inside fields, inch marks in plain
     fields, a blank first line and one closed field of several megabytes."""
@@ -323,22 +351,33 @@ def pipeline_reports(spark: SparkSession, folder: str) -> DataFrame:
     """The whole run, from CSV files to reports: sizes of the reports, rows of the layers.
 
     Ship dates are moved behind the order dates, one for each order, so that the gates let the
-    lines through.
+    lines through. A large delivery is written in parts, so that half of the lines at most lie in
+    shuffles beside it.
     """
-    lines = order_lines(spark, folder).withColumns(
-        {
-            "row_id": F.monotonically_increasing_id().cast("string"),
-            "ship_date": F.date_add("order_date", (F.col("order_id") % 7).cast("int")),
-        }
-    )
+    lines = order_lines(spark, folder)
     kinds = dict(lines.dtypes)
     contract = [(c, c, kinds[c]) for c in lines.columns]
-    body = lines.select(F.concat_ws(",", *[
-        F.date_format(c, US_DATE) if kinds[c] == "date" else F.col(c).cast("string")
-        for c in lines.columns
-    ]).alias("value"))
+    parts = PARTS if plan_bytes(table(spark, folder, "lineitem")) >= PARTS_FROM else 1
+
+    def body(part: int) -> DataFrame:
+        own, number = lines, F.monotonically_increasing_id().cast("string")
+        if parts > 1:
+            own = lines.filter(F.pmod(F.xxhash64("order_id"), F.lit(parts)) == part)
+            number = F.concat_ws("-", F.lit(part), number)
+        own = own.withColumns(
+            {
+                "row_id": number,
+                "ship_date": F.date_add("order_date", (F.col("order_id") % 7).cast("int")),
+            }
+        )
+        return own.select(F.concat_ws(",", *[
+            F.date_format(c, US_DATE) if kinds[c] == "date" else F.col(c).cast("string")
+            for c in lines.columns
+        ]).alias("value"))
+
     foreign = table(spark, folder, "region").select(F.concat_ws(",", "r_name", "r_regionkey"))
-    path = _written(spark, "lines", [",".join(lines.columns)], body.union(foreign))
+    bodies = [body(0).union(foreign), *map(body, range(1, parts))]
+    path = _written_in_place(spark, "lines", ",".join(lines.columns), bodies)
     rules = replace(
         gate_rules(table(spark, folder, "lineitem").count()),
         first_day=dt.date(1990, 1, 1),

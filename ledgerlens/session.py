@@ -5,8 +5,9 @@ from __future__ import annotations
 import math
 import re
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import AbstractContextManager, contextmanager
 from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +21,7 @@ BYTES_PER_SHUFFLE_TASK = 256 * 1024 * 1024
 BYTES_PER_BATCH = 4 * 1024 * 1024
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 START_TASKS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def configure(spark: SparkSession) -> None:
@@ -91,6 +93,31 @@ def size_batches(spark: SparkSession) -> None:
         spark.conf.set(BATCH_BYTES, str(BYTES_PER_BATCH))
 
 
+@contextmanager
+def _held(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def shuffles_released(spark: SparkSession) -> AbstractContextManager[None]:
+    """Within it, shuffle files go when their query ends.
+
+    Left to itself, Spark keeps them until the driver happens to collect garbage, so the disk holds the
+    shuffles of all jobs of a run at once. A frame that is asked twice shuffles twice.
+    """
+    return _held(spark, RELEASE, "true")
+
+
+def open_files(spark: SparkSession, number: int) -> AbstractContextManager[None]:
+    """Within it, a task that writes partitioned files keeps as many open, so that it need not sort its
+    rows first; it sorts what comes after more partitions than that."""
+    return _held(spark, "spark.sql.maxConcurrentOutputFileWriters", str(number))
+
+
 def shuffle_tasks(spark: SparkSession) -> int:
     """The number of tasks a shuffle starts with."""
     return int(

@@ -25,8 +25,11 @@ from pyspark.sql import types as T
 
 from ledgerlens.functions import plain_text
 from ledgerlens.operators.gates import GateFailure, GateRules, line_counts, require, run_gates
+from ledgerlens.session import open_files
 
 VERSION, LEASE = "ledgerlens.version", "ledgerlens.lease"
+CODEC = "zstd"  # of a version's files; they lie beside the delivery and the version before
+FILES_OPEN = 2  # by a task that writes a partitioned version: landed rows are kept ones or rejected
 LEASE_SECONDS = 24 * 3600  # for writing and gating a version
 CLAIM_SECONDS = 300  # for switching a view
 
@@ -83,8 +86,10 @@ def write_version(
     written = Observation(f"load of {load.version}")
     counted = df.observe(written, F.count(F.lit(1)).alias("rows"), *counts)
     until = str(int(time.time()) + LEASE_SECONDS)
-    writer = counted.writeTo(load.version).using("parquet").tableProperty(LEASE, until)
-    (writer.partitionedBy(F.col(by)) if by else writer).create()
+    writer = counted.writeTo(load.version).using("parquet").option("compression", CODEC)
+    writer = writer.tableProperty(LEASE, until)
+    with open_files(df.sparkSession, FILES_OPEN):
+        (writer.partitionedBy(F.col(by)) if by else writer).create()
     return written.get
 
 

@@ -90,3 +90,13 @@ def test_only_hashes_of_unique_keys_are_shuffled(spark):
             assert "keys=[_hash" in line and "k#" not in line.split("functions")[0].split("keys=")[1]
     assert "SortAggregate" not in plan and _surplus_keys(rows, "k").first().surplus == 0
     assert _surplus_keys(rows.limit(0), "k").first().surplus == 0
+
+
+def test_keys_stay_where_they_are_if_none_repeats(spark):
+    """Neither the keys nor their hashes are dealt out to find the few hashes that repeat."""
+    rows = spark.createDataFrame([(str(i),) for i in range(300)], "k string")
+    found = _surplus_keys(rows, "k")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(_hash" not in plan and found.first().surplus == 0
+    more = rows.union(spark.createDataFrame([("7",), ("7",), ("8",), (None,), (None,)], "k string"))
+    assert _surplus_keys(more, "k").first().surplus == 5

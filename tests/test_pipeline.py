@@ -1,14 +1,21 @@
 import dataclasses
+import gzip
+import re
+import time
 from pathlib import Path
+from urllib.parse import unquote, urlparse
 
+import pyarrow.parquet as pq
 import pytest
+from conftest import TESTDATA
 from feed import good_lines, text, write
 from ledgerlens.operators.facts import line_facts
 from ledgerlens.operators.gates import GateFailure, run_gates
-from ledgerlens.plans import pipeline
+from ledgerlens.plans import pipeline, registered
 from ledgerlens.plans.pipeline import read_reports, run_pipeline, run_reports
 from ledgerlens.plans.reports import REPORTS
 from ledgerlens.plans.settings import RETAIL, RETAIL_GATES
+from ledgerlens.session import RELEASE
 from ledgerlens.sources import landing, tables
 from ledgerlens.sources.landing import land_raw_csv
 from ledgerlens.sources.tables import (
@@ -23,6 +30,7 @@ from ledgerlens.sources.tables import (
     write_version,
 )
 from lines import make
+from pyspark.sql import functions as F
 
 RULES = dataclasses.replace(RETAIL_GATES, expected_rows=8)
 
@@ -48,6 +56,80 @@ def test_whole_run_and_rerun(spark, tmp_path):
     assert (growth.order_year, growth.label) == ("2015", "4.91%")
 
 
+def shuffle_files(spark):
+    """Numbers of the shuffles that have files on disk."""
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    return set(re.findall(r"shuffle_(\d+)_", folders.getAllFiles().mkString(" ")))
+
+
+def test_no_shuffle_outlives_its_query(spark, tmp_path):
+    path = write(tmp_path, text(*good_lines()))
+    before = shuffle_files(spark)
+    run = run_pipeline(spark, path, str(tmp_path / "reports"), "released", rules=RULES)
+    for _ in range(100):  # files are deleted behind the query's back
+        if not shuffle_files(spark) - before:
+            break
+        time.sleep(0.1)
+    assert not shuffle_files(spark) - before
+    assert spark.conf.get(RELEASE, None) != "true"
+    assert run.summary.collect() == run.summary.collect()  # what is returned may be asked again
+
+
+def test_versions_are_packed_and_not_sorted_by_layer(spark, tmp_path, monkeypatch):
+    """Kept and rejected rows go to two open files of a task."""
+    seen, plain = [], tables.open_files
+
+    def watched(session, number):
+        seen.append(number)
+        return plain(session, number)
+
+    monkeypatch.setattr(tables, "open_files", watched)
+    path = write(tmp_path, text(*good_lines()))
+    assert land_raw_csv(spark, path, "raw.packed") == (8, 5)
+    rows = spark.table("raw.packed_landed")
+    files = [unquote(urlparse(f).path) for f in rows.inputFiles()]
+    assert seen == [2] and {f.split("is_rejected=")[1].split("/")[0] for f in files} == {"true", "false"}
+    for f in files:
+        group = pq.ParquetFile(f).metadata.row_group(0)
+        assert {group.column(i).compression for i in range(group.num_columns)} == {"ZSTD"}
+    assert rows.count() == 13 and spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
+
+
+@pytest.mark.parametrize("n", [0, 1, 3, 4, 20])
+def test_a_delivery_is_written_where_it_is_made(spark, monkeypatch, n):
+    """Every file begins with the head and is bounded, no line is lost, and nothing is shuffled."""
+    monkeypatch.setattr(registered, "LINES_PER_FILE", 3)
+    before = shuffle_files(spark)
+    body = spark.range(0, n, 1, 2).select(F.concat_ws(",", "id", F.lit("x")).alias("value"))
+    folder = registered._written_in_place(spark, "placed", "id,x", [body.filter("id < 7"), body.filter("id >= 7")])
+    files = [gzip.open(p, "rt").read().splitlines() for p in Path(urlparse(folder).path).glob("part-*.gz")]
+    files = [f for f in files if f]
+    assert all(f[0] == "id,x" and "id,x" not in f[1:] and len(f) <= 4 for f in files)
+    assert sorted(x for f in files for x in f[1:]) == sorted(f"{i},x" for i in range(n))
+    assert not shuffle_files(spark) - before
+    kept, rejected = land_raw_csv(spark, folder, f"raw.placed_{n}", line_breaks=False)
+    assert (kept, rejected) == (n, 0) and spark.table(f"raw.placed_{n}").columns == ["id", "x"]
+
+
+def test_parts_of_a_large_delivery_hold_every_line_once(spark, monkeypatch):
+    """The same run in one part and in two; orders are split, lines are not shuffled for both."""
+    seen, plain = [], registered._written_in_place
+
+    def watched(session, name, head, bodies):
+        plans = [b._jdf.queryExecution().optimizedPlan().toString() for b in bodies]
+        seen.append([(b.count(), p.count("xxhash64(l_orderkey"), p.count("xxhash64(o_orderkey")) for b, p in zip(bodies, plans)])
+        return plain(session, name, head, bodies)
+
+    monkeypatch.setattr(registered, "_written_in_place", watched)
+    folder = f"{TESTDATA}/sf0.001"
+    whole = registered.pipeline_reports(spark, folder).collect()
+    monkeypatch.setattr(registered, "PARTS_FROM", 0)
+    assert registered.pipeline_reports(spark, folder).collect() == whole
+    (one,), two = seen
+    assert one[1:] == (0, 0) and len(two) == 2 and sum(n for n, *_ in two) == one[0]
+    assert all(n > one[0] / 4 and left == right == 1 for n, left, right in two)
+
+
 def test_report_files_hold_plain_csv_in_report_order(spark, tmp_path):
     path = write(tmp_path, text(*good_lines()))
     run_pipeline(spark, path, str(tmp_path / "reports"), rules=RULES)

@@ -5,7 +5,7 @@ import random
 
 import pytest
 from conftest import TESTDATA
-from ledgerlens.operators.facts import count_orders, cubes, grouped_once, line_facts
+from ledgerlens.operators.facts import CUBES, DATES, SUMS, count_orders, cubes, grouped_once, line_facts
 from ledgerlens.plans import findings, reports
 from ledgerlens.plans.pipeline import build_reports
 from ledgerlens.plans.registered import SETTINGS
@@ -150,6 +150,20 @@ def test_all_reports_read_the_lines_once_without_sorting(spark):
     assert counted.count("Exchange") == 2  # the orders, and a count for each member
 
 
+def test_the_order_set_makes_no_sums(spark):
+    """Sums that nobody reads are not shuffled beside every order."""
+    f = facts(spark, {"order_id": "A"}, {"order_id": "A", "sales": None}, {"order_id": "B", "profit": -2.0})
+    grouped = grouped_once(f)
+    partial = next(x for x in plan_of(grouped).splitlines() if "partial_sum(" in x)
+    assert partial.count("partial_sum(CASE WHEN") == partial.count("partial_sum(") == len(SUMS)
+    assert partial.count("partial_min(CASE WHEN") == partial.count("partial_max(CASE WHEN") == len(DATES) // 2
+    rows = [r.asDict() for r in grouped.collect()]
+    orders = [r for r in rows if r["cube"] == len(CUBES)]
+    assert sorted(r["order_id"] for r in orders) == ["A", "B"]
+    assert all(r[m] is None for r in orders for m in (*SUMS, *DATES))
+    assert {r["lines"] for r in rows if r["cube"] == 2} == {3}
+
+
 def test_orders_count_once_for_each_member(spark):
     f = facts(spark, {"order_id": "A"}, {"order_id": "A", "order_date": Y(2017, 1, 1)},
               {"order_id": "A", "region": "West"}, {"order_id": None}, {"order_id": "B", "region": None})
